@@ -1 +1,144 @@
-"""Queries."""
+"""Queries on geometry, plans and packets."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import bits
+from ..operators import layout as Y
+from ..sources.views import table
+from .registry import query
+
+IMAGES = """i AS (
+  SELECT p_partkey AS image_id, CAST(p_partkey * 37 % 4000 + 1 AS BIGINT) AS width, CAST(p_size * 53 AS BIGINT) AS height, component,
+    CASE WHEN component = 0 THEN 1 + p_size % 2 ELSE 1 END AS sh, CASE WHEN component = 0 THEN 1 + (p_size // 2) % 2 ELSE 1 END AS sv
+  FROM part, (SELECT CAST(unnest(range(3)) AS INT) AS component) WHERE TRUE),
+m AS (SELECT *, max(sh) OVER (PARTITION BY image_id) AS smh, max(sv) OVER (PARTITION BY image_id) AS smv FROM i),
+u AS (SELECT *, (width + 8 * smh - 1) // (8 * smh) AS mcuh, (height + 8 * smv - 1) // (8 * smv) AS mcuv FROM m),
+g AS (
+  SELECT image_id, width, height, component, sh, sv, mcuh, mcuv, mcuh * sh AS bch, mcuv * sv AS bcv, (width * sh + 8 * smh - 1) // (8 * smh) AS nch, (height * sv + 8 * smv - 1) // (8 * smv) AS ncv,
+    mcuh * sh * mcuv * sv AS bc FROM u)"""
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as images of three components, the first sampled more finely in some."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id"), (F.col("p_partkey") * 37 % 4000 + 1).alias("width"), (F.col("p_size") * 53).cast("long").alias("height"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("component"), "p_size")
+    first = F.col("component") == 0
+    return rows.select("image_id", "width", "height", "component", F.when(first, 1 + F.col("p_size") % 2).otherwise(1).cast("int").alias("sh"), F.when(first, 1 + bits.int_div(F.col("p_size"), 2) % 2).otherwise(1).cast("int").alias("sv"))
+
+
+@query(f"WITH {IMAGES} SELECT image_id, width, height, component, CAST(sh AS INT) AS sh, CAST(sv AS INT) AS sv, mcuh, mcuv, bch, bcv, nch, ncv, bc, nch * ncv AS nc, CAST(bc * 100 // sum(bc) OVER (PARTITION BY image_id) AS BIGINT) AS share FROM g")
+def geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block counts of three components of every image."""
+    return Y.geometry(images(spark, sf_dir))
+
+
+@query(f"""WITH {IMAGES},
+s AS (SELECT image_id, CAST(sum(bch * 2 * 8 * 64 * 2) AS BIGINT) AS streaming, any_value(width * height // 4 + 1) AS size, any_value(height + 700) AS header, any_value(height // 3 + 100) AS zheader FROM g GROUP BY image_id),
+d AS (SELECT *, CASE WHEN zheader > 0 AND zheader * 2 < header THEN 2 * zheader * (CASE WHEN (header + 2 * zheader - 1) // (2 * zheader) <= 1 THEN 1 ELSE 1 << length(bin((header + 2 * zheader - 1) // (2 * zheader) - 1)) END - 1) ELSE 0 END AS grown, 1 << length(bin(header - 1)) AS garbage FROM s),
+b AS (SELECT image_id, CAST(streaming + 65600 + size + 2164692 + garbage + header + 3 * zheader + grown + 4325376 AS BIGINT) AS bytes FROM d)
+SELECT *, bytes <= 12000000 AS fits FROM b""")
+def memory_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memory that decoding each image takes, and whether it fits a limit."""
+    g = Y.geometry(images(spark, sf_dir))
+    s = g.groupBy("image_id").agg(F.sum(F.col("bch") * (2 * 8 * 64 * 2)).alias("streaming"), F.first(bits.int_div(F.col("width") * F.col("height"), 4) + 1).alias("size"), F.first(F.col("height") + 700).alias("header"), F.first(bits.int_div(F.col("height"), 3) + 100).alias("zheader"))
+    bound = Y.memory_bound(F.col("streaming"), F.col("size"), F.col("header"), F.col("zheader")).cast("long")
+    return s.select("image_id", bound.alias("bytes")).withColumn("fits", F.col("bytes") <= 12_000_000)
+
+
+@query("""WITH c AS (
+  SELECT c_custkey AS image_id, CAST(1 + c_custkey % 7 AS BIGINT) AS mcuv, [1 + c_nationkey % 2, 1, 1] AS m, [c_custkey % 3, c_custkey % 2, 0] AS short FROM customer),
+r AS (SELECT image_id, m, mcuv, list_transform(range(1, 4), lambda k: m[k] * mcuv - short[k]) AS coded, CAST(list_sum(m) AS BIGINT) AS per FROM c),
+x AS (SELECT *, unnest(range(per * mcuv)) AS i FROM r),
+p AS (SELECT *, i // per AS mcu_row, i % per AS place FROM x),
+k AS (SELECT *, CASE WHEN place < m[3] THEN 2 WHEN place < m[3] + m[2] THEN 1 ELSE 0 END AS component FROM p),
+w AS (SELECT *, place - CASE component WHEN 2 THEN 0 WHEN 1 THEN m[3] ELSE m[3] + m[2] END AS within FROM k),
+y AS (SELECT *, mcu_row * m[component + 1] + within AS y FROM w)
+SELECT image_id, i, mcu_row, CAST(component AS INT) AS component, y, component = 0 AND within + 1 = m[1] AS last_of_unit, y >= coded[component + 1] AS skip,
+  y >= coded[component + 1] AND NOT (mcu_row * m[1] < coded[1] OR mcu_row * m[2] < coded[2]) AS done FROM y""")
+def row_spec_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as images: the order in which their block rows are coded."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("image_id"), (1 + F.col("c_custkey") % 7).alias("mcuv"), F.array(1 + F.col("c_nationkey") % 2, F.lit(1), F.lit(1)).alias("m"), F.array(F.col("c_custkey") % 3, F.col("c_custkey") % 2, F.lit(0).cast("long")).alias("short"))
+    rows = rows.withColumn("heights", F.transform("m", lambda m: m * F.col("mcuv"))).withColumn("coded", F.zip_with("heights", "short", lambda h, s: h - s))
+    return Y.row_plan(rows)
+
+
+SIZES = """d AS (SELECT doc_id, source, text, octet_length(encode(text)) AS size FROM documents)"""
+PACKETS = f"""{SIZES},
+n AS (SELECT *, CASE WHEN size <= 0 THEN 0 WHEN size <= 256 THEN 1 ELSE 2 + (greatest(size - 4352, 0) + 65535) // 65536 END AS n FROM d),
+r AS (SELECT *, CAST(unnest(range(n)) AS INT) AS round FROM n),
+p AS (SELECT *, CASE WHEN round = 0 THEN 0 WHEN round = 1 THEN 256 ELSE 4352 + (round - 2) * 65536 END AS start, CASE round WHEN 0 THEN 256 WHEN 1 THEN 4096 ELSE 65536 END AS most FROM r),
+k AS (SELECT *, least(most, size - start) AS len FROM p)"""
+
+
+@query(f"WITH {PACKETS} SELECT doc_id, round, CAST(start AS BIGINT) AS start, CAST(len AS BIGINT) AS len, CAST(CASE WHEN len IN (4096, 16384, 65536) THEN 1 ELSE 3 END AS INT) AS header FROM k")
+def mux_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as streams: their packets; (round, doc_id) is the order in the file."""
+    size = F.octet_length("text").cast("long")
+    return Y.packets(table(spark, sf_dir, "documents").select("doc_id", size.alias("size")), F.col("size")).select("doc_id", "round", "start", "len", "header")
+
+
+@query(f"WITH {PACKETS} SELECT source, count(*) AS n, CAST(sum(len) AS BIGINT) AS payload, CAST(sum(CASE WHEN len IN (4096, 16384, 65536) THEN 1 ELSE 3 END) AS BIGINT) AS overhead FROM k GROUP BY source")
+def mux_overhead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of payload and of headers by source."""
+    docs = table(spark, sf_dir, "documents").select("source", F.octet_length("text").cast("long").alias("size"))
+    return Y.packets(docs, F.col("size")).groupBy("source").agg(F.count("*").alias("n"), F.sum("len").alias("payload"), F.sum("header").alias("overhead"))
+
+
+@query(f"WITH {PACKETS} SELECT doc_id, count(*) AS n_packets, any_value(md5(text)) AS md5, TRUE AS equal FROM k GROUP BY doc_id")
+def demux_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets put together again by stream, and whether that gives the text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("raw"))
+    cut = Y.packets(docs.withColumn("size", F.length("raw").cast("long")), F.col("size"))
+    pieces = cut.select("doc_id", "round", F.substring(F.col("raw"), F.col("start").cast("int") + 1, F.col("len").cast("int")).alias("payload"), F.md5("raw").alias("whole"))
+    joined = pieces.groupBy("doc_id").agg(F.count("*").alias("n_packets"), F.array_sort(F.collect_list(F.struct("round", "payload"))).alias("p"), F.first("whole").alias("whole"))
+    text = F.aggregate(F.transform("p", lambda x: x["payload"]), F.unhex(F.lit("")), lambda a, b: F.concat(a, b))
+    return joined.select("doc_id", "n_packets", F.md5(text).alias("md5"), (F.md5(text) == F.col("whole")).alias("equal"))
+
+
+@query("""WITH c AS (SELECT c_nationkey, c_mktsegment, count(*) AS target FROM customer GROUP BY ALL),
+b AS (SELECT *, unnest(range((target + 15) // 16)) AS batch FROM c)
+SELECT c_nationkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY CAST(batch AS DOUBLE) / target, c_mktsegment) AS INT) AS step, c_mktsegment, batch FROM b""")
+def component_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 16 customers of each segment: whose turn is next within a nation."""
+    counts = table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("target"))
+    batches = counts.withColumn("batch", F.explode(F.sequence(F.lit(0).cast("long"), bits.ceil_div(F.col("target"), 16) - 1)))
+    return Y.turns(batches, ["c_nationkey"], "c_mktsegment", "batch", "target").select("c_nationkey", "step", "c_mktsegment", "batch")
+
+
+@query("""WITH f AS (SELECT doc_id % 3 AS file_no, source, octet_length(encode(text)) AS size FROM documents)
+SELECT source, CAST(count(DISTINCT file_no) AS BIGINT) AS files, count(*) AS members, CAST(sum(size) AS BIGINT) AS total, CAST(sum(CASE WHEN file_no = 0 THEN size ELSE 0 END) AS BIGINT) AS first_size FROM f GROUP BY source""")
+def concat_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three files' members by source, laid end to end, with their sizes summed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.octet_length("text").cast("long").alias("size"))
+    files = [docs.where(F.col("doc_id") % 3 == k).withColumn("file_no", F.lit(k)) for k in range(3)]
+    whole = files[0].unionByName(files[1]).unionByName(files[2])
+    return whole.groupBy("source").agg(F.countDistinct("file_no").alias("files"), F.count("*").alias("members"), F.sum("size").alias("total"), F.sum(F.when(F.col("file_no") == 0, F.col("size")).otherwise(0)).alias("first_size"))
+
+
+@query("""WITH s AS (SELECT o_orderkey, o_custkey, length(o_orderpriority) + CAST(floor(o_totalprice) AS BIGINT) % 997 AS size FROM orders),
+c AS (SELECT *, sum(size) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - size AS start FROM s)
+SELECT o_orderkey, CAST(greatest(start, 500) - start AS BIGINT) AS skip, CAST(least(start + size, 2500) - greatest(start, 500) AS BIGINT) AS len
+FROM c WHERE start < 2500 AND start + size > 500""")
+def trunc_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes 500 to 2,500 of each customer's orders laid end to end: which rows, and which part of each."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
+    s = table(spark, sf_dir, "orders").withColumn("size", F.length("o_orderpriority") + F.floor("o_totalprice").cast("long") % 997)
+    c = s.withColumn("start", F.sum("size").over(w) - F.col("size")).where("start < 2500 and start + size > 500")
+    begin = F.greatest("start", F.lit(500).cast("long"))
+    return c.select("o_orderkey", (begin - F.col("start")).alias("skip"), (F.least(F.col("start") + F.col("size"), F.lit(2500).cast("long")) - begin).alias("len"))
+
+
+@query("""SELECT o_orderstatus, count(*) FILTER (o_orderstatus IN ('F', 'O')) AS kept, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS dropped,
+  count(*) FILTER (EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')) AS returned,
+  count(*) FILTER (NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)) AS bare FROM orders GROUP BY o_orderstatus""")
+def marker_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders kept by an allow-list, those with a returned line (semi join) and those without any (anti join)."""
+    orders, items = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), table(spark, sf_dir, "lineitem")
+    key = F.col("o_orderkey") == F.col("l_orderkey")
+    allowed = F.col("o_orderstatus").isin("F", "O")
+    tag = lambda df, name: df.select("o_orderstatus", F.lit(name).alias("k"))
+    rows = tag(orders.where(allowed), "kept").union(tag(orders.where(~allowed), "dropped"))
+    rows = rows.union(tag(orders.join(items.where("l_returnflag = 'R'"), key, "left_semi"), "returned")).union(tag(orders.join(items, key, "left_anti"), "bare"))
+    return rows.groupBy("o_orderstatus").agg(*(F.sum((F.col("k") == k).cast("long")).alias(k) for k in ("kept", "dropped", "returned", "bare")))
