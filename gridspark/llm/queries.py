@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, quality, sharding, simhash, substring, suffix
+from . import bpe, chat, decontaminate, lm, media, quality, sharding, simhash, substring, suffix
 from .common import table_of
 
 SHARDS = [f"shard-{k:03d}" for k in range(128)]
@@ -47,11 +47,21 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector played as a tune; every hundredth is a query against all."""
+    tunes = media.played(table_of(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return media.aligned(tunes, "id", "audio", F.col("id") % 100 == 0).withColumnRenamed("id", "vec_id")
+
+
 def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table_of(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix.repeated_bytes(docs).select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.backoff_scores(table_of(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 #: A conversation whose texts hold control strings of other formats.
 PROBE = "SELECT bigint(-7) AS conv_id, bigint(turn) AS turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)"
 
@@ -95,6 +105,25 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT doc_id, w[i] AS w0, w[i - 1] AS w1, CASE WHEN i > 2 THEN w[i - 2] END AS w2, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+u AS (SELECT doc_id, w0, CASE WHEN i > 1 THEN w1 END AS w1, w2 FROM t),
+c1 AS (SELECT w0 AS a, count(*) AS n FROM u GROUP BY 1),
+c2 AS (SELECT w1 AS a, w0 AS b, count(*) AS n FROM u WHERE w1 IS NOT NULL GROUP BY 1, 2),
+c3 AS (SELECT w2 AS a, w1 AS b, w0 AS c, count(*) AS n FROM u WHERE w2 IS NOT NULL GROUP BY 1, 2, 3),
+k AS (SELECT CAST(round(1e6 * ln(count(*))) AS BIGINT) AS total, CAST(round(1e6 * ln(0.4)) AS BIGINT) AS off FROM u),
+s AS (
+  SELECT u.doc_id, CASE WHEN c3.n >= 2 THEN 3 WHEN c2.n >= 2 THEN 2 ELSE 1 END AS level,
+    CASE WHEN c3.n >= 2 THEN CAST(round(1e6 * ln(c3.n)) AS BIGINT) - CAST(round(1e6 * ln(p2.n)) AS BIGINT)
+      WHEN c2.n >= 2 THEN CAST(round(1e6 * ln(c2.n)) AS BIGINT) - CAST(round(1e6 * ln(p1.n)) AS BIGINT) + CASE WHEN u.w2 IS NULL THEN 0 ELSE off END
+      ELSE CAST(round(1e6 * ln(c1.n)) AS BIGINT) - total + CASE WHEN u.w1 IS NULL THEN 0 WHEN u.w2 IS NULL THEN off ELSE 2 * off END END AS s
+  FROM u JOIN c1 ON c1.a = u.w0 LEFT JOIN c2 ON c2.a = u.w1 AND c2.b = u.w0 LEFT JOIN c3 ON c3.a = u.w2 AND c3.b = u.w1 AND c3.c = u.w0
+    LEFT JOIN c1 p1 ON p1.a = u.w1 LEFT JOIN c2 p2 ON p2.a = u.w2 AND p2.b = u.w1 CROSS JOIN k)
+SELECT d.doc_id, CAST(len(any_value(w)) AS BIGINT) AS n_words, count(*) FILTER (level = 1) AS n_1, count(*) FILTER (level = 2) AS n_2, count(*) FILTER (level = 3) AS n_3, CAST(coalesce(sum(s), 0) AS BIGINT) AS score_micro
+FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
+"""
+
 OP9_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -128,9 +157,11 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
+    "op6_media": op6_media,
     "op7_suffix": op7_suffix,
+    "op8_lm": op8_lm,
     "op9_chat": op9_chat,
     "op10_substring": op10_substring,
 }
 
-ORACLE_SQL = {"op3_decontaminate": OP3_SQL, "op9_chat": OP9_SQL, "op10_substring": OP10_SQL}
+ORACLE_SQL = {"op3_decontaminate": OP3_SQL, "op8_lm": OP8_SQL, "op9_chat": OP9_SQL, "op10_substring": OP10_SQL}
