@@ -20,56 +20,59 @@ def _logs(x: np.ndarray) -> np.ndarray:
     return np.rint(np.log(x) * UNIT).astype(np.int64)
 
 
-def gram_hashes(words: list[bytes], order: int) -> list[np.ndarray]:
-    """Per order n: a 64-bit hash of the n words that end at each position from n - 1 on."""
-    out = [word_hashes(words)]
-    for n in range(2, order + 1):
-        before = out[-1]
-        out.append(mixed((before[:-1] ^ np.uint64(n)) * _STEP + out[0][n - 1 :]) if len(before) > 1 else np.zeros(0, np.uint64))
+def gram_hashes(before: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n words that end at each position, 0 where the text has fewer before it.
+
+    words and before are the hashes of orders 1 and n - 1 over texts laid end to end.
+    """
+    out = np.zeros(len(words), np.uint64)
+    out[1:] = mixed((before[:-1] ^ np.uint64(n)) * _STEP + words[1:])
     return out
 
 
 class _Part:
-    """The n-grams of one partition's documents: sorted distinct hashes per order, and where each position's is."""
+    """The words of one partition's documents, laid end to end."""
 
-    def __init__(self, payloads: pa.ChunkedArray, id_col: str, text_col: str, order: int) -> None:
-        ids, n_words, grams = [], [], []
+    def __init__(self, payloads: pa.ChunkedArray, id_col: str, text_col: str) -> None:
+        ids, n_words, words = [np.zeros(0, np.int64)], [], [np.zeros(0, np.uint64)]
         for table in unshipped(payloads):
             ids.append(id_array(table.column(id_col)))
             for text in table.column(text_col).to_pylist():
-                words = (text or "").encode().lower().split()
-                n_words.append(len(words))
-                grams.append(gram_hashes(words, order))
-        self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        self.n_words = np.array(n_words, np.int64)
-        self.distinct, self.place, self.counts = [], [], []
-        for k in range(order):
-            every = np.concatenate([g[k] for g in grams]) if grams else np.zeros(0, np.uint64)
-            distinct, place, counts = np.unique(every, return_inverse=True, return_counts=True)
-            self.distinct.append(distinct)
-            self.place.append(place.astype(np.int32))
-            self.counts.append(counts.astype(np.uint32))
-            for g in grams:
-                g[k] = g[k][:0]
+                words.append(word_hashes((text or "").encode().lower().split()))
+                n_words.append(len(words[-1]))
+        self.ids, self.n_words, self.words = np.concatenate(ids), np.array(n_words, np.int64), np.concatenate(words)
+        self.at = np.arange(len(self.words)) - np.repeat(np.cumsum(self.n_words) - self.n_words, self.n_words)
+
+    def orders(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per order n: which positions end n words of their text, and those n-grams' hashes. One order is held at a time."""
+        grams = self.words
+        for n in range(1, order + 1):
+            if n > 1:
+                grams = gram_hashes(grams, self.words, n)
+            has = self.at >= n - 1
+            yield has, grams[has]
 
-    def bounds(self, k: int, buckets: int) -> np.ndarray:
-        """Cuts of the sorted hashes of order k + 1 by bucket, a range of hashes each."""
-        edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
-        return np.concatenate([[0], np.searchsorted(self.distinct[k], edges), [len(self.distinct[k])]])
+
+def _cuts(distinct: np.ndarray, buckets: int) -> np.ndarray:
+    """Cuts of sorted hashes by bucket, a range of hashes each."""
+    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(distinct, edges), [len(distinct)]])
 
 
 def _requests(id_col: str, text_col: str, order: int, buckets: int):
     def kernel(key: tuple, table: pa.Table) -> pa.Table:
-        part = _Part(table.column("payload"), id_col, text_col, order)
-        cuts = [part.bounds(k, buckets) for k in range(order)]
-        bucket, payload = [], []
-        for b in range(buckets):
-            mine = [(part.distinct[k][c[b] : c[b + 1]], part.counts[k][c[b] : c[b + 1]]) for k, c in enumerate(cuts)]
-            if any(len(h) for h, _ in mine):
-                bucket.append(b)
-                payload.append(packed(*(deltas(h) for h, _ in mine), *(n for _, n in mine)))
-        part_number = pa.array([key[0].as_py()] * len(bucket), pa.int32())
-        return pa.table({"bucket": pa.array(bucket, pa.int32()), "part": part_number, "payload": pa.array(payload, pa.binary())})
+        part = _Part(table.column("payload"), id_col, text_col)
+        asked: list[list[np.ndarray]] = [[] for _ in range(buckets)]
+        counted: list[list[np.ndarray]] = [[] for _ in range(buckets)]
+        for _, grams in part.orders(order):
+            distinct, counts = np.unique(grams, return_counts=True)
+            cuts = _cuts(distinct, buckets)
+            for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                asked[b].append(deltas(distinct[i:j]))
+                counted[b].append(counts[i:j].astype(np.uint32))
+        some = [b for b in range(buckets) if any(len(h) for h in asked[b])]
+        payload = [packed(*asked[b], *counted[b]) for b in some]
+        return pa.table({"bucket": pa.array(some, pa.int32()), "part": pa.array([key[0].as_py()] * len(some), pa.int32()), "payload": pa.array(payload, pa.binary())})
 
     return kernel
 
@@ -99,31 +102,24 @@ def _summed(id_col: str, text_col: str, order: int, alpha: float):
     penalty = int(np.rint(np.log(alpha) * UNIT))
 
     def kernel(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        part = _Part(left.column("payload"), id_col, text_col, order)
+        part = _Part(left.column("payload"), id_col, text_col)
         replies = sorted(zip(right.column("bucket").to_pylist(), right.column("payload").to_pylist(), strict=True))
-        answers = [unpacked(raw, *[np.uint32] * order) for _, raw in replies]
-        logs, kept = [], []
-        for k in range(order):
-            counts = np.concatenate([a[k] for a in answers]) if answers else np.zeros(0, np.uint32)
-            logs.append(_logs(np.maximum(counts, 1)))
-            kept.append(counts > 0)
-        words = int(part.n_words.sum())
-        first = np.repeat(np.cumsum(part.n_words) - part.n_words, part.n_words)
-        at = np.arange(words) - first  # place in its document
+        words = len(part.words)
         score, level = np.zeros(words, np.int64), np.zeros(words, np.int8)
         before = None
-        for k in range(order):
-            has = np.flatnonzero(at >= k)
-            own, count = np.zeros(words, np.int64), np.zeros(words, bool)
-            own[has], count[has] = logs[k][part.place[k]], kept[k][part.place[k]]
-            if k == 0:
-                score, level = own.copy(), np.ones(words, np.int8)
+        for k, (has, grams) in enumerate(part.orders(order)):
+            place = np.unique(grams, return_inverse=True)[1]
+            totals = np.concatenate([np.zeros(0, np.uint32), *(unpacked(raw, *[np.uint32] * order)[k] for _, raw in replies)])[place]
+            own, kept = np.zeros(words, np.int64), np.zeros(words, bool)
+            own[has], kept[has] = _logs(np.maximum(totals, 1)), totals > 0
+            del place, totals, grams
+            if before is None:
+                score = own.copy()
             else:
                 # The best order so far loses a factor alpha for backing off, unless this order's n-gram is kept.
-                context = np.zeros(words, np.int64)
-                context[1:] = before[:-1]
-                score = np.where(count, own - context, score + penalty * (at >= k))
-                level = np.where(count, k + 1, level).astype(np.int8)
+                score[has] += penalty
+                score[1:] = np.where(kept[1:], own[1:] - before[:-1], score[1:])
+            level[kept] = k + 1
             before = own
         doc = np.repeat(np.arange(len(part.ids)), part.n_words)
         sums = np.zeros(len(part.ids), np.int64)
