@@ -17,8 +17,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash group."""
-    return simhash.deduplicated(docs)
+    """The document with the smallest id of each group of texts whose five-word shingles are 0.8 alike or more."""
+    return simhash.without_similar(docs)
 
 
 def drop_repeated_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

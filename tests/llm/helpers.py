@@ -100,3 +100,20 @@ def repeated_bytes(docs: list[tuple[int, str | None]], width: int = 200) -> dict
         spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
         out[k] = (len(raw), sum(gone), spans, sha(bytes(b for b, g in zip(raw, gone) if not g)))
     return out
+
+
+def similar_groups(docs: dict[int, str | None], least: float = 0.8) -> dict[int, int]:
+    sets = {}
+    for k, text in docs.items():
+        w = ascii_words(ascii_lower(text or ""))
+        sets[k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+    label, changed = {k: k for k in docs}, True
+    near = [(a, b) for a in docs for b in docs if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in near:
+            low = min(label[a], label[b])
+            if label[a] != low or label[b] != low:
+                label[a] = label[b] = low
+                changed = True
+    return label

@@ -8,7 +8,7 @@ import pytest
 from gridspark.llm import components, simhash, substring, suffix
 
 from .helpers import components as brute_components
-from .helpers import corpus, fingerprint, repeated_bytes, repeated_words
+from .helpers import corpus, fingerprint, repeated_bytes, repeated_words, similar_groups, words
 
 SCHEMA = "doc_id long, text string"
 
@@ -49,6 +49,51 @@ def test_subtrees_and_chunks_lose_no_link(spark, subtree, bits):
     assert {k: found.get(k, k) for k in nodes} == brute_components(nodes, 2)
 
 
+def near_copies(seed: int, n: int) -> list[tuple[int, str]]:
+    """A group of texts with more and more words changed, among others."""
+    rng = random.Random(seed)
+    base = words(rng, 400)
+    out = []
+    for k in range(n):
+        some = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 6, 9, 14, 20])):
+            some[rng.randrange(400)] = f"new{rng.randrange(10**9)}"
+        out.append((2 * k, " ".join(some)))
+        out.append((2 * k + 1, " ".join(words(rng, rng.choice([2, 30, 300])))))
+    return out
+
+
+@pytest.mark.parametrize("sketches", [1 << 18, 16])
+def test_similar_documents(spark, monkeypatch, sketches):
+    monkeypatch.setattr(simhash, "SKETCHES", sketches)
+    docs = near_copies(3, 120)
+    out = simhash.similar_documents(spark.createDataFrame(docs, SCHEMA)).collect()
+    got, want = {r.id: r.component for r in out}, similar_groups(dict(docs))
+    assert len(got) == len(docs)
+    assert all(want[k] == want[c] for k, c in got.items())  # no link that isn't one
+    sure = similar_groups(dict(docs), 0.83)
+    assert all(got[k] == got[c] for k, c in sure.items())
+    assert sum(got[k] != want[k] for k in want) <= 0.04 * len(docs)  # borderline texts
+
+
+def test_similar_documents_edge_cases(spark):
+    rows = [(1, None, "x"), (2, "", "y"), (3, "two words", "z"), (3, "two words", "z"), (4, "Two  WORDS", "q"), (None, "two words", "n"), (9, "other", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component string")
+    got = sorted((r.id or -1, r.component or -1) for r in simhash.similar_documents(df).collect())
+    assert got == [(-1, -1), (1, 1), (2, 1), (3, 3), (3, 3), (4, 3), (9, 9)]
+    kept = simhash.without_similar(df)
+    assert kept.columns == df.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 3, 3, 9]
+    assert simhash.similar_documents(df.limit(0)).count() == 0
+
+
+def test_pairs_of_equal_keys_come_once():
+    rng = np.random.default_rng(5)
+    keys = np.sort(rng.choice(rng.integers(0, 2**28, 30, dtype=np.uint64) << np.uint64(36), 90))
+    got = [(int(a), int(b)) for x, y in simhash.trie_pairs(keys, [(0, 90, 0, 90, 0)], 0, 2, 28) for a, b in zip(x, y)]
+    near = np.bitwise_count(keys[:, None] ^ keys[None, :]) <= 2
+    assert len(got) == len(set(got)) and set(got) == {(int(a), int(b)) for a, b in zip(*np.nonzero(near)) if a < b}
+
+
 def test_components_of_paths_and_hubs(spark):
     path = [(i, i + 1) for i in range(100, 160)]
     hub = [(7, 1000 + i) for i in range(200)]

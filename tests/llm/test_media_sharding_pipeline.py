@@ -8,7 +8,7 @@ import corpus_pipeline
 from gridspark.llm import media, quality, sharding
 
 from ..conftest import DATA
-from .helpers import components, fingerprint, repeated_words, sha
+from .helpers import repeated_words, sha, similar_groups
 from .test_text import brute_contamination
 
 
@@ -136,7 +136,7 @@ def test_each_stage_against_brute_force(spark, stages):
     rows = [{r.doc_id: r.text for r in f.collect()} for f in stages[:-1]]
     model = quality.trained(stages[0], spark.read.parquet(f"{DATA}/labels.parquet"))
     assert rows[1] == {k: t for k, t in rows[0].items() if model.score(t) >= 0.3}
-    groups = components({k: fingerprint(t) for k, t in rows[1].items()}, 2)
+    groups = similar_groups(rows[1])
     assert set(rows[2]) == set(groups.values())
     cut = repeated_words(list(rows[2].items()))
     assert {k: sha(" ".join(t.encode().decode().split())) for k, t in rows[3].items()} == {k: s for k, (n, gone, s) in cut.items() if not gone or gone < n}
