@@ -104,6 +104,10 @@ SELECT o_custkey, CAST(i - 1 AS INT) AS split_id, CAST(CASE WHEN i = 1 THEN 0 EL
 FROM (SELECT *, unnest(range(1, len(cuts) + 1)) AS i FROM cuts)""")
 def balanced_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's orders as rows of an image: where it splits into near equal segments, and their sizes."""
+    return split_rows(spark, sf_dir)
+
+
+def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
     sized = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.sum(F.floor("o_totalprice").cast("long")).over(w).alias("size"))
     rows = sized.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "size"))), lambda x: x["size"]).alias("s"))

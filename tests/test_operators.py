@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from gridspark.operators import blocks, layout, ledger, ranking, scans
+from gridspark.operators import blocks, layout, ledger, ranking, scans, segments
 
 
 def test_ranks_with_ties_and_nulls(spark):
@@ -84,3 +84,18 @@ def test_neighbours_of_one_block(spark):
 def test_bill_of_nothing(spark):
     empty = spark.createDataFrame([], "category string, is_compressed boolean, bits long")
     assert ledger.billed(empty).count() == 0
+
+
+def test_segments_of_broken_headers(spark):
+    whole = bytes.fromhex("FFD8" + "FFE00004AABB" + "FFDB0005000107" + "FFDA0008010100003F00" + "FFDB0005000107")
+    raws = [whole, whole[:7], b"", b"\xff\xd8", whole[:8] + b"\x00" + whole[9:], None]
+    rows = spark.createDataFrame([(k, None if r is None else bytearray(r)) for k, r in enumerate(raws)], "k int, raw binary").select("k", segments.segments(F.col("raw")).alias("s")).collect()
+    kinds = {r.k: [s.kind for s in r.s or []] for r in rows}
+    assert kinds == {0: [0xE0, 0xDB, 0xDA], 1: [], 2: [], 3: [], 4: [0xE0], 5: []}
+
+
+def test_handoffs_round_trip(spark):
+    df = spark.createDataFrame([(1, 65535, 2**32 - 1, 255, 7, -32768, 32767)], "k int, start long, size long, o int, b int, x int, y int")
+    one = segments.handoff(F.col("start"), F.col("size"), F.col("o"), F.col("b"), [F.col("x"), F.col("y")])
+    back = df.select(segments.read_handoffs(segments.handoff_list(F.array(one, one))).alias("h")).first().h
+    assert [(h.start, h.end, h.size, h.overhang, h.overhang_bits, h["last"]) for h in back] == [(65535, 65535, 2**32 - 1, 255, 7, [-32768, 32767, 0]), (65535, None, 2**32 - 1, 255, 7, [-32768, 32767, 0])]
