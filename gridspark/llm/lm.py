@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, checkpointed, deltas, id_array, mixed, packed, shipped, unpacked, unshipped, word_hashes
+from .common import BUCKET_BYTES, bucket_count, checkpointed, deltas, id_array, mixed, packed, runs, shipped, unpacked, unshipped, word_hashes
 
 #: Scores are sums of natural logarithms, each rounded to this part of one, so their order doesn't matter.
 UNIT = 1_000_000
@@ -53,26 +54,23 @@ class _Part:
             yield has, grams[has]
 
 
-def _cuts(distinct: np.ndarray, buckets: int) -> np.ndarray:
-    """Cuts of sorted hashes by bucket, a range of hashes each."""
-    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(distinct, edges), [len(distinct)]])
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The range of hashes that each belongs to; it rises with the hash."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _requests(id_col: str, text_col: str, order: int, buckets: int):
     def kernel(key: tuple, table: pa.Table) -> pa.Table:
         part = _Part(table.column("payload"), id_col, text_col)
-        asked: list[list[np.ndarray]] = [[] for _ in range(buckets)]
-        counted: list[list[np.ndarray]] = [[] for _ in range(buckets)]
-        for _, grams in part.orders(order):
+        none = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        asked: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(lambda: [none] * order)
+        for k, (_, grams) in enumerate(part.orders(order)):
             distinct, counts = np.unique(grams, return_counts=True)
-            cuts = _cuts(distinct, buckets)
-            for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                asked[b].append(deltas(distinct[i:j]))
-                counted[b].append(counts[i:j].astype(np.uint32))
-        some = [b for b in range(buckets) if any(len(h) for h in asked[b])]
-        payload = [packed(*asked[b], *counted[b]) for b in some]
-        return pa.table({"bucket": pa.array(some, pa.int32()), "part": pa.array([key[0].as_py()] * len(some), pa.int32()), "payload": pa.array(payload, pa.binary())})
+            bucket = _bucket(distinct, buckets)
+            for i, j in zip(*runs(bucket), strict=True):
+                asked[int(bucket[i])][k] = deltas(distinct[i:j]), counts[i:j].astype(np.uint32)
+        payload = [packed(*(h for h, _ in x), *(n for _, n in x)) for x in asked.values()]
+        return pa.table({"bucket": pa.array(list(asked), pa.int32()), "part": pa.array([key[0].as_py()] * len(asked), pa.int32()), "payload": pa.array(payload, pa.binary())})
 
     return kernel
 
@@ -131,7 +129,7 @@ def _summed(id_col: str, text_col: str, order: int, alpha: float):
     return kernel
 
 
-def backoff_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, least: int = 2) -> DataFrame:
+def backoff_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, least: int = 2, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(id, n_words, n_1 .. n_<order>, score_micro): the log score of each text under the n-grams of all texts.
 
     Words are runs of characters other than ASCII white space, A-Z lowered. A
@@ -147,8 +145,10 @@ def backoff_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are dealt to partitions; each sends its distinct n-grams with local
     counts to the hash ranges that hold the count table, which answer in the same
     order, so neither a frequent n-gram nor a long text gathers rows in one task.
+    A partition holds about ``bucket_bytes`` of text; larger ones send fewer,
+    longer messages.
     """
-    parts = bucket_count(df, text_col)
+    parts = bucket_count(df, text_col, bucket_bytes)
     docs = shipped(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "id", parts)
     asked = docs.groupBy("part").applyInArrow(_requests("id", "text", order, parts), "bucket int, part int, payload binary")
     answers = asked.groupBy("bucket").applyInArrow(_counted(order, least), "part int, bucket int, payload binary")

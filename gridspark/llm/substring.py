@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import PACKED, Rolling, bucket_count, deltas, id_array, packed, part_of, runs, shipped, unpacked, unshipped, word_hashes
+from .common import BUCKET_BYTES, PACKED, Rolling, bucket_count, deltas, id_array, packed, part_of, runs, shipped, unpacked, unshipped, word_hashes
 
 #: Two independent odd multipliers: the first hash tells windows apart, the second deals them to buckets.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -171,7 +171,7 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, keep_text: bool = True) -> DataFrame:
+def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, keep_text: bool = True, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Remove every word that a repeated window covers; all columns of df stay.
 
     Words are runs of characters other than ASCII white space; a window is
@@ -193,10 +193,11 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are settled there and sent once, so a passage that a third of all documents
     share reaches its bucket once per flush. Payloads are counted in the bucket
     by sorting. A second shuffle brings the documents, compressed, to their marks.
+    A bucket holds the windows of about ``bucket_bytes`` of text.
     """
     made = {"n_words": "bigint", "n_removed": "bigint", "removed": "array<struct<start:int,end:int>>", "kept_sha256": "string"}
     base = df.select(*(c for c in df.columns if c not in made))
-    buckets = bucket_count(base, text_col)
+    buckets = bucket_count(base, text_col, bucket_bytes)
     place = base.select(F.col(id_col).cast("long").alias("id"), F.crc32(F.col(text_col).cast("binary")).alias("tag"), F.col(text_col).alias("text"))
     marks = place.mapInArrow(_windows(width, buckets, buckets), "bucket int, kind int, payload binary").groupBy("bucket").applyInArrow(_counted(buckets), PACKED)
     docs = shipped(base.withColumn("_tag", F.crc32(F.col(text_col).cast("binary"))), id_col, buckets)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from xxhash import xxh3_64_intdigest
 
-from .common import PACKED, Rolling, bucket_count, deltas, id_array, mixed, packed, part_of, runs, shipped, unpacked, unshipped
+from .common import BUCKET_BYTES, PACKED, Rolling, bucket_count, deltas, id_array, mixed, packed, part_of, runs, shipped, unpacked, unshipped
 
 BASE = 0x9E3779B97F4A7C15
 #: Bytes whose anchors one flush of a map task looks for; a longer text is taken in overlapping blocks.
@@ -371,7 +371,7 @@ def _kept(table: pa.Table, found: dict, id_col: str, text_col: str, names: list[
     return pa.table([*(table.column(c) for c in names), *new], names=[*names, "n_bytes", "n_removed", "removed", "kept_sha256", "kept"])
 
 
-def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 64, keep: bool = False) -> DataFrame:
+def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 64, keep: bool = False, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All columns of df with n_bytes, n_removed, removed (array of {start, end}), kept_sha256, and kept (binary) on request.
 
     A byte of a text's UTF-8 form is removed if a string of ``width`` bytes that
@@ -386,11 +386,11 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bytes; the bytes around anchors that occur more than once; the intervals.
     Texts cross compressed. What repeats within a task is settled there, so the
     anchors and segments of a passage that a third of all texts share reach
-    their bucket once per task.
+    their bucket once per task. A partition holds about ``bucket_bytes`` of text.
     """
     made = {"n_bytes": "bigint", "n_removed": "bigint", "removed": "array<struct<start:int,end:int>>", "kept_sha256": "string", "kept": "binary"}
     base = df.select(*(c for c in df.columns if c not in made))
-    parts = bucket_count(base, text_col)
+    parts = bucket_count(base, text_col, bucket_bytes)
     docs, segments = _segment_frames(base, id_col, text_col, width, gram, parts, True)
     spans = segments.groupBy("bucket").applyInArrow(_covered(width, gram, parts), PACKED)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), *(f"{k} {v}" for k, v in made.items())])
@@ -408,7 +408,7 @@ def _segment_frames(base: DataFrame, id_col: str, text_col: str, width: int, gra
     return docs, segments
 
 
-def maximal_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 64) -> DataFrame:
+def maximal_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 64, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(length int, occurrences array of {id, start}) for each maximal repeat through each anchor, ``width`` bytes or more.
 
     All occurrences of a group are listed, not only neighbours. Extents are
@@ -416,7 +416,7 @@ def maximal_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     segment appears as overlapping groups. Options and null handling are those
     of repeated_bytes.
     """
-    parts = bucket_count(df, text_col)
+    parts = bucket_count(df, text_col, bucket_bytes)
     _, segments = _segment_frames(df.select(id_col, text_col), id_col, text_col, width, gram, parts, False)
 
     def kernel(key: tuple, table: pa.Table) -> pa.Table:
