@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -143,3 +144,27 @@ def coded_bits(df: DataFrame, key: str, order: list[str], bit_col: str) -> DataF
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, *order, bit_col).groupBy(key).applyInPandas(kernel, f"`{key}` {kind}, n_bits long, ones long, n_bytes long, code binary, equal boolean")
+
+
+def stored(df: DataFrame, id_col: str, text_col: str, level: int = 9) -> DataFrame:
+    """(id, outcome, n_bytes, payload, equal): texts compressed, or as they are where that isn't smaller, and read back.
+
+    The outcome says which; equal compares size and digest of what is read back.
+    Null texts are stored as empty.
+    """
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(1).to_pylist():
+                raw = (text or "").encode()
+                small = zlib.compress(raw, level)
+                coded = len(small) < len(raw)
+                payload = small if coded else raw
+                back = zlib.decompress(payload) if coded else payload
+                rows.append(("coded" if coded else "stored", len(raw), payload, len(back) == len(raw) and hashlib.md5(back).digest() == hashlib.md5(raw).digest()))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            kinds = (pa.string(), pa.int64(), pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "outcome", "n_bytes", "payload", "equal"])
+
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).mapInArrow(kernel, "id long, outcome string, n_bytes long, payload binary, equal boolean")

@@ -85,3 +85,28 @@ def memory_bound(streaming: Column, file_size: Column, header: Column, packed_he
     grown = F.when((packed_header > 0) & (doubled < header), doubled * (bits.next_power_of_two(bits.ceil_div(header, doubled)) - 1)).otherwise(0)
     garbage = bits.next_power_of_two(header)
     return streaming + WRITER_BYTES + file_size + MODEL_BYTES + garbage + header + packed_header * 3 + grown + MUX_BYTES
+
+
+def gcd(a: Column, b: Column) -> Column:
+    """Euclid's algorithm on numbers from 1 up to 2**40, sixty steps at most."""
+    start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % s["b"]).alias("b"))))["a"]
+
+
+def unit_position(unit: Column, sub: Column, mcuh: Column, sh: Column, sv: Column) -> Column:
+    """A block's number in raster order from its unit and its place there, units and places both in raster order."""
+    row = bits.int_div(unit, mcuh) * sv + bits.int_div(sub, sh)
+    return row * (mcuh * sh) + (unit % mcuh) * sh + sub % sh
+
+
+def interleaved(g: DataFrame) -> DataFrame:
+    """(image_id, component, unit, sub, dpos): every block of a geometry in interleaved scan order."""
+    rows = g.withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mcuh") * F.col("mcuv") - 1)))
+    rows = rows.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("sh") * F.col("sv") - 1)))
+    place = unit_position(F.col("unit"), F.col("sub"), F.col("mcuh"), F.col("sh"), F.col("sv"))
+    return rows.withColumn("dpos", place).withColumn("padding", (F.col("dpos") % F.col("bch") >= F.col("nch")) | (bits.int_div(F.col("dpos"), F.col("bch")) >= F.col("ncv")))
+
+
+def truncated_rows(rows: Column, coded: Column, multiple: Column) -> Column:
+    """Block rows that hold the first ``coded`` parts in a hundred of an image, raised to whole units."""
+    return F.least(rows, bits.ceil_div(bits.ceil_div(rows * coded, 100), multiple) * multiple)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import bits
 from ..operators import bytestreams as Z
 from ..sources.views import blocks, events, table
+from ..streaming import jobs
 from .registry import BLK, query
 
 DOC_BYTES = "x AS (SELECT doc_id, lang, unnest(regexp_extract_all(hex(encode(text)), '..')) AS h, unnest(range(octet_length(encode(text)))) AS i, octet_length(encode(text)) AS n FROM documents)"
@@ -103,3 +104,15 @@ def archive_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size"), (F.col("doc_id") % 8 + 1).alias("segments"), F.substring(F.md5("source"), 1, 24).alias("revision"))
     made = docs.select("doc_id", Z.archive_prefix(F.lit(1), F.lit("Z"), F.col("segments"), F.col("revision"), F.col("size"), F.lit(0)).alias("raw"))
     return made.select("doc_id", F.hex(F.substring("raw", 1, 20)).alias("head"), *Z.read_prefix(F.col("raw")))
+
+
+@query("SELECT doc_id, octet_length(encode(text)) AS n_bytes, TRUE AS equal FROM documents")
+def stored_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts compressed or stored, and validated by reading them back."""
+    return Z.stored(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "n_bytes", "equal")
+
+
+@query("SELECT doc_id, md5(text) AS md5, octet_length(encode(text)) AS n_bytes FROM documents")
+def stream_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A service over arriving documents: one answer for each request, a bounded number of files at a time."""
+    return jobs.answered_stream(spark, sf_dir)

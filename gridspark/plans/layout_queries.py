@@ -142,3 +142,29 @@ def marker_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tag(orders.where(allowed), "kept").union(tag(orders.where(~allowed), "dropped"))
     rows = rows.union(tag(orders.join(items.where("l_returnflag = 'R'"), key, "left_semi"), "returned")).union(tag(orders.join(items, key, "left_anti"), "bare"))
     return rows.groupBy("o_orderstatus").agg(*(F.sum((F.col("k") == k).cast("long")).alias(k) for k in ("kept", "dropped", "returned", "bare")))
+
+
+@query(f"""WITH {IMAGES},
+top AS (SELECT image_id, component, CAST(sh AS BIGINT) AS sh, CAST(sv AS BIGINT) AS sv, least(mcuh, 4) AS mcuh, least(mcuv, 3) AS mcuv, least(mcuh, 4) * sh AS bch, least(nch, least(mcuh, 4) * sh) AS nch, least(ncv, least(mcuv, 3) * sv) AS ncv FROM g),
+units AS (SELECT *, unnest(range(mcuh * mcuv)) AS unit FROM top),
+v AS (SELECT *, unnest(range(sh * sv)) AS sub FROM units),
+d AS (SELECT *, (unit // mcuh * sv + sub // sh) * bch + (unit % mcuh) * sh + sub % sh AS dpos FROM v)
+SELECT image_id, component, count(*) AS n, max(dpos) AS last, CAST(sum(dpos * (unit * sh * sv + sub + 1)) AS BIGINT) AS checksum, count(*) FILTER (dpos % bch >= nch OR dpos // bch >= ncv) AS padding FROM d GROUP BY image_id, component""")
+def scan_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of each image's top left units in interleaved scan order: places, the last one, and padding blocks."""
+    g = Y.geometry(images(spark, sf_dir)).withColumns({"mcuh": F.least("mcuh", F.lit(4).cast("long")), "mcuv": F.least("mcuv", F.lit(3).cast("long"))})
+    g = g.withColumns({"bch": F.col("mcuh") * F.col("sh"), "nch": F.least("nch", F.col("mcuh") * F.col("sh")), "ncv": F.least("ncv", F.col("mcuv") * F.col("sv"))})
+    rows = Y.interleaved(g)
+    order = F.col("unit") * F.col("sh") * F.col("sv") + F.col("sub") + 1
+    return rows.groupBy("image_id", "component").agg(F.count("*").alias("n"), F.max("dpos").alias("last"), F.sum(F.col("dpos") * order).alias("checksum"), F.sum(F.col("padding").cast("long")).alias("padding"))
+
+
+@query("""WITH p AS (SELECT p_partkey, CAST(p_size AS BIGINT) AS a, p_partkey % 64 + 1 AS b, CAST(p_size * 8 AS BIGINT) AS n, CAST(1 + p_size % 2 AS BIGINT) AS m FROM part)
+SELECT p_partkey, gcd(a, b) AS divisor, a * b // gcd(a, b) AS multiple, CASE WHEN a % 7 - 3 = 0 THEN 0 WHEN a % 7 - 3 > 0 THEN a % 7 ELSE a % 7 - 6 END AS remapped,
+  least(n, ((n * (b % 101) + 99) // 100 + m - 1) // m * m) AS rows FROM p""")
+def sampling_multiples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Common divisors and multiples of sampling factors, a prefix remapping, and rows of truncated images."""
+    a, b = F.col("p_size").cast("long"), F.col("p_partkey") % 64 + 1
+    d, x = Y.gcd(a, b), a % 7 - 3
+    remapped = F.when(x == 0, 0).when(x > 0, x + 3).otherwise(x - 3)
+    return table(spark, sf_dir, "part").select("p_partkey", d.alias("divisor"), bits.int_div(a * b, d).alias("multiple"), remapped.cast("long").alias("remapped"), Y.truncated_rows(a * 8, b % 101, 1 + a % 2).alias("rows"))

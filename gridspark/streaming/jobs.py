@@ -88,3 +88,17 @@ def branch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     drained(states, "update", add)
     return latest(spark, folder, schema, ["user_id"], "n")
+
+
+def answered_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 8) -> DataFrame:
+    """Digest and size of each arriving document; at most files_per_batch files are in work at a time."""
+    folder = shared_folder(spark)
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{sf_dir}/document[s].parquet")
+    answers = arriving.select("doc_id", F.md5("text").alias("md5"), F.octet_length("text").cast("long").alias("n_bytes"))
+
+    def add(frame: DataFrame, batch: int) -> None:
+        frame.write.mode("overwrite").parquet(f"{folder}/{batch}")
+
+    drained(answers, "append", add)
+    return spark.read.schema("doc_id long, md5 string, n_bytes long").parquet(f"{folder}/*")
