@@ -99,3 +99,20 @@ def test_handoffs_round_trip(spark):
     one = segments.handoff(F.col("start"), F.col("size"), F.col("o"), F.col("b"), [F.col("x"), F.col("y")])
     back = df.select(segments.read_handoffs(segments.handoff_list(F.array(one, one))).alias("h")).first().h
     assert [(h.start, h.end, h.size, h.overhang, h.overhang_bits, h["last"]) for h in back] == [(65535, 65535, 2**32 - 1, 255, 7, [-32768, 32767, 0]), (65535, None, 2**32 - 1, 255, 7, [-32768, 32767, 0])]
+
+
+def test_stored_texts(spark):
+    from gridspark.operators import bytestreams
+
+    df = spark.createDataFrame([(1, "a" * 1000), (2, "xy"), (3, ""), (4, None)], "id long, t string")
+    rows = {r.id: r for r in bytestreams.stored(df, "id", "t").collect()}
+    assert [rows[k].outcome for k in (1, 2, 3, 4)] == ["coded", "stored", "stored", "stored"] and all(r.equal for r in rows.values())
+
+
+def test_gcd(spark):
+    import math
+
+    rng = random.Random(1)
+    pairs = [(rng.randint(1, 2**40), rng.randint(1, 2**40)) for _ in range(50)] + [(1, 1), (12, 18), (7, 7)]
+    for r in spark.createDataFrame(pairs, "a long, b long").select("a", "b", layout.gcd(F.col("a"), F.col("b")).alias("g")).collect():
+        assert r.g == math.gcd(r.a, r.b)
