@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, gathered
+from .common import Rolling, checkpointed, gathered
 
-#: Bytes of benchmark text that one broadcast may hold; more are scanned in further blocks.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text that one broadcast may hold; more are scanned in further passes.
+BLOCK_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15
 
 #: A-Z to a-z; every other ASCII byte that is no letter or digit to a space; bytes of non-ASCII characters stay.
@@ -89,37 +89,54 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     unless spans=True and the document has hits). Columns of df with these
     result names are replaced.
 
-    The windows of the benchmark are broadcast, in blocks of at most
-    ``block_bytes`` of text: a benchmark below that bound is one block, a larger
-    one is scanned block after block, each adding to the hits of the row.
+    The windows of the benchmark are broadcast in blocks of at most
+    ``block_bytes`` of text. A benchmark below that bound is one block and one
+    pass over df; a larger one takes a pass for each block, which adds to the
+    hits found so far and is checkpointed, so neither the driver nor a task ever
+    holds more than one block.
     """
-    sc = df.sparkSession.sparkContext
-    blocks = [sc.broadcast(Windows(block, width)) for block in _blocks(benchmark, item_col, item_text_col, block_bytes)]
     made = {"n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean", "cleaned": "string"}
     base = df.select(*(c for c in df.columns if c not in made))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), *(f"{k} {v}" for k, v in made.items())])
     names = base.columns
     at_text = names.index(text_col)
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling(BASE)
-        for table in gathered(batches):
-            rows = []
-            for text in table.column(at_text).to_pylist():
-                words = words_of(text)
-                hit, items = np.zeros(len(words), bool), set()
-                for block in blocks:
-                    more, which = block.value.scan(words, rolling)
-                    hit |= more
-                    items |= which
-                n = int(hit.sum())
-                digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-                rows.append((len(words), n, len(items), digest, n > 0 and ratio * n >= len(words), without(text, hit) if spans and n else None))
-            new = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(),) * 3 + (pa.string(), pa.bool_(), pa.string()), strict=True)]
-            out = pa.table([*table.columns, *new], names=[*names, *made])
-            yield from out.to_batches()
-
-    return base.mapInArrow(kernel, schema)
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
+
+    def judged(text: str | None, words: list[bytes], hit: np.ndarray, items: set[str]) -> tuple:
+        n = int(hit.sum())
+        digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+        return len(words), n, len(items), digest, n > 0 and ratio * n >= len(words), without(text, hit) if spans and n else None
+
+    def scanning(block, first: bool, last: bool):
+        """A pass with one block: from no hits or those found before, to hits or the result."""
+
+        def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rolling = Rolling(BASE)
+            for table in gathered(batches):
+                texts, rows = table.column(at_text).to_pylist(), []
+                before = None if first else list(zip(table.column("_hit").to_pylist(), table.column("_items").to_pylist(), strict=True))
+                for k, text in enumerate(texts):
+                    words = words_of(text)
+                    hit, items = block.value.scan(words, rolling)
+                    if before is not None:
+                        hit |= np.frombuffer(before[k][0], bool)
+                        items |= set(before[k][1])
+                    rows.append(judged(text, words, hit, items) if last else (hit.tobytes(), sorted(items)))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()) if last else (pa.binary(), pa.list_(pa.string()))
+                new = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield from pa.table([*table.columns[: len(names)], *new], names=[*names, *(made if last else ("_hit", "_items"))]).to_batches()
+
+        return kernel
+
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    block, state, first = next(blocks, []), base, True
+    while True:
+        following = next(blocks, None)
+        held = df.sparkSession.sparkContext.broadcast(Windows(block, width))
+        if following is None:
+            return state.mapInArrow(scanning(held, first, True), ", ".join([own, *(f"{k} {v}" for k, v in made.items())]))
+        state = checkpointed(state.mapInArrow(scanning(held, first, False), f"{own}, _hit binary, _items array<string>"))
+        held.destroy()
+        block, first = following, False
 
 
 def without(text: str, hit: np.ndarray) -> str:
