@@ -6,9 +6,11 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -152,8 +154,9 @@ def encoded(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids: boo
         if tokenizer_path not in _LOADED:
             _LOADED[tokenizer_path] = Tokenizer(content.value)
         tokenizer = _LOADED[tokenizer_path]
-        for table in gathered(batches, 8 << 20):
-            new: dict[str, list] = {k: [] for k in made}
+        for table in gathered(batches, 4 << 20):
+            new: dict[str, list] = {k: [] for k in made if k != "ids"}
+            flat, ends = array("i"), [0]
             for text in table.column(at_text).to_pylist():
                 pieces = tokenizer.pieces(text)
                 whole = " ".join([p.decoded for p in pieces])
@@ -161,10 +164,15 @@ def encoded(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids: boo
                 new["ids_sha256"].append(hashlib.sha256(" ".join([p.decimal for p in pieces]).encode()).hexdigest())
                 new["decoded_sha256"].append(hashlib.sha256(whole.encode()).hexdigest())
                 if ids:
-                    new["ids"].append([i for p in pieces for i in p.ids])
+                    for p in pieces:
+                        flat.extend(p.ids)
+                    ends.append(len(flat))
                 if decoded:
                     new["decoded"].append(whole)
-            out = pa.table([*table.columns, *(pa.array(new[k], v[1]) for k, v in made.items())], names=[*names, *made])
+            columns = {k: pa.array(x, made[k][1]) for k, x in new.items()}
+            if ids:
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
+            out = pa.table([*table.columns, *(columns[k] for k in made)], names=[*names, *made])
             yield from out.to_batches()
 
     return base.mapInArrow(kernel, schema)
