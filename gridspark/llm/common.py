@@ -133,7 +133,7 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 PACKED = "part int, payload binary"
-_IPC = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
+_IPC = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
 
 
 def batch_bytes(table: pa.Table) -> bytes:

@@ -10,10 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BUCKET_BYTES, bucket_count, checkpointed, deltas, id_array, mixed, packed, runs, shipped, unpacked, unshipped, word_hashes
+from .common import bucket_count, checkpointed, deltas, id_array, mixed, packed, runs, shipped, unpacked, unshipped, word_hashes
 
 #: Scores are sums of natural logarithms, each rounded to this part of one, so their order doesn't matter.
 UNIT = 1_000_000
+#: Hash ranges of the count table for each partition of documents, so that a range takes less memory than a partition.
+RANGES = 4
+#: Bytes of text in a partition of documents.
+PART_BYTES = 12 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,7 +46,7 @@ class _Part:
                 words.append(word_hashes((text or "").encode().lower().split()))
                 n_words.append(len(words[-1]))
         self.ids, self.n_words, self.words = np.concatenate(ids), np.array(n_words, np.int64), np.concatenate(words)
-        self.at = np.arange(len(self.words)) - np.repeat(np.cumsum(self.n_words) - self.n_words, self.n_words)
+        self.at = (np.arange(len(self.words)) - np.repeat(np.cumsum(self.n_words) - self.n_words, self.n_words)).astype(np.int32)
 
     def orders(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Per order n: which positions end n words of their text, and those n-grams' hashes. One order is held at a time."""
@@ -54,6 +58,16 @@ class _Part:
             yield has, grams[has]
 
 
+def _places(grams: np.ndarray) -> np.ndarray:
+    """Where each hash is among the sorted distinct ones."""
+    order = np.argsort(grams)
+    new = np.zeros(len(grams), bool)
+    new[1:] = grams[order[1:]] != grams[order[:-1]]
+    out = np.empty(len(grams), np.int32)
+    out[order] = np.cumsum(new, dtype=np.int32)
+    return out
+
+
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """The range of hashes that each belongs to; it rises with the hash."""
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -103,12 +117,12 @@ def _summed(id_col: str, text_col: str, order: int, alpha: float):
         part = _Part(left.column("payload"), id_col, text_col)
         replies = sorted(zip(right.column("bucket").to_pylist(), right.column("payload").to_pylist(), strict=True))
         words = len(part.words)
-        score, level = np.zeros(words, np.int64), np.zeros(words, np.int8)
+        score, level = np.zeros(words, np.int32), np.zeros(words, np.int8)
         before = None
         for k, (has, grams) in enumerate(part.orders(order)):
-            place = np.unique(grams, return_inverse=True)[1]
+            place = _places(grams)
             totals = np.concatenate([np.zeros(0, np.uint32), *(unpacked(raw, *[np.uint32] * order)[k] for _, raw in replies)])[place]
-            own, kept = np.zeros(words, np.int64), np.zeros(words, bool)
+            own, kept = np.zeros(words, np.int32), np.zeros(words, bool)
             own[has], kept[has] = _logs(np.maximum(totals, 1)), totals > 0
             del place, totals, grams
             if before is None:
@@ -121,7 +135,7 @@ def _summed(id_col: str, text_col: str, order: int, alpha: float):
             before = own
         doc = np.repeat(np.arange(len(part.ids)), part.n_words)
         sums = np.zeros(len(part.ids), np.int64)
-        np.add.at(sums, doc, score)
+        np.add.at(sums, doc, score.astype(np.int64))
         levels = [np.bincount(doc[level == k], minlength=len(part.ids)).astype(np.int64) for k in range(1, order + 1)]
         arrays = [pa.array(part.ids), pa.array(part.n_words), pa.array(sums), *map(pa.array, levels)]
         return pa.table(arrays, names=["id", "n_words", "part_score", *(f"n_{k}" for k in range(1, order + 1))])
@@ -129,7 +143,7 @@ def _summed(id_col: str, text_col: str, order: int, alpha: float):
     return kernel
 
 
-def backoff_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, least: int = 2, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def backoff_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, least: int = 2, bucket_bytes: int = PART_BYTES) -> DataFrame:
     """(id, n_words, n_1 .. n_<order>, score_micro): the log score of each text under the n-grams of all texts.
 
     Words are runs of characters other than ASCII white space, A-Z lowered. A
@@ -149,8 +163,9 @@ def backoff_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     longer messages.
     """
     parts = bucket_count(df, text_col, bucket_bytes)
+    ranges = RANGES * parts
     docs = shipped(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "id", parts)
-    asked = docs.groupBy("part").applyInArrow(_requests("id", "text", order, parts), "bucket int, part int, payload binary")
+    asked = docs.groupBy("part").applyInArrow(_requests("id", "text", order, ranges), "bucket int, part int, payload binary")
     answers = asked.groupBy("bucket").applyInArrow(_counted(order, least), "part int, bucket int, payload binary")
     levels = [f"n_{k}" for k in range(1, order + 1)]
     schema = "id long, n_words long, part_score long, " + ", ".join(f"{k} long" for k in levels)
