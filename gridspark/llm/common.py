@@ -120,6 +120,15 @@ def unpacked(raw: bytes, *dtypes: type) -> list[np.ndarray]:
     return out
 
 
+def squeezed(raw: bytes) -> bytes:
+    """raw after its length, entropy-coded: a shuffle's own codec only finds repeats."""
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unsqueezed(raw: bytes) -> bytes:
+    return pa.decompress(memoryview(raw)[8:], int(np.frombuffer(raw, np.int64, 1)[0]), "zstd", asbytes=True)
+
+
 def deltas(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x.dtype.type(0))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, checkpointed, deltas, id_array, mixed, packed, runs, shipped, unpacked, unshipped, word_hashes
+from .common import bucket_count, checkpointed, deltas, id_array, mixed, packed, runs, shipped, squeezed, unpacked, unshipped, unsqueezed, word_hashes
 
 #: Scores are sums of natural logarithms, each rounded to this part of one, so their order doesn't matter.
 UNIT = 1_000_000
@@ -83,7 +83,7 @@ def _requests(id_col: str, text_col: str, order: int, buckets: int):
             bucket = _bucket(distinct, buckets)
             for i, j in zip(*runs(bucket), strict=True):
                 asked[int(bucket[i])][k] = deltas(distinct[i:j]), counts[i:j].astype(np.uint32)
-        payload = [packed(*(h for h, _ in x), *(n for _, n in x)) for x in asked.values()]
+        payload = [squeezed(packed(*(h for h, _ in x), *(n for _, n in x))) for x in asked.values()]
         return pa.table({"bucket": pa.array(list(asked), pa.int32()), "part": pa.array([key[0].as_py()] * len(asked), pa.int32()), "payload": pa.array(payload, pa.binary())})
 
     return kernel
@@ -94,7 +94,7 @@ def _counted(order: int, least: int):
 
     def kernel(key: tuple, table: pa.Table) -> pa.Table:
         raws = table.column("payload").to_pylist()
-        asked = [unpacked(raw, *[np.uint64] * order, *[np.uint32] * order) for raw in raws]
+        asked = [unpacked(unsqueezed(raw), *[np.uint64] * order, *[np.uint32] * order) for raw in raws]
         replies: list[list[np.ndarray]] = [[] for _ in raws]
         for k in range(order):
             hashes = [np.cumsum(a[k]) for a in asked]
@@ -105,7 +105,7 @@ def _counted(order: int, least: int):
             each = np.split(total[place].astype(np.uint32), np.cumsum([len(h) for h in hashes])[:-1])
             for reply, counts in zip(replies, each, strict=True):
                 reply.append(counts)
-        return pa.table({"part": table.column("part"), "bucket": table.column("bucket"), "payload": pa.array([packed(*r) for r in replies], pa.binary())})
+        return pa.table({"part": table.column("part"), "bucket": table.column("bucket"), "payload": pa.array([squeezed(packed(*r)) for r in replies], pa.binary())})
 
     return kernel
 
@@ -115,13 +115,13 @@ def _summed(id_col: str, text_col: str, order: int, alpha: float):
 
     def kernel(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         part = _Part(left.column("payload"), id_col, text_col)
-        replies = sorted(zip(right.column("bucket").to_pylist(), right.column("payload").to_pylist(), strict=True))
+        replies = [unsqueezed(raw) for _, raw in sorted(zip(right.column("bucket").to_pylist(), right.column("payload").to_pylist(), strict=True))]
         words = len(part.words)
         score, level = np.zeros(words, np.int32), np.zeros(words, np.int8)
         before = None
         for k, (has, grams) in enumerate(part.orders(order)):
             place = _places(grams)
-            totals = np.concatenate([np.zeros(0, np.uint32), *(unpacked(raw, *[np.uint32] * order)[k] for _, raw in replies)])[place]
+            totals = np.concatenate([np.zeros(0, np.uint32), *(unpacked(raw, *[np.uint32] * order)[k] for raw in replies)])[place]
             own, kept = np.zeros(words, np.int32), np.zeros(words, bool)
             own[has], kept[has] = _logs(np.maximum(totals, 1)), totals > 0
             del place, totals, grams

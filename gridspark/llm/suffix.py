@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from xxhash import xxh3_64_intdigest
 
-from .common import BUCKET_BYTES, PACKED, Rolling, bucket_count, deltas, id_array, mixed, packed, part_of, runs, shipped, unpacked, unshipped
+from .common import BUCKET_BYTES, PACKED, Rolling, bucket_count, deltas, id_array, mixed, packed, part_of, runs, shipped, squeezed, unpacked, unshipped, unsqueezed
 
 BASE = 0x9E3779B97F4A7C15
 #: Bytes whose anchors one flush of a map task looks for; a longer text is taken in overlapping blocks.
@@ -218,12 +218,11 @@ def _segments(width: int, gram: int, buckets: int, id_col: str, text_col: str, c
 def _segment_blob(rows: list[tuple[int, int, int, int, bytes]]) -> bytes:
     doc, tag, start, offset, raw = zip(*rows, strict=True)
     head = packed(np.array(doc, np.int64), np.array(tag, np.uint32), np.array(start, np.int32), np.array(offset, np.uint16), np.array([len(x) for x in raw], np.uint16), np.frombuffer(b"".join(raw), np.uint8))
-    return np.int64(len(head)).tobytes() + pa.compress(head, "zstd", asbytes=True)
+    return squeezed(head)
 
 
 def _segment_unblob(raw: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
-    size = int(np.frombuffer(raw[:8], np.int64)[0])
-    doc, tag, start, offset, length, text = unpacked(pa.decompress(raw[8:], size, "zstd", asbytes=True), np.int64, np.uint32, np.int32, np.uint16, np.uint16, np.uint8)
+    doc, tag, start, offset, length, text = unpacked(unsqueezed(raw), np.int64, np.uint32, np.int32, np.uint16, np.uint16, np.uint8)
     text, end = text.tobytes(), np.cumsum(length.astype(np.int64))
     for d, t, s, o, a, b in zip(doc.tolist(), tag.tolist(), start.tolist(), offset.tolist(), (end - length).tolist(), end.tolist(), strict=True):
         yield d, t, s, o, text[a:b]
