@@ -92,13 +92,19 @@ def edge_prediction(coef: Column, other: Column, band: int, across: bool) -> Col
     return bits.int_div(total, weight[0])
 
 
+def once(value: Column, f) -> Column:
+    """f(value) with value computed once: a lambda's variable isn't computed again where it is used, an expression is."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def pixels(coef: Column) -> Column:
     """The inverse transform, unrounded, scaled by 8 * 8192**2: 64 integers in raster order."""
     rows = [[F.get(coef, RASTER_TO_ALIGNED[8 * v + u]).cast("long") for u in range(8)] for v in range(8)]
     # Rows first: one array per row of frequencies, then the columns of those.
     half = F.array(*(F.array(*(sum((rows[v][u] * COSINE[u][x] for u in range(1, 8)), rows[v][0] * COSINE[0][x]) for x in range(8))) for v in range(8)))
     basis = F.array(*(F.array(*(F.lit(COSINE[v][y]).cast("long") for v in range(8))) for y in range(8)))
-    return F.flatten(F.transform(basis, lambda by: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda x: F.aggregate(F.zip_with(half, by, lambda row, w: F.get(row, x) * w), F.lit(0).cast("long"), lambda a, b: a + b))))
+    whole = lambda h: F.flatten(F.transform(basis, lambda by: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda x: F.aggregate(F.zip_with(h, by, lambda row, w: F.get(row, x) * w), F.lit(0).cast("long"), lambda a, b: a + b))))
+    return once(half, whole)
 
 
 def quant_table(spark) -> DataFrame:

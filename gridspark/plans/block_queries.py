@@ -196,9 +196,9 @@ p AS (SELECT h.vec_id, b.x AS y, h.x, CAST(sum(h.s * b.w) AS BIGINT) AS p FROM h
 SELECT vec_id, min(p) AS least, max(p) AS most, CAST(sum(p) AS BIGINT) AS total, CAST(sum(p * (8 * y + x)) AS BIGINT) AS weighted FROM p GROUP BY vec_id""")
 def idct_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inverse transform of every block, in scaled integers; least, largest, sum and position-weighted sum of its pixels."""
-    p = blocks(spark, sf_dir).select("vec_id", B.pixels(F.col("coef")).alias("p"))
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    return p.select("vec_id", F.array_min("p").alias("least"), F.array_max("p").alias("most"), total("p").alias("total"), total(F.transform("p", lambda x, i: x * i)).alias("weighted"))
+    sums = lambda p: F.struct(F.array_min(p).alias("least"), F.array_max(p).alias("most"), total(p).alias("total"), total(F.transform(p, lambda x, i: x * i)).alias("weighted"))
+    return blocks(spark, sf_dir).select("vec_id", B.once(B.pixels(F.col("coef")), sums).alias("s")).select("vec_id", "s.*")
 
 
 @query(f"""WITH {BLK},
