@@ -240,16 +240,22 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 WORDS, KEYS, KEY_BITS = 16, 24, 28
 #: Sketches that one subtree of a key's trie should hold.
 SKETCHES = 1 << 18
+#: Texts of fewer shingles than this are too short for a sketch; they meet by exact shingles.
+SHORT = 64
+#: Rows that one side of a task takes of a common shingle, or of a group that is compared in full.
+SIDE = 4096
+FULL = 1024
 _SALTS = mixed(np.arange(1, WORDS + 1, dtype=np.uint64))
 
 
-def sketch(text: str | None, width: int = 5) -> bytes:
-    """A SimHash of 64 * WORDS bits over the set of word shingles; all zero for a text without words."""
+def shingle_set(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
-    if not words:
-        return bytes(8 * WORDS)
-    shingles = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-    h = np.unique(np.fromiter(map(xxh64_intdigest, shingles), np.uint64))
+    shingles = [b" ".join(words)] if 0 < len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
+    return np.unique(np.fromiter(map(xxh64_intdigest, shingles), np.uint64))
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """A SimHash of 64 * WORDS bits over a set of shingles; all zero for an empty one."""
     ones = np.zeros(64 * WORDS, np.int64)
     for at in range(0, len(h), 255):  # 255 rows add up within a byte
         block = mixed(h[at : at + 255, None] + _SALTS)
@@ -257,6 +263,16 @@ def sketch(text: str | None, width: int = 5) -> bytes:
     return np.packbits(2 * ones > len(h)).tobytes()
 
 
+def prefix(h: np.ndarray, similarity: float) -> np.ndarray:
+    """The least shingles of a sorted set, so many that two sets of this Jaccard similarity share one of theirs."""
+    return h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
+
+
+def parity(h: np.ndarray) -> bytes:
+    """256 bits, each flipped by the shingles that fall on it: two sets' differ in no more bits than the sets in shingles."""
+    return np.packbits(np.bincount((mixed(h) & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8).tobytes()
+
+
 def differing(similarity: float, deviations: float) -> int:
     """Bits in which sketches of equally large sets of this Jaccard similarity differ: the angle's share, and so many deviations more."""
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
@@ -296,7 +312,7 @@ def _keys(bits: int, budget: int):
 
 
 class _Forest:
-    """Closest-first spanning forest over positions, with a label array for each to prune by."""
+    """Spanning forest over positions, closest first within each call, with a label array for each to prune by."""
 
     def __init__(self, n: int) -> None:
         self.labels, self.edges = np.arange(n), []
@@ -346,10 +362,45 @@ def _similar(bits: int, budget: int, most: int):
     return kernel
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    words = (text or "").encode().lower().split()
-    shingles = [b" ".join(words)] if 0 < len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-    return np.unique(np.fromiter(map(xxh64_intdigest, shingles), np.uint64))
+def _close(similarity: float):
+    """Rows of short texts by shingle -> a spanning forest of the pairs that sizes and parities allow; none that is similar is ruled out."""
+
+    def kernel(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        token, rep, n, left = (table.column(c).to_numpy() for c in ("token", "rep", "n", "left"))
+        order = np.lexsort((~left, token))
+        token, n, left = token[order], n[order], left[order]
+        bits = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(-1, 4)[order]
+        reps, at = np.unique(rep[order], return_inverse=True)
+        lo, hi = runs(token)
+        mid = lo + np.add.reduceat(left, lo, dtype=np.int64)
+        inner = key[1].as_py() == key[2].as_py()
+        front = (lo, mid, lo, mid) if inner else (lo, mid, mid, hi)
+        forest = _Forest(len(reps))
+        for a, b in _leaf_pairs(*(x.astype(np.int32) for x in front)):
+            for i in range(0, len(a), 1 << 16):
+                x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+                fits = (forest.labels[at[x]] != forest.labels[at[y]]) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9)
+                x, y = x[fits], y[fits]
+                d = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int32)
+                near = d <= (n[x] + n[y]) * (1 - similarity) / (1 + similarity) + 1e-9
+                forest.add(at[x[near]], at[y[near]], d[near])
+        i, j, d = (np.array(x, np.int64) for x in zip(*forest.edges, strict=True)) if forest.edges else (np.zeros(0, np.int64),) * 3
+        return pa.table({"a": reps[np.minimum(i, j)], "b": reps[np.maximum(i, j)], "d": d})
+
+    return kernel
+
+
+def _short_links(reps: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b, d) that connect all pairs of this similarity among texts with a prefix; a shingle of many texts is dealt into pairs of chunks."""
+    rows = reps.where("prefix is not null").select("rep", "n", "parity", F.explode("prefix").alias("token"))
+    shared = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token", F.ceil(F.col("c") / SIDE).cast("int").alias("chunks"))
+    rows = rows.join(shared, "token").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    parts = 8 * int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cell = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("token"), F.lit(parts))).otherwise(F.col("token")).alias("cell")
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    left = rows.select(cell, F.col("chunk").alias("i"), F.explode(F.filter(every, lambda j: j >= F.col("chunk"))).alias("j"), "token", "rep", "n", "parity", F.lit(True).alias("left"))
+    right = rows.where("chunk > 0").select(cell, F.explode(F.filter(every, lambda i: i < F.col("chunk"))).alias("i"), F.col("chunk").alias("j"), "token", "rep", "n", "parity", F.lit(False).alias("left"))
+    return left.union(right).groupBy("cell", "i", "j").applyInArrow(_close(similarity), "a long, b long, d long")
 
 
 def _verified(edges: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -369,40 +420,141 @@ def _verified(edges: DataFrame, texts: DataFrame, width: int, similarity: float)
     return both.mapInArrow(kernel, "a long, b long")
 
 
+def shared_counts(sets: list[np.ndarray], block: int = 1 << 12) -> np.ndarray:
+    """How many members each two of the sets have in common, by products of 0/1 blocks over the members that occur twice."""
+    owner, member = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+    _, column, times = np.unique(member, return_inverse=True, return_counts=True)
+    twice = times[column] > 1
+    _, column = np.unique(column[twice], return_inverse=True)
+    owner = owner[twice]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)  # exact up to 2**24
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, block):
+        a, b = np.searchsorted(column, [at, at + block])
+        part = np.zeros((len(sets), block), np.float32)
+        part[owner[a:b], column[a:b] - at] = 1
+        out += part @ part.T
+    return out
+
+
+def _compared(similarity: float):
+    """All texts of a task against each other by their whole shingle sets -> links between parts that weren't linked yet."""
+
+    def kernel(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        n = np.array([len(x) for x in sets], np.float64)
+        shared = shared_counts(sets)
+        _, first, part = np.unique(table.column("part").to_numpy(), return_index=True, return_inverse=True)
+        a, b = [], []
+        label = first[part]
+        for i in range(len(ids)):
+            j = i + 1 + np.flatnonzero(shared[i, i + 1 :] >= similarity * (n[i] + n[i + 1 :] - shared[i, i + 1 :]))
+            while len(j := j[label[j] != label[i]]):
+                a.append(i)
+                b.append(int(j[0]))
+                label[label == label[j[0]]] = label[i]
+        return pa.table({"a": ids[np.array(a, np.int64)], "b": ids[np.array(b, np.int64)]})
+
+    return kernel
+
+
+def _completed(clusters: DataFrame, parts: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) between the parts of clusters that verified links leave in several, by whole shingle sets.
+
+    The texts outside a cluster's largest part are compared with each other and
+    with those in it; both are dealt into chunks, and two chunks are a task.
+    """
+    nodes = clusters.join(parts.withColumnRenamed("component", "part"), "node", "left").select(F.col("node").alias("id"), F.col("component").alias("cluster"), F.coalesce("part", "node").alias("part"))
+    sizes = nodes.groupBy("cluster", "part").agg(F.count("*").alias("n"))
+    whole = sizes.groupBy("cluster").agg(F.sum("n").alias("total"), F.max(F.struct("n", "part")).alias("most"))
+    torn = whole.where("total > most.n").select("cluster", F.col("most.part").alias("main"), F.ceil(F.col("most.n") / FULL).cast("int").alias("m"), F.ceil((F.col("total") - F.col("most.n")) / FULL).cast("int").alias("r"))
+    open_ = checkpointed(nodes.join(torn, "cluster").withColumn("rest", F.col("part") != F.col("main")))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "shingles"])
+
+    some = texts.join(open_.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("t").alias("t"))
+    dealt = open_.join(some.mapInArrow(kernel, "id long, shingles binary"), "id").withColumn("k", F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("r")).otherwise(F.col("m"))).cast("int"))
+    upto, k, r, m = (lambda n: F.filter(F.sequence(F.lit(0), n), lambda x: x < n)), F.col("k"), F.col("r"), F.col("m")
+    cell = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    among = F.transform(upto(r), lambda x: cell(F.least(x, k), F.greatest(x, k)))
+    cells = F.when(F.col("rest"), F.concat(among, F.transform(upto(m), lambda x: cell(r + x, k)))).otherwise(F.transform(upto(r), lambda x: cell(r + k, x)))
+    sent = dealt.select("cluster", "id", "part", "shingles", F.explode(cells).alias("c")).select("cluster", "c.i", "c.j", "id", "part", "shingles")
+    return sent.groupBy("cluster", "i", "j").applyInArrow(_compared(similarity), "a long, b long")
+
+
+def _groups(edges: DataFrame, texts: DataFrame, width: int, similarity: float, rounds: int = 2) -> DataFrame:
+    """(node, component) by links of this similarity alone, for candidate edges (a, b, d) that connect every such pair.
+
+    Each round verifies every text's closest edge out of its part. What verified
+    links then leave apart within a cluster of candidates is compared in full.
+    """
+    clusters = checkpointed(connected_components(edges))
+    links = parts = None
+    left = edges
+    for _ in range(rounds):
+        both = left.select(F.col("a").alias("v"), F.col("b").alias("w"), "d").union(left.select(F.col("b").alias("v"), F.col("a").alias("w"), "d"))
+        picks = checkpointed(both.groupBy("v").agg(F.min(F.struct("d", "w")).alias("m")).select(F.least("v", "m.w").alias("a"), F.greatest("v", "m.w").alias("b")).distinct())
+        found = _verified(picks, texts, width, similarity)
+        links = checkpointed(found if links is None else links.union(found))
+        parts = checkpointed(connected_components(links))
+        of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+        rest = left.join(picks, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        left = checkpointed(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "d"))
+    more = checkpointed(_completed(clusters, parts, texts, width, similarity))
+    return connected_components(links.union(more)) if more.take(1) else parts
+
+
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, budget: int = 2) -> DataFrame:
     """(id, component) for every row: groups of texts linked by sets of word shingles of Jaccard similarity ``similarity`` or more.
 
-    Texts are compared by a SimHash of 1,024 bits, whose share of differing bits
+    Every link is verified by the exact shingle sets. Texts of 64 shingles or
+    more are compared by a SimHash of 1,024 bits, whose share of differing bits
     follows the angle between the shingle sets. Pairs to compare come from trie
     self-joins of 24 disjoint keys of 28 bits, in each of which a pair at
     similarity 0.8 differs in ``budget`` bits or fewer with a chance of one in
-    five. Within a task pairs that are already connected aren't opened, and only
-    the closest-first spanning forest leaves it. A link is taken two deviations
-    under the share that belongs to ``similarity``; from there to three above it
-    the two texts' shingle sets are compared exactly, and further apart none is.
-    So no link is wrong but for chance on the sure side, and one can be missed
-    where a text is within a few hundredths of the threshold to one member of a
-    dense group and just under it to others that look closer.
+    five; a sketch distance four deviations over the threshold's ends a pair.
+    Texts of up to 80 shingles (at 0.8) meet by a shared shingle of their prefixes
+    and are ruled out by sizes and parities only, which never loses a pair.
+    Within a task pairs that are already connected aren't opened, so what leaves
+    it are forests of candidates. Where verified links don't connect all of such a
+    cluster, its parts are compared in full. So no link is wrong, and a link is
+    only missed where no path of candidates joins its ends: for a lone pair
+    of long texts at exactly the threshold the chance is under one in a hundred.
     Texts without words form one group. Rows that share an id are compared by
     the first of their texts found; a null id has a null component. An empty
     table gives no rows; other columns are ignored.
     """
+    brief = int(SHORT / similarity + 1e-9)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [sketch(t, width) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "sketch"])
+            sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+            small = [0 < len(h) <= brief for h in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([sketch(h) for h in sets], pa.binary()),
+                    pa.array([len(h) for h in sets], pa.int64()),
+                    pa.array([prefix(h, similarity).view(np.int64) if x else None for h, x in zip(sets, small, strict=True)], pa.list_(pa.int64())),
+                    pa.array([parity(h) if x else None for h, x in zip(sets, small, strict=True)], pa.binary()),
+                ],
+                ["id", "sketch", "n", "prefix", "parity"],
+            )
 
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    sketches = checkpointed(texts.mapInArrow(kernel, "id long, sketch binary"))
-    reps = checkpointed(sketches.where("id is not null").groupBy("sketch").agg(F.min("id").alias("rep")))
-    bits = min(KEY_BITS - 4, max(0, reps.count() // SKETCHES).bit_length())
-    cells = reps.select("rep", "sketch").mapInArrow(_keys(bits, budget), "cell long, payload binary")
-    found = cells.groupBy("cell").applyInArrow(_similar(bits, budget, differing(similarity, 3)), "a long, b long, d long")
-    edges = checkpointed(found.groupBy("a", "b").agg(F.min("d").alias("d")))
-    sure = F.col("d") <= differing(similarity, -2)
-    links = edges.where(sure).select("a", "b").union(_verified(edges.where(~sure), texts, width, similarity))
-    groups = connected_components(links)
+    sketches = checkpointed(texts.mapInArrow(kernel, "id long, sketch binary, n long, prefix array<long>, parity binary"))
+    reps = checkpointed(sketches.where("id is not null").groupBy("sketch").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")))
+    long = reps.where(F.col("n") >= SHORT).select("rep", "sketch")
+    bits = min(KEY_BITS - 4, max(0, long.count() // SKETCHES).bit_length())
+    cells = long.mapInArrow(_keys(bits, budget), "cell long, payload binary")
+    found = cells.groupBy("cell").applyInArrow(_similar(bits, budget, differing(similarity, 4)), "a long, b long, d long")
+    edges = checkpointed(found.union(_short_links(reps, similarity)).where("a <> b").groupBy("a", "b").agg(F.min("d").alias("d")))
+    groups = _groups(edges, texts, width, similarity)
     whole = reps.join(groups, reps.rep == groups.node, "left").select("sketch", F.coalesce("component", "rep").alias("component"))
     out = sketches.join(whole, "sketch", "left")
     return out.select("id", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))

@@ -1,6 +1,7 @@
 """SimHash groups, repeated windows and repeated bytes against brute force, and their edge cases."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -76,6 +77,63 @@ def test_similar_documents(spark, monkeypatch, sketches):
     assert sum(got[k] != want[k] for k in want) <= 0.04 * len(docs)  # borderline texts
 
 
+def exact_groups(docs: list[tuple[int, str]], least: float = 0.8) -> dict[int, int]:
+    """Groups by shingle sets from one product over the shingles that occur twice."""
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in docs)]
+    at = {s: k for k, s in enumerate(s for s, n in Counter(s for x in sets for s in x).items() if n > 1)}
+    holds = np.zeros((len(sets), len(at)), np.float32)
+    for k, x in enumerate(sets):
+        holds[k, [at[s] for s in x if s in at]] = 1
+    size, shared = np.array([len(x) for x in sets]), holds @ holds.T
+    near = shared >= least * (size[:, None] + size - shared)
+    np.fill_diagonal(near, True)
+    label = np.arange(len(sets))
+    while not np.array_equal(low := np.where(near, label, len(sets)).min(axis=1), label):
+        label = low
+    return {k: docs[x][0] for (k, _), x in zip(docs, label)}
+
+
+def test_a_template_group_around_the_threshold(spark):
+    rng = random.Random(11)
+    base = words(rng, 300)
+    docs = []
+    for k in range(2000):  # pairs from 0.6 to 0.9 alike, most of them under 0.8
+        some = list(base)
+        for at in rng.sample(range(300), rng.choice([3, 5, 6, 7, 8, 9])):
+            some[at] = f"new{rng.randrange(10**9)}"
+        docs.append((k, " ".join(some)))
+    got = {r.id: r.component for r in simhash.similar_documents(spark.createDataFrame(docs, SCHEMA)).collect()}
+    want = exact_groups(docs)
+    assert 20 < len(set(want.values())) < len(docs)
+    assert got == want
+
+
+def test_parts_of_a_cluster_are_compared_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "FULL", 16)
+    monkeypatch.setattr(simhash, "SIDE", 16)
+    rng = random.Random(12)
+    base, short = words(rng, 200), words(rng, 40)
+    docs = []
+    for k in range(240):
+        some = list(base if k % 2 else short)
+        for at in rng.sample(range(len(some)), rng.choice([3, 4, 5, 6]) if k % 2 else rng.choice([0, 1, 2])):
+            some[at] = f"new{rng.randrange(10**9)}"
+        docs.append((k, " ".join(some)))
+    got = {r.id: r.component for r in simhash.similar_documents(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert got == exact_groups(docs)
+
+
+def test_short_texts_by_exact_shingles(spark):
+    rng = random.Random(13)
+    docs = []
+    for k in range(300):
+        w = words(rng, 100)
+        n, more = [(8, 1), (10, 2), (18, 4), (24, 5), (64, 16), (68, 16), (83, 20)][k % 7]  # at 0.8, 0.75, 0.778, 0.8, 0.789, 0.8, 0.798
+        docs += [(2 * k, " ".join(w[:n])), (2 * k + 1, " ".join(w[: n + more]))]
+    got = {r.id: r.component for r in simhash.similar_documents(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert got == exact_groups(docs)
+
+
 def test_similar_documents_edge_cases(spark):
     rows = [(1, None, "x"), (2, "", "y"), (3, "two words", "z"), (3, "two words", "z"), (4, "Two  WORDS", "q"), (None, "two words", "n"), (9, "other", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, component string")
