@@ -107,6 +107,14 @@ def interleaved(g: DataFrame) -> DataFrame:
     return rows.withColumn("dpos", place).withColumn("padding", (F.col("dpos") % F.col("bch") >= F.col("nch")) | (bits.int_div(F.col("dpos"), F.col("bch")) >= F.col("ncv")))
 
 
+def non_interleaved(g: DataFrame) -> DataFrame:
+    """(.., step, dpos, countdown, restart): a component's blocks that hold pixels in raster order; a restart comes before each one that ``every`` blocks precede since the last (0: none)."""
+    rows = g.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nch") * F.col("ncv") - 1)))
+    past = F.col("step") % F.greatest(F.col("every"), F.lit(1).cast("long"))
+    rows = rows.withColumn("dpos", bits.int_div(F.col("step"), F.col("nch")) * F.col("bch") + F.col("step") % F.col("nch"))
+    return rows.withColumn("countdown", F.when(F.col("every") > 0, F.col("every") - past).otherwise(F.lit(0).cast("long"))).withColumn("restart", (F.col("every") > 0) & (F.col("step") > 0) & (past == 0))
+
+
 def truncated_rows(rows: Column, coded: Column, multiple: Column) -> Column:
     """Block rows that hold the first ``coded`` parts in a hundred of an image, raised to whole units."""
     return F.least(rows, bits.ceil_div(bits.ceil_div(rows * coded, 100), multiple) * multiple)

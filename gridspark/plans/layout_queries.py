@@ -168,3 +168,26 @@ def sampling_multiples(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, x = Y.gcd(a, b), a % 7 - 3
     remapped = F.when(x == 0, 0).when(x > 0, x + 3).otherwise(x - 3)
     return table(spark, sf_dir, "part").select("p_partkey", d.alias("divisor"), bits.int_div(a * b, d).alias("multiple"), remapped.cast("long").alias("remapped"), Y.truncated_rows(a * 8, b % 101, 1 + a % 2).alias("rows"))
+
+
+@query(f"""WITH {IMAGES},
+units AS (SELECT *, unnest(range(mcuh * mcuv)) AS unit FROM g),
+v AS (SELECT *, unnest(range(sh * sv)) AS sub FROM units),
+d AS (SELECT *, (unit // mcuh * sv + sub // sh) * bch + (unit % mcuh) * sh + sub % sh AS dpos FROM v)
+SELECT image_id, component, count(*) AS n, max(dpos) AS last, CAST(sum(dpos * (unit * sh * sv + sub + 1)) AS BIGINT) AS checksum, count(*) FILTER (dpos % bch >= nch OR dpos // bch >= ncv) AS padding FROM d GROUP BY image_id, component""")
+def scan_positions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of each whole image in interleaved scan order: places, the last one, and padding blocks."""
+    order = F.col("unit") * F.col("sh") * F.col("sv") + F.col("sub") + 1
+    rows = Y.interleaved(Y.geometry(images(spark, sf_dir)))
+    return rows.groupBy("image_id", "component").agg(F.count("*").alias("n"), F.max("dpos").alias("last"), F.sum(F.col("dpos") * order).alias("checksum"), F.sum(F.col("padding").cast("long")).alias("padding"))
+
+
+@query(f"""WITH {IMAGES},
+s AS (SELECT *, image_id % 9 AS every, unnest(range(nch * ncv)) AS step FROM g),
+d AS (SELECT *, step // nch * bch + step % nch AS dpos FROM s)
+SELECT image_id, component, count(*) AS n, max(dpos) AS last, CAST(sum(dpos * (step + 1)) AS BIGINT) AS checksum, count(*) FILTER (every > 0 AND step > 0 AND step % greatest(every, 1) = 0) AS restarts,
+  CAST(sum(CASE WHEN every > 0 THEN every - step % greatest(every, 1) ELSE 0 END) AS BIGINT) AS countdown FROM d GROUP BY image_id, component""")
+def scan_positions_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of each whole component in non-interleaved scan order, padding left out, with restarts after every image_id % 9 blocks (0: none)."""
+    rows = Y.non_interleaved(Y.geometry(images(spark, sf_dir)).withColumn("every", F.col("image_id") % 9))
+    return rows.groupBy("image_id", "component").agg(F.count("*").alias("n"), F.max("dpos").alias("last"), F.sum(F.col("dpos") * (F.col("step") + 1)).alias("checksum"), F.sum(F.col("restart").cast("long")).alias("restarts"), F.sum("countdown").alias("countdown"))

@@ -116,3 +116,29 @@ def test_gcd(spark):
     pairs = [(rng.randint(1, 2**40), rng.randint(1, 2**40)) for _ in range(50)] + [(1, 1), (12, 18), (7, 7)]
     for r in spark.createDataFrame(pairs, "a long, b long").select("a", "b", layout.gcd(F.col("a"), F.col("b")).alias("g")).collect():
         assert r.g == math.gcd(r.a, r.b)
+
+
+def test_scan_orders_of_whole_images_by_walking(spark):
+    images = [(1, 333, 211, c, h, v) for c, h, v in ((0, 2, 2), (1, 1, 1), (2, 1, 1))] + [(3, 97, 50, 0, 1, 2), (3, 97, 50, 1, 1, 1)]
+    g = layout.geometry(spark.createDataFrame(images, "image_id long, width long, height long, component int, sh int, sv int"))
+    both = {(r.image_id, r.component): [] for r in g.collect()}
+    for r in layout.interleaved(g).orderBy("unit", "sub").collect():
+        both[r.image_id, r.component].append((r.dpos, r.padding))
+    single = {k: [] for k in both}
+    for r in layout.non_interleaved(g.withColumn("every", 2 * F.col("image_id") + 1)).orderBy("step").collect():
+        single[r.image_id, r.component].append((r.dpos, r.restart))
+    for r in g.collect():
+        x = [(my * r.sv + y, mx * r.sh + z) for my in range(r.mcuv) for mx in range(r.mcuh) for y in range(r.sv) for z in range(r.sh)]
+        assert both[r.image_id, r.component] == [(a * r.bch + b, a >= r.ncv or b >= r.nch) for a, b in x]
+        dpos, left, want, restart = 0, 2 * r.image_id + 1, [], False
+        while dpos < r.bc:  # one step after another
+            want.append((dpos, restart))
+            dpos += 1
+            if r.bch != r.nch and dpos % r.bch == r.nch:
+                dpos += r.bch - r.nch
+            if r.bcv != r.ncv and dpos // r.bch == r.ncv:
+                dpos = r.bc
+            left -= 1
+            restart = left == 0
+            left = left or 2 * r.image_id + 1
+        assert single[r.image_id, r.component] == want
