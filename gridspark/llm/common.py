@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -20,12 +21,17 @@ BUCKET_BYTES = 16 << 20
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder, cutting its lineage.
 
-    The folder is the one that ``spark.checkpoint.dir`` names; a temporary one
-    is used only where that setting is absent (local tests).
+    The folder is the one that ``spark.checkpoint.dir`` names. Where that is
+    unset, a temporary one is taken if driver and executors are one process;
+    on a cluster that is an error.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridspark-")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="gridspark-")
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import checkpointed, mixed, packed, runs, unpacked
+from .common import bucket_count, checkpointed, mixed, runs
 from .components import connected_components
 
-#: Distinct fingerprints that one subtree of the trie should hold.
-SUBTREE = 1 << 15
+#: Rows that a task takes of one cell, and about as many as it takes of several.
+CELL_ROWS = 1 << 19
 #: Node pairs that the traversal holds at once.
 FRONT = 1 << 19
 
@@ -143,67 +143,134 @@ def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], label: np.n
     return label
 
 
-def _subtree_links(bits: int, budget: int):
+# -- pairs that meet in a cell ---------------------------------------------------
+
+
+class _Forest:
+    """Spanning forest over positions, closest first within each call, with a label array for each to prune by."""
+
+    def __init__(self, n: int) -> None:
+        self.labels, self.edges = np.arange(n), []
+
+    def add(self, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> None:
+        order = np.argsort(distance, kind="stable")
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
+        for i, j, d in zip(a[order].tolist(), b[order].tolist(), distance[order].tolist(), strict=True):
+            x, y = root(int(self.labels[i])), root(int(self.labels[j]))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                self.edges.append((i, j, d))
+        if up:
+            new = np.arange(len(self.labels))
+            new[list(up)] = [root(x) for x in up]
+            self.labels[:] = new[self.labels]
+
+
+def rotations(width: int, budget: int) -> tuple[int, list[int]]:
+    """How many top bits a cell fixes, and by how many bits a key is turned to bring each of its budget + 1 segments there.
+
+    Two keys of ``width`` bits that differ in ``budget`` bits or fewer agree in
+    one whole segment, so they share a cell, however many keys there are.
+    """
+    top = width // (budget + 1)
+    return top, [r * top for r in range(budget + 1)]
+
+
+def cells_of(cells: DataFrame, cell_rows: int, most_rows: int) -> tuple[DataFrame, int]:
+    """cells (cell, rep, ...) with bucket, right and pair (each a task's work), and the number of buckets.
+
+    Cells are dealt to buckets of about ``cell_rows`` rows. A cell of more rows
+    than that, such as a large group of copies has, is cut into chunks by a hash
+    of rep, and each two chunks are a bucket of their own. Only such cells reach
+    the driver, with their counts: at most ``most_rows / cell_rows`` of them.
+    """
+    shuffle = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(shuffle, -(-most_rows // cell_rows))
+    hot = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).collect() if most_rows > cell_rows else []
+    plain = F.pmod(F.xxhash64("cell"), F.lit(parts)).cast("int")
+    if not hot:
+        return cells.withColumns({"bucket": plain, "right": F.lit(False)}), parts
+    rows, base = [], parts
+    for cell, n in sorted(tuple(r) for r in hot):
+        chunks = -(-n // cell_rows)
+        rows.append((cell, chunks, base))
+        base += chunks * (chunks + 1) // 2
+    large = cells.sparkSession.createDataFrame(rows, "cell long, chunks int, base int")
+    k, c = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"), F.col("chunks")
+    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda x: x < n)
+    # Buckets of the chunk pairs (i, j), i <= j, of a cell, numbered j * (j + 1) / 2 + i.
+    place = lambda i, j, right: F.struct((F.col("base") + F.floor(j * (j + 1) / 2).cast("int") + i).alias("bucket"), F.lit(right).alias("right"))
+    left = F.transform(F.filter(F.sequence(F.lit(0), c - 1), lambda j: j >= k), lambda j: place(k, j, False))
+    right = F.transform(upto(k), lambda i: place(i, k, True))
+    places = F.when(c.isNull(), F.array(F.struct(plain.alias("bucket"), F.lit(False).alias("right")))).otherwise(F.concat(left, right))
+    out = cells.join(F.broadcast(large), "cell", "left").withColumn("_p", F.explode(places))
+    return out.select(*cells.columns, "_p.bucket", "_p.right"), base
+
+
+def _met(top: int, bottom: int, budget: int, most: int | None = None):
+    """A bucket's rows -> spanning forests of the pairs of each cell whose keys differ in ``budget`` of ``bottom`` bits or fewer.
+
+    With ``most``, ends must also differ in no more bits of ``check``, and each
+    edge carries that distance.
+    """
+
     def kernel(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        prefix, i, j = (int(k.as_py()) for k in key)
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        rep, left = table.column("rep").to_numpy(), table.column("left").to_numpy()
-        order = np.argsort(fp, kind="stable")
-        fp, rep, left = fp[order], rep[order], left[order]
-        group = (fp >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(fp), np.int64)
-        own = left & (group == prefix)
-        # One array, the left chunk first: positions there are the first node of every pair.
-        at = np.concatenate([np.flatnonzero(own), np.flatnonzero(~own)])
-        n_own = int(own.sum())
-        labels = spanning(len(fp), _merged(fp, group, at, n_own, i == j, prefix, bits, budget))
-        out = labels != np.arange(len(fp))
-        ids = rep[at]
-        return pa.table({"a": ids[labels[out]], "b": ids[out]})
+        cell, keys, rep, right = (table.column(c).to_numpy() for c in ("cell", "key", "rep", "right"))
+        order = np.lexsort((keys.view(np.uint64), cell, right))
+        cell, keys, rep = cell[order], keys.view(np.uint64)[order], rep[order]
+        n = len(right) - int(right.sum())
+        lo, hi = runs(cell[:n])
+        if n == len(cell):
+            some = hi - lo > 1
+            front = lo[some], hi[some], lo[some], hi[some]
+        else:
+            lo2, hi2 = runs(cell[n:])
+            _, i, j = np.intersect1d(cell[lo], cell[n + lo2], return_indices=True)
+            front = lo[i], hi[i], n + lo2[j], n + hi2[j]
+        nodes = [(*x, 0) for x in zip(*(f.tolist() for f in front), strict=True)]
+        if most is None:
+            labels = np.arange(len(keys))
+            spanning(len(keys), trie_pairs(keys, nodes, top, budget, bottom, labels), labels)
+            out = labels != np.arange(len(keys))
+            return pa.table({"a": rep[labels[out]], "b": rep[out], "d": np.zeros(out.sum(), np.int64)})
+        check = np.frombuffer(b"".join(table.column("check").to_pylist()), np.uint64).reshape(len(keys), -1)[order]
+        forest = _Forest(len(keys))
+        for a, b in trie_pairs(keys, nodes, top, budget, bottom, forest.labels):
+            for at in range(0, len(a), 1 << 16):
+                x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+                open_ = forest.labels[x] != forest.labels[y]
+                x, y = x[open_], y[open_]
+                d = np.bitwise_count(check[x] ^ check[y]).sum(axis=1, dtype=np.int32)
+                forest.add(x[d <= most], y[d <= most], d[d <= most])
+        i, j, d = (np.array(x, np.int64) for x in zip(*forest.edges, strict=True)) if forest.edges else (np.zeros(0, np.int64),) * 3
+        return pa.table({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j]), "d": d})
 
     return kernel
 
 
-def _merged(fp: np.ndarray, group: np.ndarray, at: np.ndarray, n_own: int, inner: bool, prefix: int, bits: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs inside the left chunk, then of the left chunk with every other subtree within the budget."""
-    if not n_own:
-        return
-    mine = fp[at[:n_own]]
-    if inner:
-        yield from trie_pairs(mine, [(0, n_own, 0, n_own, 0)], bits, budget)
-    others = at[n_own:]
-    starts, ends = np.zeros(0, int), np.zeros(0, int)
-    if len(others):
-        of = group[others]
-        cuts = np.flatnonzero(of[1:] != of[:-1]) + 1
-        starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(others)]])
-    joint = np.concatenate([mine, fp[others]])
-    # joint isn't sorted as a whole, but each subtree's range in it is, which is all that the traversal needs.
-    front = [(0, n_own, n_own + s, n_own + e, int(prefix ^ int(of[s])).bit_count()) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-    yield from trie_pairs(joint, front, bits, budget)
-
-
-def trie_links(reps: DataFrame, budget: int = 2, subtree: int = SUBTREE, least_bits: int = 4) -> DataFrame:
+def trie_links(reps: DataFrame, budget: int = 2, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Edges (a, b) between representatives whose fingerprints differ in budget bits or fewer.
 
-    reps has distinct (fp, rep). The trie is cut at a depth that leaves about
-    ``subtree`` fingerprints in each subtree; each subtree is sent to the lower
-    one of every subtree pair whose prefixes differ within the budget, where the
-    pair is traversed. A subtree that holds far more is dealt into chunks, and
-    each pair of chunks is a task of its own. Each task returns a spanning
+    reps has distinct (fp, rep). There are budget + 1 tries, each over the bits
+    in a turned order that begins with another segment of them; a link's ends
+    agree in one segment at least, where both are below one node. So each
+    fingerprint is sent budget + 1 times, however large reps is. The subtrees
+    below are traversed as in ``trie_pairs``. Each task returns a spanning
     forest of its links, at most one edge per fingerprint it holds, so dense
     groups never emit all their pairs and no connection is lost.
     """
-    n = reps.count()
-    bits = min(24, max(least_bits, (max(n, 1) // subtree).bit_length()))
-    masks = [0] + [sum(1 << x for x in c) for k in range(1, budget + 1) for c in combinations(range(bits), k)]
-    rows = reps.select("fp", "rep", F.shiftrightunsigned("fp", 64 - bits).alias("prefix"))
-    chunks = rows.groupBy("prefix").agg(F.ceil(F.count("*") / (4 * subtree)).cast("int").alias("chunks"))
-    sent = rows.select("fp", "rep", "prefix", F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("mask")).select("fp", "rep", F.col("prefix").bitwiseXOR(F.col("mask")).alias("cell"), (F.col("mask") == 0).alias("own"), "prefix").where("cell <= prefix")
-    sent = sent.join(chunks.withColumnRenamed("prefix", "cell"), "cell").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("chunks") - 1)
-    left = sent.where("own").select("cell", F.col("chunk").alias("i"), F.explode(every).alias("j"), "fp", "rep", F.lit(True).alias("left"))
-    right = sent.where("not own or chunks > 1").select("cell", F.explode(every).alias("i"), F.col("chunk").alias("j"), "fp", "rep", F.lit(False).alias("left"), "own").where("not own or i < j").drop("own")
-    return left.union(right).groupBy("cell", "i", "j").applyInArrow(_subtree_links(bits, budget), "a long, b long")
+    top, turns = rotations(64, budget)
+    turned = F.array(*(F.shiftleft("fp", t).bitwiseOR(F.shiftrightunsigned("fp", 64 - t)) if t else F.col("fp") for t in turns))
+    cell = lambda x, k: F.struct((F.shiftrightunsigned(x, 64 - top) * len(turns) + k).alias("cell"), x.alias("key"))
+    rows = reps.select("rep", F.explode(F.transform(turned, cell)).alias("x")).select("x.cell", "x.key", "rep")
+    dealt, buckets = cells_of(rows, cell_rows, len(turns) * reps.count())
+    return dealt.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(_met(top, 64, budget), "a long, b long, d long").select("a", "b")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 2) -> DataFrame:
@@ -236,15 +303,17 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 # -- near copies by similarity -------------------------------------------------
 
-#: Bits of a wide SimHash, and how many keys of how many bits each are cut from it.
-WORDS, KEYS, KEY_BITS = 16, 24, 28
-#: Sketches that one subtree of a key's trie should hold.
-SKETCHES = 1 << 18
+#: Words of a wide SimHash; the first KEY_WORDS give the keys' bits, the others are compared.
+WORDS, KEY_WORDS, KEYS = 16, 10, 26
+#: Random pairs that a key of budget 1 leads to for each text grow with the texts; from this many on keys grow instead.
+KEY_TEXTS = 1 << 26
 #: Texts of fewer shingles than this are too short for a sketch; they meet by exact shingles.
 SHORT = 64
 #: Rows that one side of a task takes of a common shingle, or of a group that is compared in full.
 SIDE = 4096
 FULL = 1024
+#: Edges of a hub that one copy of its text serves.
+HUB = 64
 _SALTS = mixed(np.arange(1, WORDS + 1, dtype=np.uint64))
 
 
@@ -273,93 +342,60 @@ def parity(h: np.ndarray) -> bytes:
     return np.packbits(np.bincount((mixed(h) & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8).tobytes()
 
 
-def differing(similarity: float, deviations: float) -> int:
-    """Bits in which sketches of equally large sets of this Jaccard similarity differ: the angle's share, and so many deviations more."""
+def differing(similarity: float, deviations: float, bits: int) -> int:
+    """Of ``bits``, how many differ between sketches of equally large sets of this Jaccard similarity: the angle's share, and so many deviations more."""
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    n = 64 * WORDS
-    return int(share * n + deviations * (n * share * (1 - share)) ** 0.5)
+    return int(share * bits + deviations * (bits * share * (1 - share)) ** 0.5)
+
+
+def key_budget(n: int) -> int:
+    """Bits in which two keys may differ, for n texts.
+
+    A key has 8 * budget + 12 bits, so at any budget a pair at similarity 0.8
+    meets in a key with the same chance (0.17 to 0.19), while random pairs meet
+    in 13 times fewer keys with each bit more. It is 1 up to 2**26 texts, 2 up
+    to 13 times as many, and so on: the pairs compared for a text stay bounded.
+    """
+    budget = 1
+    while n > KEY_TEXTS * 13 ** (budget - 1):
+        budget += 1
+    return budget
 
 
-def _keys(bits: int, budget: int):
-    """(rep, sketch) -> each key of each sketch, in every subtree that it has to meet, as payloads by (key, prefix)."""
-    masks = np.array([0, *(sum(1 << x for x in c) for k in range(1, budget + 1) for c in combinations(range(bits), k))], np.int64)
+def _keys(width: int, budget: int):
+    """(rep, sketch) -> a row for each key of each sketch and each of the key's turns, with the bits to compare."""
+    top, turns = rotations(width, budget)
+    span = 64 * KEY_WORDS
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rep = batch.column(0).to_numpy()
-            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WORDS)
-            every = np.unpackbits(raw, axis=1)
-            whole = raw.view(np.uint64)
-            cells, payloads = [], []
+            n = batch.num_rows
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, 8 * WORDS)
+            every = np.unpackbits(raw[:, : 8 * KEY_WORDS], axis=1)
+            kept = np.ascontiguousarray(raw[:, 8 * KEY_WORDS :])
+            check = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * kept.shape[1]), pa.py_buffer(kept)])
             for k in range(KEYS):
-                key = np.zeros(len(rep), np.uint64)
-                for b in range(KEY_BITS):
-                    key = key << np.uint64(1) | every[:, k * KEY_BITS + b]
-                key <<= np.uint64(64 - KEY_BITS)
-                prefix = (key >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
-                cell = prefix[:, None] ^ masks
-                row, col = np.nonzero(cell <= prefix[:, None])
-                cell = cell[row, col]
-                order = np.argsort(cell, kind="stable")
-                row, cell = row[order], cell[order]
-                for a, b in zip(*runs(cell), strict=True):
-                    some = row[a:b]
-                    cells.append(k << bits | int(cell[a]))
-                    payloads.append(packed(key[some], rep[some], whole[some].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(payloads, pa.binary())], ["cell", "payload"])
+                key = np.zeros(n, np.uint64)
+                for b in range(width):
+                    key = key << np.uint64(1) | every[:, (k * width + b) % span]
+                for r, t in enumerate(turns):
+                    turned = (key << np.uint64(64 - width + t) | key << np.uint64(64 - width) >> np.uint64(width - t)) if t else key << np.uint64(64 - width)
+                    cell = (turned >> np.uint64(64 - top)).astype(np.int64) + ((k * len(turns) + r) << top)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(turned.view(np.int64)), batch.column(0), check], ["cell", "key", "rep", "check"])
 
     return kernel
 
 
-class _Forest:
-    """Spanning forest over positions, closest first within each call, with a label array for each to prune by."""
-
-    def __init__(self, n: int) -> None:
-        self.labels, self.edges = np.arange(n), []
-
-    def add(self, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> None:
-        order = np.argsort(distance, kind="stable")
-        up: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while x in up:
-                x = up[x]
-            return x
-
-        for i, j, d in zip(a[order].tolist(), b[order].tolist(), distance[order].tolist(), strict=True):
-            x, y = root(int(self.labels[i])), root(int(self.labels[j]))
-            if x != y:
-                up[max(x, y)] = min(x, y)
-                self.edges.append((i, j, d))
-        if up:
-            new = np.arange(len(self.labels))
-            new[list(up)] = [root(x) for x in up]
-            self.labels[:] = new[self.labels]
-
-
-def _similar(bits: int, budget: int, most: int):
-    def kernel(cell: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        own = int(cell[0].as_py()) & ((1 << bits) - 1)
-        key, rep, raw = (np.concatenate(x) for x in zip(*(unpacked(p.as_py(), np.uint64, np.int64, np.uint64) for p in table.column("payload")), strict=True))
-        prefix = (key >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
-        order = np.lexsort((key, prefix != own))  # this subtree first
-        key, rep, whole, prefix = key[order], rep[order], raw.reshape(-1, WORDS)[order], prefix[order]
-        n = int((prefix == own).sum())
-        starts, ends = runs(prefix[n:])
-        front = [(0, n, 0, n, 0)] if n else []
-        front += [(0, n, n + a, n + b, int(own ^ int(prefix[n + a])).bit_count()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if n]
-        forest = _Forest(len(key))
-        for a, b in trie_pairs(key, front, bits, budget, KEY_BITS, forest.labels):
-            for at in range(0, len(a), 1 << 16):
-                x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-                open_ = forest.labels[x] != forest.labels[y]
-                x, y = x[open_], y[open_]
-                d = np.bitwise_count(whole[x] ^ whole[y]).sum(axis=1, dtype=np.int32)
-                forest.add(x[d <= most], y[d <= most], d[d <= most])
-        i, j, d = (np.array(x, np.int64) for x in zip(*forest.edges, strict=True)) if forest.edges else (np.zeros(0, np.int64),) * 3
-        return pa.table({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j]), "d": d})
-
-    return kernel
+def _long_links(reps: DataFrame, similarity: float, budget: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Candidate edges (a, b, d) among (rep, sketch) by trie self-joins of keys; each sketch is sent KEYS * (budget + 1) times."""
+    n = reps.count()
+    budget = budget or key_budget(n)
+    width = 8 * budget + 12
+    top, turns = rotations(width, budget)
+    rows = reps.select("rep", "sketch").mapInArrow(_keys(width, budget), "cell long, key long, rep long, check binary")
+    dealt, buckets = cells_of(rows, cell_rows, n * KEYS * len(turns))
+    most = differing(similarity, 3.5, 64 * (WORDS - KEY_WORDS))
+    return dealt.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(_met(top, width, budget, most), "a long, b long, d long")
 
 
 def _close(similarity: float):
@@ -403,21 +439,42 @@ def _short_links(reps: DataFrame, similarity: float) -> DataFrame:
     return left.union(right).groupBy("cell", "i", "j").applyInArrow(_close(similarity), "a long, b long, d long")
 
 
-def _verified(edges: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The edges whose texts' shingle sets are this similar; texts cross once, and only those of edges go on."""
-    ends = edges.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
-    both = ends.join(texts, "id").groupBy("a", "b").agg(F.min_by("t", "id").alias("x"), F.max_by("t", "id").alias("y"))
+def _verified(edges: DataFrame, texts: DataFrame, width: int, similarity: float, partitions: int) -> DataFrame:
+    """The edges whose texts' shingle sets are this similar.
+
+    An edge's end of more edges is its hub. A hub's text is sent once for HUB of
+    its edges, the other end's once for each edge; a hub's edges lie next to each
+    other, so its shingles are made once for them.
+    """
+    pairs = checkpointed(edges.select("a", "b"))
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    of = lambda end: degree.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"))
+    first = F.col("n_a") >= F.col("n_b")
+    turned = pairs.join(of("a"), "a").join(of("b"), "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("leaf"), F.greatest("n_a", "n_b").alias("n"))
+    turned = checkpointed(turned.select("hub", "leaf", F.pmod(F.xxhash64("leaf"), F.ceil(F.col("n") / HUB)).alias("salt")))
+    hubs = turned.select("hub", "salt").distinct().select("hub", "salt", F.lit(None).cast("long").alias("leaf"), F.col("hub").alias("id"))
+    leaves = turned.select("hub", "salt", "leaf", F.col("leaf").alias("id"))
+    some = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.min("t").alias("t"))
+    sent = hubs.unionByName(leaves).join(some, "id").select("hub", "salt", "leaf", "t")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, p = None, None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = shingle_set(x, width), shingle_set(y, width)
+            a, b = [], []
+            for hub, salt, leaf, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                q = shingle_set(text, width)
+                if leaf is None:  # comes first
+                    at, p = (hub, salt), q
+                    continue
+                assert at == (hub, salt)
                 shared = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(shared >= similarity * (len(p) + len(q) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                if shared >= similarity * (len(p) + len(q) - shared):
+                    a.append(min(hub, leaf))
+                    b.append(max(hub, leaf))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return both.mapInArrow(kernel, "a long, b long")
+    dealt = sent.repartition(partitions, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("leaf").asc_nulls_first())
+    return dealt.mapInArrow(kernel, "a long, b long")
 
 
 def shared_counts(sets: list[np.ndarray], block: int = 1 << 12) -> np.ndarray:
@@ -487,7 +544,7 @@ def _completed(clusters: DataFrame, parts: DataFrame, texts: DataFrame, width: i
     return sent.groupBy("cluster", "i", "j").applyInArrow(_compared(similarity), "a long, b long")
 
 
-def _groups(edges: DataFrame, texts: DataFrame, width: int, similarity: float, rounds: int = 2) -> DataFrame:
+def _groups(edges: DataFrame, texts: DataFrame, width: int, similarity: float, partitions: int, rounds: int = 2) -> DataFrame:
     """(node, component) by links of this similarity alone, for candidate edges (a, b, d) that connect every such pair.
 
     Each round verifies every text's closest edge out of its part. What verified
@@ -499,7 +556,7 @@ def _groups(edges: DataFrame, texts: DataFrame, width: int, similarity: float, r
     for _ in range(rounds):
         both = left.select(F.col("a").alias("v"), F.col("b").alias("w"), "d").union(left.select(F.col("b").alias("v"), F.col("a").alias("w"), "d"))
         picks = checkpointed(both.groupBy("v").agg(F.min(F.struct("d", "w")).alias("m")).select(F.least("v", "m.w").alias("a"), F.greatest("v", "m.w").alias("b")).distinct())
-        found = _verified(picks, texts, width, similarity)
+        found = _verified(picks, texts, width, similarity, partitions)
         links = checkpointed(found if links is None else links.union(found))
         parts = checkpointed(connected_components(links))
         of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
@@ -509,15 +566,17 @@ def _groups(edges: DataFrame, texts: DataFrame, width: int, similarity: float, r
     return connected_components(links.union(more)) if more.take(1) else parts
 
 
-def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, budget: int = 2) -> DataFrame:
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, budget: int | None = None) -> DataFrame:
     """(id, component) for every row: groups of texts linked by sets of word shingles of Jaccard similarity ``similarity`` or more.
 
     Every link is verified by the exact shingle sets. Texts of 64 shingles or
     more are compared by a SimHash of 1,024 bits, whose share of differing bits
     follows the angle between the shingle sets. Pairs to compare come from trie
-    self-joins of 24 disjoint keys of 28 bits, in each of which a pair at
-    similarity 0.8 differs in ``budget`` bits or fewer with a chance of one in
-    five; a sketch distance four deviations over the threshold's ends a pair.
+    self-joins of 26 keys of 8 * budget + 12 bits, in each of which a pair at
+    similarity 0.8 differs in ``budget`` bits or fewer with a chance of 0.17 or
+    more (None: the budget that ``key_budget`` gives for the number of texts). A
+    distance of 3.5 deviations over the threshold's, in 384 bits that no key
+    uses, ends a pair. A text is sent 26 * (budget + 1) times.
     Texts of up to 80 shingles (at 0.8) meet by a shared shingle of their prefixes
     and are ruled out by sizes and parities only, which never loses a pair.
     Within a task pairs that are already connected aren't opened, so what leaves
@@ -526,7 +585,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     only missed where no path of candidates joins its ends: for a lone pair
     of long texts at exactly the threshold the chance is under one in a hundred.
     Texts without words form one group. Rows that share an id are compared by
-    the first of their texts found; a null id has a null component. An empty
+    the first of their texts; a null id has a null component. An empty
     table gives no rows; other columns are ignored.
     """
     brief = int(SHORT / similarity + 1e-9)
@@ -549,12 +608,9 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     sketches = checkpointed(texts.mapInArrow(kernel, "id long, sketch binary, n long, prefix array<long>, parity binary"))
     reps = checkpointed(sketches.where("id is not null").groupBy("sketch").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")))
-    long = reps.where(F.col("n") >= SHORT).select("rep", "sketch")
-    bits = min(KEY_BITS - 4, max(0, long.count() // SKETCHES).bit_length())
-    cells = long.mapInArrow(_keys(bits, budget), "cell long, payload binary")
-    found = cells.groupBy("cell").applyInArrow(_similar(bits, budget, differing(similarity, 4)), "a long, b long, d long")
+    found = _long_links(reps.where(F.col("n") >= SHORT).select("rep", "sketch"), similarity, budget)
     edges = checkpointed(found.union(_short_links(reps, similarity)).where("a <> b").groupBy("a", "b").agg(F.min("d").alias("d")))
-    groups = _groups(edges, texts, width, similarity)
+    groups = _groups(edges, texts, width, similarity, bucket_count(texts, "t"))
     whole = reps.join(groups, reps.rep == groups.node, "left").select("sketch", F.coalesce("component", "rep").alias("component"))
     out = sketches.join(whole, "sketch", "left")
     return out.select("id", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))

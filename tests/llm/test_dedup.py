@@ -38,14 +38,14 @@ def test_trie_finds_all_pairs_of_a_dense_ball():
         assert {(min(p), max(p)) for p in found} == want
 
 
-@pytest.mark.parametrize("subtree,bits", [(4, 4), (8, 6), (1 << 15, 4)])
-def test_subtrees_and_chunks_lose_no_link(spark, subtree, bits):
+@pytest.mark.parametrize("cell_rows", [7, 40, 1 << 19])
+def test_cells_and_chunks_lose_no_link(spark, cell_rows):
     rng = random.Random(9)
     centre = rng.getrandbits(64)
     values = {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(150)} | {rng.getrandbits(64) for _ in range(60)}
     nodes = dict(enumerate(values))
     signed = [(v - 2**64 if v >> 63 else v, k) for k, v in nodes.items()]
-    edges = simhash.trie_links(spark.createDataFrame(signed, "fp long, rep long"), 2, subtree=subtree, least_bits=bits)
+    edges = simhash.trie_links(spark.createDataFrame(signed, "fp long, rep long"), 2, cell_rows=cell_rows)
     found = {r.node: r.component for r in components.connected_components(edges).collect()}
     assert {k: found.get(k, k) for k in nodes} == brute_components(nodes, 2)
 
@@ -64,19 +64,6 @@ def near_copies(seed: int, n: int) -> list[tuple[int, str]]:
     return out
 
 
-@pytest.mark.parametrize("sketches", [1 << 18, 16])
-def test_similar_documents(spark, monkeypatch, sketches):
-    monkeypatch.setattr(simhash, "SKETCHES", sketches)
-    docs = near_copies(3, 120)
-    out = simhash.similar_documents(spark.createDataFrame(docs, SCHEMA)).collect()
-    got, want = {r.id: r.component for r in out}, similar_groups(dict(docs))
-    assert len(got) == len(docs)
-    assert all(want[k] == want[c] for k, c in got.items())  # no link that isn't one
-    sure = similar_groups(dict(docs), 0.83)
-    assert all(got[k] == got[c] for k, c in sure.items())
-    assert sum(got[k] != want[k] for k in want) <= 0.04 * len(docs)  # borderline texts
-
-
 def exact_groups(docs: list[tuple[int, str]], least: float = 0.8) -> dict[int, int]:
     """Groups by shingle sets from one product over the shingles that occur twice."""
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in docs)]
@@ -93,6 +80,31 @@ def exact_groups(docs: list[tuple[int, str]], least: float = 0.8) -> dict[int, i
     return {k: docs[x][0] for (k, _), x in zip(docs, label)}
 
 
+@pytest.mark.parametrize("seed", [3, *range(11, 20)])
+def test_similar_documents(spark, seed):
+    docs = near_copies(seed, 90)
+    out = simhash.similar_documents(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert len(out) == len(docs)
+    assert {r.id: r.component for r in out} == similar_groups(dict(docs))
+
+
+@pytest.mark.parametrize("budget,cell_rows", [(1, 50), (2, 50), (3, 1 << 19)])
+def test_wider_keys_and_chunks_give_the_same_groups(spark, monkeypatch, budget, cell_rows):
+    monkeypatch.setattr(simhash._long_links, "__defaults__", (None, cell_rows))
+    docs = near_copies(12, 90)
+    got = {r.id: r.component for r in simhash.similar_documents(spark.createDataFrame(docs, SCHEMA), budget=budget).collect()}
+    assert got == similar_groups(dict(docs))
+
+
+def test_rows_sent_for_a_text_do_not_depend_on_the_number_of_texts(spark):
+    def sent(n: int, cell_rows: int) -> float:
+        reps = spark.createDataFrame([(k, simhash.sketch(np.random.default_rng(k).integers(0, 2**63, 80).astype(np.uint64))) for k in range(n)], "rep long, sketch binary")
+        rows = reps.mapInArrow(simhash._keys(20, 1), "cell long, key long, rep long, check binary")
+        return simhash.cells_of(rows, cell_rows, n * simhash.KEYS * 2)[0].count() / n
+
+    assert sent(60, 1 << 19) == sent(240, 1 << 19) == sent(240, 64) == 2 * simhash.KEYS
+
+
 def test_a_template_group_around_the_threshold(spark):
     rng = random.Random(11)
     base = words(rng, 300)
