@@ -1,13 +1,10 @@
-"""Bytes: checksums, histograms, names, containers, and a bit coder."""
+"""Bytes: checksums, histograms, names, containers, and round trips."""
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,13 +13,37 @@ from ..functions import bits
 from ..functions.layouts import ALIGNED_TO_RASTER
 
 
-def _adler32(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else zlib.adler32(t.encode())).astype("Int64")
+#: Bytes of a text that one row of sums stands for.
+CHUNK = 1 << 16
+# Fixed value: the modulus of Adler-32.
+ADLER = 65_521
 
 
-def adler32(text_col: str) -> Column:
-    """Adler-32 of a string's UTF-8 bytes; null for null. Arrow batches into the C routine: a fold over bytes in SQL takes longer by far."""
-    return F.pandas_udf(_adler32, "long")(F.col(text_col))
+def adler32(df: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(key, adler): Adler-32 of texts' UTF-8 bytes in its closed form; null texts are empty. Keys must be distinct.
+
+    With n bytes b_0 .. b_(n-1), its halves are 1 + sum(b_i) and n + sum((n - i) b_i).
+    Texts are cut into chunks, each chunk gives its length, sum, and sum of
+    b_i weighted by the distance to the chunk's end, and a text's chunks are added up.
+    """
+    raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
+    cuts = F.transform(F.sequence(F.lit(0), F.floor(F.length("raw") / CHUNK).cast("int")), lambda k: F.struct((F.length("raw") - k * CHUNK).alias("left"), F.substring(F.col("raw"), k * CHUNK + 1, F.lit(CHUNK)).alias("piece")))
+    pieces = df.select(key, raw.alias("raw")).select(key, F.explode(cuts).alias("c")).select(key, "c.left", "c.piece")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, weighted = [], []
+            for piece in batch.column(2).to_pylist():
+                b = np.frombuffer(piece, np.uint8).astype(np.int64)
+                total.append(int(b.sum()))
+                weighted.append(int((b * np.arange(len(b), 0, -1)).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in batch.column(2).to_pylist()], pa.int64()), pa.array(total, pa.int64()), pa.array(weighted, pa.int64())], [key, "left", "n", "total", "weighted"])
+
+    kind = df.schema[key].dataType.simpleString()
+    sums = pieces.mapInArrow(kernel, f"`{key}` {kind}, left int, n long, total long, weighted long")
+    low = F.lit(1) + F.sum("total")
+    high = F.sum("n") + F.sum(F.col("weighted") + (F.col("left") - F.col("n")) % ADLER * F.col("total") % ADLER)
+    return sums.groupBy(key).agg((low % ADLER + 65_536 * (high % ADLER)).cast("long").alias("adler"))
 
 
 def byte_counts(df: DataFrame, key: str, text_col: str) -> DataFrame:
@@ -73,98 +94,36 @@ def read_prefix(raw: Column) -> list[Column]:
     return [bits.from_little_endian(raw, 21).alias("n_bytes"), bits.from_little_endian(raw, 5, 1).alias("segments"), named_mode.alias("mode")]
 
 
-# -- an adaptive binary arithmetic coder, one key's bits at a time --------------
-
-
-class _Chance:
-    """Counts of both bits and the share of zeros in 256ths, at least 1."""
-
-    def __init__(self) -> None:
-        self.seen = [1, 1]
-
-    def zero(self) -> int:
-        return max(1, min(255, 256 * self.seen[0] // sum(self.seen)))
-
-    def add(self, bit: int) -> None:
-        self.seen[bit] += 1
-        if self.seen[bit] > 255:
-            self.seen = [(n + 1) // 2 for n in self.seen]
-
-
-def encoded_bits(values: list[int]) -> bytes:
-    """A range coder of 32 bits; a carry runs back through the bytes written."""
-    out, low, span, chance = bytearray(), 0, 0xFFFFFFFF, _Chance()
-    for bit in values:
-        cut = (span >> 8) * chance.zero()
-        if bit:
-            low, span = low + cut, span - cut
-        else:
-            span = cut
-        chance.add(bit)
-        if low >> 32:
-            low &= 0xFFFFFFFF
-            at = len(out) - 1
-            while out[at] == 255:
-                out[at] = 0
-                at -= 1
-            out[at] += 1
-        while span < 1 << 24:
-            out.append(low >> 24)
-            low, span = low << 8 & 0xFFFFFFFF, span << 8
-    return bytes(out) + low.to_bytes(4, "big")
-
-
-def decoded_bits(code: bytes, n: int) -> list[int]:
-    at, value, span, chance, out = 4, int.from_bytes(code[:4], "big"), 0xFFFFFFFF, _Chance(), []
-    for _ in range(n):
-        cut = (span >> 8) * chance.zero()
-        bit = int(value >= cut)
-        if bit:
-            value, span = value - cut, span - cut
-        else:
-            span = cut
-        chance.add(bit)
-        out.append(bit)
-        while span < 1 << 24:
-            value, span, at = value << 8 | (code[at] if at < len(code) else 0), span << 8, at + 1
-    return out
-
-
-def coded_bits(df: DataFrame, key: str, order: list[str], bit_col: str) -> DataFrame:
-    """(key, n_bits, ones, n_bytes, code, equal): each key's bits in order, coded, and whether they decode.
-
-    One bit depends on all earlier ones of its key, so a key is one task's work;
-    keys run in parallel.
-    """
+# -- round trips ----------------------------------------------------------------
 
-    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
-        values = frame.sort_values(order)[bit_col].tolist()
-        code = encoded_bits(values)
-        return pd.DataFrame({key: [frame[key].iloc[0]], "n_bits": [len(values)], "ones": [sum(values)], "n_bytes": [len(code)], "code": [code], "equal": [decoded_bits(code, len(values)) == values]})
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, *order, bit_col).groupBy(key).applyInPandas(kernel, f"`{key}` {kind}, n_bits long, ones long, n_bytes long, code binary, equal boolean")
 
+def run_coded(df: DataFrame, key: str, order: list[str], bit_col: str) -> DataFrame:
+    """(key, n_bits, ones, runs, equal): each key's bits in order as runs of equal bits, and whether the runs give them back.
 
-def stored(df: DataFrame, id_col: str, text_col: str, level: int = 9) -> DataFrame:
-    """(id, outcome, n_bytes, payload, equal): texts compressed, or as they are where that isn't smaller, and read back.
-
-    The outcome says which; equal compares size and digest of what is read back.
-    Null texts are stored as empty.
+    Runs are islands of one order; they are opened again to numbered bits, which
+    are counted against the first ones.
     """
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                raw = (text or "").encode()
-                small = zlib.compress(raw, level)
-                coded = len(small) < len(raw)
-                payload = small if coded else raw
-                back = zlib.decompress(payload) if coded else payload
-                rows.append(("coded" if coded else "stored", len(raw), payload, len(back) == len(raw) and hashlib.md5(back).digest() == hashlib.md5(raw).digest()))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            kinds = (pa.string(), pa.int64(), pa.binary(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "outcome", "n_bytes", "payload", "equal"])
-
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).mapInArrow(kernel, "id long, outcome string, n_bytes long, payload binary, equal boolean")
+    w = Window.partitionBy(key).orderBy(*order)
+    rows = df.select(key, F.row_number().over(w).alias("_at"), F.col(bit_col).cast("int").alias("_bit"), F.coalesce((F.col(bit_col) != F.lag(bit_col).over(w)).cast("int"), F.lit(1)).alias("_new"))
+    rows = rows.withColumn("_run", F.sum("_new").over(Window.partitionBy(key).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.groupBy(key, "_run").agg(F.min("_at").alias("first"), F.count("*").alias("n"), F.min("_bit").alias("_bit"))
+    back = runs.select(key, "_run", "_bit", F.explode(F.sequence(F.col("first").cast("long"), F.col("first") + F.col("n") - 1)).alias("_at"))
+    mark = lambda side: F.lit(side).alias("_side")
+    both = rows.select(key, "_run", F.col("_at").cast("long"), "_bit", mark(1)).unionByName(back.select(key, "_run", "_at", "_bit", mark(-1)))
+    digest = F.sum(F.col("_side") * F.xxhash64("_at", "_bit").cast("decimal(38,0)"))
+    real = F.col("_side") == 1
+    return both.groupBy(key).agg(F.sum(real.cast("long")).alias("n_bits"), F.sum(F.when(real, F.col("_bit")).otherwise(0)).alias("ones"), F.max("_run").alias("runs"), ((digest == 0) & (F.sum("_side") == 0)).alias("equal"))
+
+
+def stored(df: DataFrame, id_col: str, text_col: str, folder: str, codec: str = "zstd") -> DataFrame:
+    """(id, n_bytes, md5, equal): texts written to folder as compressed Parquet, read again, and compared by size and digest.
+
+    Null texts are stored as empty. Ids must be distinct.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    told = lambda x: [F.octet_length(x).cast("long").alias("n_bytes"), F.md5(x).alias("md5")]
+    df.select(F.col(id_col).alias("id"), text.alias("text")).write.mode("overwrite").option("compression", codec).parquet(folder)
+    back = df.sparkSession.read.parquet(folder).select("id", *told(F.col("text")))
+    own = df.select(F.col(id_col).alias("id"), *(c.alias(f"own_{k}") for c, k in zip(told(text), ("n_bytes", "md5"), strict=True)))
+    same = (F.col("n_bytes") == F.col("own_n_bytes")) & (F.col("md5") == F.col("own_md5"))
+    return own.join(back, "id", "left").select("id", F.col("own_n_bytes").alias("n_bytes"), F.col("own_md5").alias("md5"), F.coalesce(same, F.lit(False)).alias("equal"))

@@ -67,6 +67,26 @@ def packets(df: DataFrame, size: Column) -> DataFrame:
     return rows.withColumn("header", F.when(F.col("len").isin(4096, 16384, 65536), 1).otherwise(3)).drop("_n")
 
 
+def packet_list(size: Column) -> Column:
+    """The packets of one stream as an array of {round, start, len}."""
+    first, second, later = SCHEDULE
+    count = F.when(size <= 0, 0).when(size <= first, 1).otherwise(2 + bits.ceil_div(F.greatest(size - first - second, F.lit(0)), later)).cast("int")
+
+    def packet(k: Column) -> Column:
+        start = F.when(k == 0, 0).otherwise(first + F.when(k == 1, 0).otherwise(second + (k - 2) * later)).cast("long")
+        most = F.when(k == 0, first).when(k == 1, second).otherwise(later).cast("long")
+        return F.struct(k.alias("round"), start.alias("start"), F.least(most, size - start).alias("len"))
+
+    return F.transform(F.filter(F.sequence(F.lit(0), count), lambda k: k < count), packet)
+
+
+def laid_end_to_end(df: DataFrame, keys: list[str], order: list[str], size: str) -> DataFrame:
+    """df with begin_at, where each row's bytes start when a key's rows are laid end to end in order, and member, its number from 1."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    before = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size)
+    return df.withColumn("begin_at", before).withColumn("member", F.row_number().over(w))
+
+
 def turns(df: DataFrame, keys: list[str], component: str, batch: str, target: str) -> DataFrame:
     """df with step: whose batch comes next is the component that is least far along, the lower one of equals."""
     w = Window.partitionBy(*keys).orderBy(F.col(batch) / F.col(target), component)

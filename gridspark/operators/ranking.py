@@ -1,33 +1,30 @@
-"""Global ranks without a global sort task."""
+"""Global order without a global sort task."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that the order is cut into; the only thing the driver holds.
-RANGES = 256
+from ..sources.shared import checkpointed
 
 
-def ranked(df: DataFrame, value: str, tie: str, ranges: int = RANGES) -> DataFrame:
-    """df with rank (1 .. n by value, then tie) and total (n); nulls come first.
+def ordered(df: DataFrame, order: list) -> DataFrame:
+    """df in ranges of a global order, one a partition, with range (its number) and place (from 0 within it).
 
-    Values are cut into ranges at approximate quantiles. Each range is ranked by
-    itself and shifted by the number of rows in earlier ranges, so no task holds
-    more than a range; a value that fills ranges by itself is cut by its tie column.
+    Spark cuts the ranges by a sample of all order columns together, so equal
+    values, nulls and NaNs are spread by the columns after them. One shuffle; the
+    result is written once, as later steps read it more than once.
     """
-    cuts = sorted(set(df.approxQuantile(value, [k / ranges for k in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
-    bucket = F.lit(0)
-    if cuts:
-        # The number of cuts below the value, and whether it is a cut itself: cut values get ranges of their own.
-        at = F.array(*map(F.lit, cuts))
-        bucket = F.size(F.filter(at, lambda c: c < F.col(value))) * 2 + F.array_contains(at, F.col(value)).cast("int")
-    rows = df.withColumn("_b", F.coalesce(bucket, F.lit(-1)))
-    ties = rows.where("_b % 2 = 1").groupBy("_b").agg(F.percentile_approx(tie, F.lit([k / 16 for k in range(1, 16)]), 200).alias("_q"))
-    rows = rows.join(F.broadcast(ties), "_b", "left").withColumn("_t", F.when(F.col("_q").isNull(), 0).otherwise(F.size(F.filter("_q", lambda c: c < F.col(tie))))).drop("_q")
-    counts = rows.groupBy("_b", "_t").agg(F.count("*").alias("_n"))
-    # At most ranges * 32 rows.
-    earlier = counts.select("_b", "_t", (F.sum("_n").over(Window.orderBy("_b", "_t")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("total"))
-    local = F.row_number().over(Window.partitionBy("_b", "_t").orderBy(F.col(value).asc_nulls_first(), tie))
-    out = rows.withColumn("_r", local).join(F.broadcast(earlier), ["_b", "_t"])
-    return out.withColumn("rank", F.col("_r") + F.col("_before")).drop("_b", "_t", "_r", "_before")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id()
+    rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", at)
+    # The id holds the partition's number above 33 bits of a row's place in it.
+    return checkpointed(rows.select(*df.columns, F.shiftright("_at", 33).cast("int").alias("range"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("place")))
+
+
+def ranked(df: DataFrame, value: str, tie: str) -> DataFrame:
+    """df with rank (1 .. n by value, then tie) and total (n); nulls come first, NaNs last."""
+    rows = ordered(df, [F.col(value).asc_nulls_first(), F.col(tie).asc_nulls_first()])
+    sizes = rows.groupBy("range").agg((F.max("place") + 1).alias("n"))  # a row per partition
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    return rows.join(F.broadcast(before), "range").withColumn("rank", F.col("place") + F.col("before") + 1).drop("range", "place", "before")

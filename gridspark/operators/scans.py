@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
+from .ranking import ordered
 
 
 def deltas(df: DataFrame, keys: list[str], order: list[str], value: str, restart: int | None = None) -> DataFrame:
@@ -51,23 +52,37 @@ def as_of(probes: DataFrame, marks: DataFrame, keys: list[str], at: str, payload
     return joined.where((F.col("_side") == probe_side) & F.col("_mark").isNull()).select(*probes.columns, *(F.col(f"_last.{c}").alias(f"found_{c}") for c in payload))
 
 
-def in_ranges(df: DataFrame, ranges: DataFrame, value: str, limit: int = 4096) -> DataFrame:
-    """df joined to the range [start, end) that holds value; the last range is open-ended.
+def last_before(probes: DataFrame, marks: DataFrame, at: str, payload: list[str], strict: bool = True) -> DataFrame:
+    """as_of without keys: the order is cut into ranges, and each range starts from the last mark of those before it."""
+    kind = marks.select(F.struct(*payload).alias("m")).schema["m"].dataType
+    own = probes.select("*", F.lit(None).cast(kind).alias("_mark"), F.lit(0 if strict else 1).alias("_side"), F.lit(True).alias("_probe"))
+    other = marks.select(at, F.struct(*payload).alias("_mark"), F.lit(1 if strict else 0).alias("_side"), F.lit(False).alias("_probe"))
+    rows = ordered(own.unionByName(other, allowMissingColumns=True), [at, "_side", "_mark"])
+    lasts = rows.where("not _probe").groupBy("range").agg(F.max_by("_mark", "place").alias("_m"))  # a row per partition
+    ranges = rows.select("range").distinct().join(lasts, "range", "left")
+    carried = ranges.select("range", F.last("_m", ignorenulls=True).over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    w = Window.partitionBy("range").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("_own", F.last("_mark", ignorenulls=True).over(w)).where("_probe").join(F.broadcast(carried), "range")
+    last = F.coalesce("_own", "_before")
+    return found.withColumn("_last", last).select(*probes.columns, *(F.col(f"_last.{c}").alias(f"found_{c}") for c in payload))
 
-    Up to ``limit`` ranges are broadcast. More are found as an as-of look-up of
-    the range's start, by buckets of the value, which shuffles both sides.
+
+def in_ranges(df: DataFrame, ranges: DataFrame, value: str, limit: int = 64) -> DataFrame:
+    """df joined to the range [start, end) that holds value; ranges don't overlap and the last one is open-ended.
+
+    Up to ``limit`` ranges are broadcast and compared. More are found by
+    ``last_before`` on their starts, whatever their widths; values before all
+    ranges or in a gap are left out either way, as are nulls.
     """
+    columns = [c for c in ranges.columns if c != "start"]
     top = ranges.agg(F.max("start").alias("top"))
     if ranges.limit(limit + 1).count() <= limit:
         some = F.broadcast(ranges.join(F.broadcast(top)))
         return df.join(some, (F.col(value) >= F.col("start")) & ((F.col(value) < F.col("end")) | (F.col("start") == F.col("top")))).drop("top")
-    rest = [c for c in ranges.columns if c not in ("start", "end")]
-    width = ranges.agg(F.max(F.col("end") - F.col("start"))).first()[0]
-    cell = lambda x: F.floor(x / F.lit(width)).cast("long")
-    spread = ranges.withColumn("_cell", F.explode(F.sequence(cell(F.col("start")), cell(F.col("end")))))
-    within = df.withColumn("_cell", cell(F.col(value))).join(spread, "_cell").where(f"{value} >= start and {value} < end")
-    beyond = df.join(F.broadcast(ranges.orderBy(F.desc("start")).limit(1)), F.col(value) >= F.col("end"))
-    return within.select(*df.columns, "start", "end", *rest).unionByName(beyond.select(*df.columns, "start", "end", *rest))
+    marks = ranges.join(F.broadcast(top)).select(F.col("start").alias("_value"), F.col("start"), *columns, (F.col("start") == F.col("top")).alias("open"))
+    found = last_before(df.where(F.col(value).isNotNull()).withColumn("_value", F.col(value)), marks, "_value", ["start", *columns, "open"], strict=False)
+    inside = found.where(F.col("found_open") | (F.col(value) < F.col("found_end")))
+    return inside.select(*df.columns, *(F.col(f"found_{c}").alias(c) for c in ranges.columns))
 
 
 def canonical_codes(lengths: DataFrame) -> DataFrame:

@@ -25,23 +25,26 @@ def segment(kind: int, payload: Column) -> Column:
 SEGMENT = "struct<kind:int,offset:int,len:int,payload:binary>"
 
 
-def segments(raw: Column, most: int = 32) -> Column:
+def segments(raw: Column) -> Column:
     """The segments of a header up to its scan, as an array; it ends early where a marker or a length doesn't fit.
 
-    ``most`` bounds the segments of one header.
+    A header has no more segments than bytes 0xFF, which bounds the fold.
     """
-    empty = F.struct(F.lit(3).alias("at"), F.array().cast(f"array<{SEGMENT}>").alias("found"))
+    latin = F.decode(raw, "ISO-8859-1")
+    most = F.length(latin) - F.length(F.replace(latin, F.lit("\xff"), F.lit("")))
+    start = F.struct(F.lit(3).alias("at"), F.lit(False).alias("done"), F.array().cast(f"array<{SEGMENT}>").alias("found"))
 
     def step(state: Column, _: Column) -> Column:
         at = state["at"]
         kind = bits.from_big_endian(raw, at + 1, 1).cast("int")
         size = bits.from_big_endian(raw, at + 2).cast("int")
-        whole = (F.hex(F.substring(raw, at, F.lit(1))) == "FF") & (size >= 2) & (at + 1 + size <= F.length(raw))
+        whole = F.coalesce((F.hex(F.substring(raw, at, F.lit(1))) == "FF") & (size >= 2) & (at + 1 + size <= F.length(raw)), F.lit(False))
         item = F.struct(kind.alias("kind"), (at - 1).alias("offset"), size.alias("len"), F.substring(raw, at + 4, size - 2).alias("payload")).cast(SEGMENT)
-        last = F.exists(state["found"], lambda s: s["kind"] == SCAN)
-        return F.when(F.coalesce(whole, F.lit(False)) & ~last, F.struct((at + 2 + size).alias("at"), F.concat(state["found"], F.array(item)).alias("found"))).otherwise(state)
+        grown = F.struct((at + 2 + size).alias("at"), (kind == SCAN).alias("done"), F.concat(state["found"], F.array(item)).alias("found"))
+        over = F.struct(at.alias("at"), F.lit(True).alias("done"), state["found"].alias("found"))
+        return F.when(state["done"], state).when(whole, grown).otherwise(over)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), empty, step)["found"]
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), start, step)["found"]
 
 
 def rebuilt(found: Column) -> Column:

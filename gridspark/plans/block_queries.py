@@ -67,21 +67,20 @@ costs AS (
 SELECT class, code, CAST(sum(cost) AS BIGINT) AS cost FROM costs GROUP BY class, code""")
 def int_code_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of 25 integer codes would spend on the histogram of each class."""
-    v, size, cut = F.col("value"), F.col("l"), F.col("n")
-    h = histogram(spark, sf_dir).withColumn("l", bits.bit_length(v))
+    v, size = F.col("value"), F.col("l")
+    most = F.max("value").over(Window.partitionBy("class"))  # of the histogram, which has a row per value
+    h = histogram(spark, sf_dir).withColumn("l", bits.bit_length(v)).withColumn("most", most)
     plain = F.when(v == 0, 1).otherwise(F.abs(v) + 2)
-    by_exponent = {
+    codes = {
         "unary_exp": F.when(size == 0, 1).when(size < 10, 2 * size + 1).when(size == 10, 20),
         "unary0exp": F.when(size == 0, 1).when(v == 1, 2).when(v == -1, 3).when(size < 10, 2 * size + 2).when(size == 10, 21),
         "binaryexp": F.when(size == 0, 2).when(size <= 10, size + 4),
         "unary": plain,
+        **{f"untrunc{n:02d}": F.when(F.abs(v) <= n, plain).otherwise(2 * bits.bit_length(F.abs(v) - n) + 1 + n) for n in range(20)},
+        "pure_bin": bits.bit_length(F.greatest("most", F.lit(0))),
     }
-    coded = h.select("class", "cnt", F.explode(F.array(*(F.struct(F.lit(k).alias("code"), c.cast("long").alias("each")) for k, c in by_exponent.items()))).alias("x")).select("class", "cnt", "x.*")
-    cut_off = h.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(19)))).select(
-        "class", "cnt", F.concat(F.lit("untrunc"), F.lpad(cut.cast("string"), 2, "0")).alias("code"), F.when(F.abs(v) <= cut, plain).otherwise(2 * bits.bit_length(F.abs(v) - cut) + 1 + cut).cast("long").alias("each")
-    )
-    total = h.groupBy("class").agg(F.sum("cnt").alias("cnt"), bits.bit_length(F.greatest(F.max("value"), F.lit(0))).cast("long").alias("each")).select("class", "cnt", F.lit("pure_bin").alias("code"), "each")
-    return coded.unionByName(cut_off).unionByName(total).groupBy("class", "code").agg(F.sum(F.col("cnt") * F.col("each")).alias("cost"))
+    coded = h.select("class", "cnt", F.explode(F.array(*(F.struct(F.lit(k).alias("code"), c.cast("long").alias("each")) for k, c in codes.items()))).alias("x")).select("class", "cnt", "x.*")
+    return coded.groupBy("class", "code").agg(F.sum(F.col("cnt") * F.col("each")).alias("cost"))
 
 
 QT_SQL = ", ".join(f"({p}, {QUANT[r]}, {(FREQUENCY_MAX[r] + QUANT[r] - 1) // QUANT[r]})" for p, r in enumerate(ALIGNED_TO_RASTER))

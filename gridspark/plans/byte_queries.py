@@ -25,8 +25,8 @@ def md5_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {DOC_BYTES}
 SELECT doc_id, CAST((1 + sum(CAST('0x' || h AS INT))) % 65521 + 65536 * ((any_value(n) + sum((n - i) * CAST('0x' || h AS INT))) % 65521) AS BIGINT) AS adler FROM x GROUP BY doc_id""")
 def adler32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adler-32 of whole texts."""
-    return table(spark, sf_dir, "documents").select("doc_id", Z.adler32("text").alias("adler"))
+    """Adler-32 of whole texts, in closed form over chunks."""
+    return Z.adler32(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query(f"""WITH {DOC_BYTES}, c AS (SELECT lang, h, count(*) AS n FROM x GROUP BY lang, h)
@@ -91,11 +91,11 @@ def raw_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.raw_blocks(blocks(spark, sf_dir))
 
 
-@query("""WITH e AS (SELECT user_id, count(*) AS n, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS ones FROM events GROUP BY user_id)
-SELECT user_id, n AS n_bits, CAST(ones AS BIGINT) AS ones, TRUE AS equal FROM e""")
+@query("""WITH b AS (SELECT user_id, event_type = 'click' AS bit, lag(event_type = 'click') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+SELECT user_id, count(*) AS n_bits, count(*) FILTER (bit) AS ones, count(*) FILTER (before IS NULL OR before <> bit) AS runs, TRUE AS equal FROM b GROUP BY user_id""")
 def bool_coder_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's bits, arithmetic-coded under an adaptive probability and decoded again."""
-    return Z.coded_bits(events(spark, sf_dir), "user_id", ["ts", "event_id"], "bit").select("user_id", "n_bits", "ones", "equal")
+    """Each user's bits as runs of equal ones, and opened again."""
+    return Z.run_coded(events(spark, sf_dir), "user_id", ["ts", "event_id"], "bit")
 
 
 @query("""SELECT doc_id, 'CF8401' || hex('Z') || lpad(hex(doc_id % 8 + 1), 2, '0') || '000000' || substr(upper(md5(source)), 1, 24) AS head, octet_length(encode(text)) AS n_bytes, CAST(doc_id % 8 + 1 AS BIGINT) AS segments, 'baseline' AS mode FROM documents""")
@@ -106,10 +106,10 @@ def archive_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.hex(F.substring("raw", 1, 20)).alias("head"), *Z.read_prefix(F.col("raw")))
 
 
-@query("SELECT doc_id, octet_length(encode(text)) AS n_bytes, TRUE AS equal FROM documents")
+@query("SELECT doc_id, octet_length(encode(text)) AS n_bytes, md5(text) AS md5, TRUE AS equal FROM documents")
 def stored_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts compressed or stored, and validated by reading them back."""
-    return Z.stored(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "n_bytes", "equal")
+    """Texts written compressed to the shared folder, and validated by reading them back."""
+    return Z.stored(table(spark, sf_dir, "documents"), "doc_id", "text", jobs.shared_folder(spark)).withColumnRenamed("id", "doc_id")
 
 
 @query("SELECT doc_id, md5(text) AS md5, octet_length(encode(text)) AS n_bytes FROM documents")

@@ -90,11 +90,13 @@ def mux_overhead(spark: SparkSession, sf_dir: str) -> DataFrame:
 def demux_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets put together again by stream, and whether that gives the text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("raw"))
-    cut = Y.packets(docs.withColumn("size", F.length("raw").cast("long")), F.col("size"))
-    pieces = cut.select("doc_id", "round", F.substring(F.col("raw"), F.col("start").cast("int") + 1, F.col("len").cast("int")).alias("payload"), F.md5("raw").alias("whole"))
+    # Cut within the row, so only the pieces go on, and joined as characters, one a byte, at once.
+    piece = lambda p: F.struct(p["round"].alias("round"), F.substring(F.col("raw"), p["start"].cast("int") + 1, p["len"].cast("int")).alias("payload"))
+    cut = docs.select("doc_id", F.md5("raw").alias("whole"), F.transform(Y.packet_list(F.length("raw").cast("long")), piece).alias("p"))
+    pieces = cut.select("doc_id", "whole", F.explode("p").alias("p")).select("doc_id", "whole", "p.*")
     joined = pieces.groupBy("doc_id").agg(F.count("*").alias("n_packets"), F.array_sort(F.collect_list(F.struct("round", "payload"))).alias("p"), F.first("whole").alias("whole"))
-    text = F.aggregate(F.transform("p", lambda x: x["payload"]), F.unhex(F.lit("")), lambda a, b: F.concat(a, b))
-    return joined.select("doc_id", "n_packets", F.md5(text).alias("md5"), (F.md5(text) == F.col("whole")).alias("equal"))
+    text = F.encode(F.array_join(F.transform("p", lambda x: F.decode(x["payload"], "ISO-8859-1")), ""), "ISO-8859-1")
+    return joined.select("doc_id", "n_packets", F.md5(text).alias("md5"), "whole").select("doc_id", "n_packets", "md5", (F.col("md5") == F.col("whole")).alias("equal"))
 
 
 @query("""WITH c AS (SELECT c_nationkey, c_mktsegment, count(*) AS target FROM customer GROUP BY ALL),
@@ -107,14 +109,19 @@ def component_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.turns(batches, ["c_nationkey"], "c_mktsegment", "batch", "target").select("c_nationkey", "step", "c_mktsegment", "batch")
 
 
-@query("""WITH f AS (SELECT doc_id % 3 AS file_no, source, octet_length(encode(text)) AS size FROM documents)
-SELECT source, CAST(count(DISTINCT file_no) AS BIGINT) AS files, count(*) AS members, CAST(sum(size) AS BIGINT) AS total, CAST(sum(CASE WHEN file_no = 0 THEN size ELSE 0 END) AS BIGINT) AS first_size FROM f GROUP BY source""")
+@query("""WITH f AS (SELECT doc_id, doc_id % 3 AS file_no, source, lang, octet_length(encode(text)) AS size, 1 + doc_id % 4 AS version FROM documents),
+o AS (SELECT *, sum(size) OVER w - size AS begin_at, row_number() OVER w AS member FROM f WINDOW w AS (PARTITION BY source ORDER BY file_no, doc_id ROWS UNBOUNDED PRECEDING))
+SELECT source, CAST(count(DISTINCT file_no) AS BIGINT) AS files, count(*) AS members, CAST(sum(size) AS BIGINT) AS total, CAST(sum(CASE WHEN file_no = 0 THEN size ELSE 0 END) AS BIGINT) AS first_size,
+  CAST(sum(begin_at * member) AS BIGINT) AS offsets, min(version) >= 2 AND max(version) = min(version) AS joinable, array_to_string(list_sort(list(DISTINCT lang)), ',') AS metadata FROM o GROUP BY source""")
 def concat_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three files' members by source, laid end to end, with their sizes summed."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.octet_length("text").cast("long").alias("size"))
-    files = [docs.where(F.col("doc_id") % 3 == k).withColumn("file_no", F.lit(k)) for k in range(3)]
-    whole = files[0].unionByName(files[1]).unionByName(files[2])
-    return whole.groupBy("source").agg(F.countDistinct("file_no").alias("files"), F.count("*").alias("members"), F.sum("size").alias("total"), F.sum(F.when(F.col("file_no") == 0, F.col("size")).otherwise(0)).alias("first_size"))
+    """Three files' members by source, laid end to end: where each one starts now, sizes and metadata merged, and whether versions allow it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", (F.col("doc_id") % 3).alias("file_no"), F.octet_length("text").cast("long").alias("size"), (1 + F.col("doc_id") % 4).alias("version"))
+    placed = Y.laid_end_to_end(docs, ["source"], ["file_no", "doc_id"], "size")
+    first = F.when(F.col("file_no") == 0, F.col("size")).otherwise(0)
+    joinable = (F.min("version") >= 2) & (F.max("version") == F.min("version"))
+    metadata = F.array_join(F.array_sort(F.collect_set("lang")), ",")
+    files = F.size(F.collect_set("file_no")).cast("long")
+    return placed.groupBy("source").agg(files.alias("files"), F.count("*").alias("members"), F.sum("size").alias("total"), F.sum(first).alias("first_size"), F.sum(F.col("begin_at") * F.col("member")).alias("offsets"), joinable.alias("joinable"), metadata.alias("metadata"))
 
 
 @query("""WITH s AS (SELECT o_orderkey, o_custkey, length(o_orderpriority) + CAST(floor(o_totalprice) AS BIGINT) % 997 AS size FROM orders),
@@ -134,28 +141,26 @@ def trunc_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
   count(*) FILTER (EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')) AS returned,
   count(*) FILTER (NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)) AS bare FROM orders GROUP BY o_orderstatus""")
 def marker_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders kept by an allow-list, those with a returned line (semi join) and those without any (anti join)."""
-    orders, items = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), table(spark, sf_dir, "lineitem")
-    key = F.col("o_orderkey") == F.col("l_orderkey")
+    """Orders kept by an allow-list, those with a returned line (semi join) and those without any (anti join), from one look at either table."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max(F.col("l_returnflag") == "R").alias("returned"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").join(lines.withColumn("has", F.lit(True)), "o_orderkey", "left")
     allowed = F.col("o_orderstatus").isin("F", "O")
-    tag = lambda df, name: df.select("o_orderstatus", F.lit(name).alias("k"))
-    rows = tag(orders.where(allowed), "kept").union(tag(orders.where(~allowed), "dropped"))
-    rows = rows.union(tag(orders.join(items.where("l_returnflag = 'R'"), key, "left_semi"), "returned")).union(tag(orders.join(items, key, "left_anti"), "bare"))
-    return rows.groupBy("o_orderstatus").agg(*(F.sum((F.col("k") == k).cast("long")).alias(k) for k in ("kept", "dropped", "returned", "bare")))
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    return orders.groupBy("o_orderstatus").agg(count(allowed).alias("kept"), count(~allowed).alias("dropped"), count(F.col("returned")).alias("returned"), count(F.col("has").isNull()).alias("bare"))
 
 
-@query(f"""WITH {IMAGES},
-top AS (SELECT image_id, component, CAST(sh AS BIGINT) AS sh, CAST(sv AS BIGINT) AS sv, least(mcuh, 4) AS mcuh, least(mcuv, 3) AS mcuv, least(mcuh, 4) * sh AS bch, least(nch, least(mcuh, 4) * sh) AS nch, least(ncv, least(mcuv, 3) * sv) AS ncv FROM g),
-units AS (SELECT *, unnest(range(mcuh * mcuv)) AS unit FROM top),
+SCAN_SQL = f"""WITH {IMAGES},
+units AS (SELECT *, unnest(range(mcuh * mcuv)) AS unit FROM g),
 v AS (SELECT *, unnest(range(sh * sv)) AS sub FROM units),
 d AS (SELECT *, (unit // mcuh * sv + sub // sh) * bch + (unit % mcuh) * sh + sub % sh AS dpos FROM v)
-SELECT image_id, component, count(*) AS n, max(dpos) AS last, CAST(sum(dpos * (unit * sh * sv + sub + 1)) AS BIGINT) AS checksum, count(*) FILTER (dpos % bch >= nch OR dpos // bch >= ncv) AS padding FROM d GROUP BY image_id, component""")
+SELECT image_id, component, count(*) AS n, max(dpos) AS last, CAST(sum(dpos * (unit * sh * sv + sub + 1)) AS BIGINT) AS checksum, count(*) FILTER (dpos % bch >= nch OR dpos // bch >= ncv) AS padding FROM d GROUP BY image_id, component"""
+
+
+@query(SCAN_SQL)
 def scan_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of each image's top left units in interleaved scan order: places, the last one, and padding blocks."""
-    g = Y.geometry(images(spark, sf_dir)).withColumns({"mcuh": F.least("mcuh", F.lit(4).cast("long")), "mcuv": F.least("mcuv", F.lit(3).cast("long"))})
-    g = g.withColumns({"bch": F.col("mcuh") * F.col("sh"), "nch": F.least("nch", F.col("mcuh") * F.col("sh")), "ncv": F.least("ncv", F.col("mcuv") * F.col("sv"))})
-    rows = Y.interleaved(g)
+    """Blocks of each whole image in interleaved scan order: places, the last one, and padding blocks."""
     order = F.col("unit") * F.col("sh") * F.col("sv") + F.col("sub") + 1
+    rows = Y.interleaved(Y.geometry(images(spark, sf_dir)))
     return rows.groupBy("image_id", "component").agg(F.count("*").alias("n"), F.max("dpos").alias("last"), F.sum(F.col("dpos") * order).alias("checksum"), F.sum(F.col("padding").cast("long")).alias("padding"))
 
 
@@ -170,16 +175,10 @@ def sampling_multiples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", d.alias("divisor"), bits.int_div(a * b, d).alias("multiple"), remapped.cast("long").alias("remapped"), Y.truncated_rows(a * 8, b % 101, 1 + a % 2).alias("rows"))
 
 
-@query(f"""WITH {IMAGES},
-units AS (SELECT *, unnest(range(mcuh * mcuv)) AS unit FROM g),
-v AS (SELECT *, unnest(range(sh * sv)) AS sub FROM units),
-d AS (SELECT *, (unit // mcuh * sv + sub // sh) * bch + (unit % mcuh) * sh + sub % sh AS dpos FROM v)
-SELECT image_id, component, count(*) AS n, max(dpos) AS last, CAST(sum(dpos * (unit * sh * sv + sub + 1)) AS BIGINT) AS checksum, count(*) FILTER (dpos % bch >= nch OR dpos // bch >= ncv) AS padding FROM d GROUP BY image_id, component""")
+@query(SCAN_SQL)
 def scan_positions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of each whole image in interleaved scan order: places, the last one, and padding blocks."""
-    order = F.col("unit") * F.col("sh") * F.col("sv") + F.col("sub") + 1
-    rows = Y.interleaved(Y.geometry(images(spark, sf_dir)))
-    return rows.groupBy("image_id", "component").agg(F.count("*").alias("n"), F.max("dpos").alias("last"), F.sum(F.col("dpos") * order).alias("checksum"), F.sum(F.col("padding").cast("long")).alias("padding"))
+    """Another name of scan_positions."""
+    return scan_positions(spark, sf_dir)
 
 
 @query(f"""WITH {IMAGES},

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,12 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import ledger as L
+from ..sources.shared import shared_base
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's checkpoint folder, or in a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridspark-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """A new folder in the one that driver and executors share."""
+    return f"{shared_base(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:

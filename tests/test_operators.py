@@ -9,10 +9,15 @@ from gridspark.operators import blocks, layout, ledger, ranking, scans, segments
 
 def test_ranks_with_ties_and_nulls(spark):
     rng = random.Random(2)
-    rows = [(i, rng.choice([None, 1.0, 1.0, 1.0, 2.5, rng.random()])) for i in range(3000)]
-    out = ranking.ranked(spark.createDataFrame(rows, "id long, v double"), "v", "id", ranges=32).collect()
-    want = {i: k for k, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0])), 1)}
+    rows = [(i, rng.choice([None, None, 1.0, 1.0, float("nan"), 2.5, rng.random()])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, v double")
+    out = ranking.ranked(df, "v", "id").collect()
+    key = lambda r: (r[1] is not None, r[1] != r[1], 0 if r[1] is None or r[1] != r[1] else r[1], r[0])
+    want = {i: k for k, (i, _) in enumerate(sorted(rows, key=key), 1)}
     assert {r.id: r["rank"] for r in out} == want and all(r.total == 3000 for r in out)
+    # Nulls, NaNs and ties are cut by the second column: no range holds much more than its share.
+    sizes = [r["count"] for r in ranking.ordered(df, ["v", "id"]).groupBy("range").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 3000 / 8
 
 
 def test_ranks_of_nothing(spark):
@@ -25,6 +30,10 @@ def test_ranges_broadcast_and_bucketed_agree(spark):
     some = {(r.v, r.k) for r in scans.in_ranges(rows, ranges, "v").select("v", "k").collect()}
     other = {(r.v, r.k) for r in scans.in_ranges(rows, ranges, "v", limit=1).select("v", "k").collect()}
     assert some == other == {(v, min(v // 7, 19)) for v in range(200)}
+    uneven = spark.createDataFrame([("a", 3, 5), ("b", 5, 150), ("c", 160, 161)], "k string, start long, end long")
+    want = {(v, "a") for v in (3, 4)} | {(v, "b") for v in range(5, 150)} | {(v, "c") for v in range(160, 200)}
+    for limit in (64, 1):
+        assert {(r.v, r.k) for r in scans.in_ranges(rows.union(spark.sql("SELECT CAST(NULL AS BIGINT)")), uneven, "v", limit=limit).select("v", "k").collect()} == want
 
 
 def test_as_of_strict_and_not(spark):
@@ -94,6 +103,13 @@ def test_segments_of_broken_headers(spark):
     assert kinds == {0: [0xE0, 0xDB, 0xDA], 1: [], 2: [], 3: [], 4: [0xE0], 5: []}
 
 
+def test_a_header_of_a_hundred_segments(spark):
+    many = bytes.fromhex("FFD8") + b"".join(bytes.fromhex("FFE0") + (2 + k % 5).to_bytes(2, "big") + b"\xff" * (k % 5) for k in range(100)) + bytes.fromhex("FFC00003AAFFDA0008010100003F00FFE00002")
+    row = spark.createDataFrame([(bytearray(many),)], "raw binary").select(segments.segments(F.col("raw")).alias("s")).select("s", F.hex(segments.rebuilt(F.col("s"))).alias("r")).first()
+    assert [s.kind for s in row.s] == [0xE0] * 100 + [0xC0, 0xDA] and [len(s.payload) for s in row.s[:100]] == [k % 5 for k in range(100)]
+    assert row.r == "FFD8FFC00003AAFFDA0008010100003F00"
+
+
 def test_handoffs_round_trip(spark):
     df = spark.createDataFrame([(1, 65535, 2**32 - 1, 255, 7, -32768, 32767)], "k int, start long, size long, o int, b int, x int, y int")
     one = segments.handoff(F.col("start"), F.col("size"), F.col("o"), F.col("b"), [F.col("x"), F.col("y")])
@@ -103,10 +119,22 @@ def test_handoffs_round_trip(spark):
 
 def test_stored_texts(spark):
     from gridspark.operators import bytestreams
+    from gridspark.streaming.jobs import shared_folder
 
     df = spark.createDataFrame([(1, "a" * 1000), (2, "xy"), (3, ""), (4, None)], "id long, t string")
-    rows = {r.id: r for r in bytestreams.stored(df, "id", "t").collect()}
-    assert [rows[k].outcome for k in (1, 2, 3, 4)] == ["coded", "stored", "stored", "stored"] and all(r.equal for r in rows.values())
+    rows = {r.id: r for r in bytestreams.stored(df, "id", "t", shared_folder(spark)).collect()}
+    assert [rows[k].n_bytes for k in (1, 2, 3, 4)] == [1000, 2, 0, 0] and all(r.equal for r in rows.values())
+
+
+def test_runs_give_bits_back(spark):
+    from gridspark.operators import bytestreams
+
+    rng = random.Random(3)
+    rows = [(k, i, int(rng.random() < share)) for k, share in enumerate((0.0, 1.0, 0.5, 0.02)) for i in range(400)]
+    got = {r.k: r for r in bytestreams.run_coded(spark.createDataFrame(rows, "k int, i int, b int"), "k", ["i"], "b").collect()}
+    for k in range(4):
+        bits_ = [b for x, _, b in rows if x == k]
+        assert (got[k].n_bits, got[k].ones, got[k].runs, got[k].equal) == (400, sum(bits_), 1 + sum(a != b for a, b in zip(bits_, bits_[1:])), True)
 
 
 def test_gcd(spark):
