@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered
+from .common import gathered, without_columns
 
 #: Encoded words that one generation of a worker's cache holds; two generations are kept.
 CACHE = 1 << 17
@@ -135,7 +135,7 @@ def encoded(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids: boo
     """df with n_tokens (long), ids_sha256, decoded_sha256, and on request ids (array<int>) and decoded (string).
 
     Whole texts are encoded; a null text counts as empty: no tokens, and the
-    digests of the empty string. Columns of these names are replaced, all other
+    digests of the empty string. Columns of these names, in capitals or not, are replaced, all other
     columns and repeated rows pass through, and an empty table stays empty. The
     driver reads the vocabulary file, whose size doesn't grow with the data,
     and broadcasts its content. Every worker keeps a cache of at most
@@ -144,7 +144,7 @@ def encoded(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids: boo
     with open(tokenizer_path, encoding="utf-8") as f:
         content = df.sparkSession.sparkContext.broadcast(f.read())
     made = {"n_tokens": ("bigint", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())}
-    base = df.select(*(c for c in df.columns if c not in made))
+    base = without_columns(df, made)
     made = {k: v for k, v in made.items() if k not in ("ids", "decoded") or {"ids": ids, "decoded": decoded}[k]}
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), *(f"{k} {v[0]}" for k, v in made.items())])
     names = base.columns

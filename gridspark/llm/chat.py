@@ -78,12 +78,13 @@ def end_state(roles: Column, t: Template = TEMPLATE) -> Column:
 
 
 def formatted(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", t: Template = TEMPLATE) -> DataFrame:
-    """One row per conversation: conv_id, valid, segments (array of {text, loss}), formatted.
+    """One row per conversation: conv_id, end_state, valid, segments (array of {text, loss}), formatted.
 
     The conversation's rows are ordered by turn, then role, then text, so ties
     have one order; repeated rows stay. A null text or role is empty, a null
-    turn comes first, and null conversation ids form one conversation. ``valid``
-    says whether the machine accepts the roles; invalid conversations are
+    turn comes first, and null conversation ids form one conversation. ``end_state``
+    is the machine's state after all roles ('invalid' once a step is missing) and
+    ``valid`` says whether it accepts them; invalid conversations are
     formatted all the same. ``segments`` alternate between marks without loss and
     texts; ``formatted`` is their concatenation. Other columns are ignored and an
     empty table gives no rows. All rows of one conversation meet in one row, as
@@ -102,7 +103,8 @@ def formatted(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
             F.struct(F.lit(t.close).alias("text"), F.lit(False).alias("loss")),
         )
 
-    out = whole.select("conv_id", end_state(F.transform("turns", lambda x: x["role"]), t).isin(*t.final).alias("valid"), F.flatten(F.transform("turns", segments)).alias("segments"))
+    out = whole.select("conv_id", end_state(F.transform("turns", lambda x: x["role"]), t).alias("end_state"), F.flatten(F.transform("turns", segments)).alias("segments"))
+    out = out.select("conv_id", "end_state", F.col("end_state").isin(*t.final).alias("valid"), "segments")
     return out.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
 
 
@@ -125,6 +127,6 @@ def _literal(s: str) -> str:
 
 
 def read_back(df: DataFrame, t: Template = TEMPLATE) -> DataFrame:
-    """conv_id, turns, loss_text: from formatted (the turns) and segments (the text under the loss mask)."""
+    """conv_id, end_state, valid, formatted, turns, loss_text: from formatted (the turns) and segments (the text under the loss mask)."""
     masked = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["text"], t)), "")
-    return df.select("conv_id", "valid", "formatted", parsed(F.col("formatted"), t).alias("turns"), masked.alias("loss_text"))
+    return df.select("conv_id", "end_state", "valid", "formatted", parsed(F.col("formatted"), t).alias("turns"), masked.alias("loss_text"))

@@ -1,41 +1,24 @@
-"""Helpers that the operators share: checkpoints, row shipping, hashing, bucket counts."""
+"""Helpers that the operators share: row shipping, hashing, bucket counts."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
+from ..sources.shared import checkpointed
+
 #: Stands for a null id inside the kernels; results carry the null again.
 NULL_ID = -(2**63)
 #: Bytes of text that one bucket or partition of the kernels is sized for.
 BUCKET_BYTES = 16 << 20
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder, cutting its lineage.
-
-    The folder is the one that ``spark.checkpoint.dir`` names. Where that is
-    unset, a temporary one is taken if driver and executors are one process;
-    on a cluster that is an error.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="gridspark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def bucket_count(df: DataFrame, text_col: str, bucket_bytes: int = BUCKET_BYTES) -> int:
     """Buckets that hold about bucket_bytes of text each; never fewer than the shuffle partitions."""
     total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
@@ -59,6 +42,25 @@ def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
     return (mixed(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
 
 
+def integer_id(df: DataFrame, id_col: str) -> Column:
+    """The id column as long; an error if it holds no integers."""
+    kind = df.schema[id_col].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{id_col} must be an integer column, not {kind.simpleString()}")
+    return F.col(id_col).cast("long")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ..., which clash with nothing that an operator adds."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
+def without_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """df less its columns of these names, in capitals or not, as Spark resolves them."""
+    gone = {n.lower() for n in names}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in gone))
+
+
 def id_array(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -111,15 +113,15 @@ def unplanes(raw: memoryview, dtype: type, n: int) -> np.ndarray:
 
 def packed(*arrays: np.ndarray) -> bytes:
     """The number of arrays and their lengths, then each array in planes."""
-    head = np.array([len(arrays), *(len(a) for a in arrays)], np.int64).tobytes()
+    head = np.array([len(arrays), *(len(a) for a in arrays)], np.uint32).tobytes()
     return head + b"".join(planes(a) for a in arrays)
 
 
 def unpacked(raw: bytes, *dtypes: type) -> list[np.ndarray]:
     """The first arrays of a payload, as many as dtypes are given."""
     view, out = memoryview(raw), []
-    at = 8 + 8 * int(np.frombuffer(view[:8], np.int64)[0])
-    for n, kind in zip(np.frombuffer(view[8:at], np.int64).tolist(), dtypes, strict=False):
+    at = 4 + 4 * int(np.frombuffer(view[:4], np.uint32)[0])
+    for n, kind in zip(np.frombuffer(view[4:at], np.uint32).tolist(), dtypes, strict=False):
         size = n * np.dtype(kind).itemsize
         out.append(unplanes(view[at : at + size], kind, n))
         at += size
@@ -159,7 +161,7 @@ def batch_bytes(table: pa.Table) -> bytes:
 
 
 def shipped(df: DataFrame, id_col: str, parts: int) -> DataFrame:
-    """All columns of df, as compressed Arrow payloads, one per batch and partition of part_of(id)."""
+    """All columns of df, as compressed Arrow payloads in partition part_of(id): one per batch and partition, at most as many as rows."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches):
@@ -170,7 +172,7 @@ def shipped(df: DataFrame, id_col: str, parts: int) -> DataFrame:
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([part[a]], pa.int32()), pa.array([batch_bytes(table.slice(a, b - a))], pa.binary())], ["part", "payload"])
 
-    return df.mapInArrow(kernel, PACKED)
+    return df.mapInArrow(kernel, PACKED).repartitionById(parts, F.col("part"))
 
 
 def unshipped(payloads: pa.ChunkedArray | pa.Array) -> Iterator[pa.Table]:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered
+from .common import gathered, integer_id, numbered, without_columns
 
 #: Labelled documents that a model is fitted on, at most; they are drawn by a hash of their id.
 SAMPLE_DOCS = 4000
@@ -225,11 +225,13 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """Fit on at most sample_docs labelled documents outside the held-out fifth.
 
     The sample is the labels with the smallest hash of (id, label); only their
-    lines' bins reach the driver. Labels other than 0 and 1, null labels and
-    ids without a document are left out.
+    lines' bins and lengths reach the driver, about 20 bytes a line. Labels other
+    than 0 and 1, null labels and ids without a document are left out. Ids must
+    be integers; other columns, whatever their names, are ignored.
     """
-    some = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_y in (0, 1)").where(~held_out("_id"))
-    some = some.distinct().orderBy(F.xxhash64("_id", "_y"), "_id", "_y").limit(sample_docs)
+    some = labels.select(integer_id(labels, id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").where(~held_out("id"))
+    some = some.distinct().orderBy(F.xxhash64("id", "y"), "id", "y").limit(sample_docs)
+    texts = docs.select(integer_id(docs, id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,19 +241,19 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
                 ["id", "y", "bins", "lengths"],
             )
 
-    rows = docs.join(F.broadcast(some), F.col(id_col) == F.col("_id")).select("_id", "_y", F.col(text_col)).mapInArrow(kernel, "id long, y int, bins binary, lengths array<double>").collect()
+    rows = texts.join(F.broadcast(some), "id").select("id", "y", "text").mapInArrow(kernel, "id long, y int, bins binary, lengths array<double>").collect()
     rows.sort(key=lambda r: (r["id"], r["y"], r["bins"]))
     return fit([(np.frombuffer(r["bins"], np.uint8).reshape(-1, WIDTH), np.array(r["lengths"]), r["y"]) for r in rows])
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """docs with score (double, 0 to 1, higher is better) and predicted (int); columns of these names are replaced.
+    """docs with score (double, 0 to 1, higher is better) and predicted (int); columns of these names, in capitals or not, are replaced.
 
     A null or empty text is scored as one empty line. Whole texts of any number
     of lines are read; rows are scored alone, so repeated rows get equal scores.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    base = docs.drop("score", "predicted")
+    base = without_columns(docs, ["score", "predicted"])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "score double"])
     names = base.columns
     at_text = names.index(text_col)
@@ -262,3 +264,9 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
             yield from pa.table([*table.columns, new], names=[*names, "score"]).to_batches()
 
     return base.mapInArrow(kernel, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def kept(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that the model predicts to be good, with docs' own columns and their values, whatever their names."""
+    found = scored(numbered(docs), model, f"c{docs.columns.index(text_col)}", threshold)
+    return found.where("predicted = 1").select(*numbered(docs).columns).toDF(*docs.columns)

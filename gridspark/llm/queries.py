@@ -77,6 +77,8 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "end_state",
+        "valid",
     )
 
 
@@ -107,19 +109,25 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-t AS (SELECT doc_id, w[i] AS w0, w[i - 1] AS w1, CASE WHEN i > 2 THEN w[i - 2] END AS w2, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
-u AS (SELECT doc_id, w0, CASE WHEN i > 1 THEN w1 END AS w1, w2 FROM t),
+t AS (SELECT doc_id, len(w) AS own, w[i] AS w0, w[i - 1] AS w1, CASE WHEN i > 2 THEN w[i - 2] END AS w2, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+u AS (
+  SELECT *, count(*) OVER (PARTITION BY doc_id, w0) AS o1, count(*) OVER (PARTITION BY doc_id, w1, w0) AS o2, count(*) OVER (PARTITION BY doc_id, w2, w1, w0) AS o3
+  FROM (SELECT doc_id, own, i, w0, CASE WHEN i > 1 THEN w1 END AS w1, w2 FROM t)),
 c1 AS (SELECT w0 AS a, count(*) AS n FROM u GROUP BY 1),
 c2 AS (SELECT w1 AS a, w0 AS b, count(*) AS n FROM u WHERE w1 IS NOT NULL GROUP BY 1, 2),
 c3 AS (SELECT w2 AS a, w1 AS b, w0 AS c, count(*) AS n FROM u WHERE w2 IS NOT NULL GROUP BY 1, 2, 3),
-k AS (SELECT CAST(round(1e6 * ln(count(*))) AS BIGINT) AS total, CAST(round(1e6 * ln(0.4)) AS BIGINT) AS off FROM u),
-s AS (
-  SELECT u.doc_id, CASE WHEN c3.n >= 2 THEN 3 WHEN c2.n >= 2 THEN 2 ELSE 1 END AS level,
-    CASE WHEN c3.n >= 2 THEN CAST(round(1e6 * ln(c3.n)) AS BIGINT) - CAST(round(1e6 * ln(p2.n)) AS BIGINT)
-      WHEN c2.n >= 2 THEN CAST(round(1e6 * ln(c2.n)) AS BIGINT) - CAST(round(1e6 * ln(p1.n)) AS BIGINT) + CASE WHEN u.w2 IS NULL THEN 0 ELSE off END
-      ELSE CAST(round(1e6 * ln(c1.n)) AS BIGINT) - total + CASE WHEN u.w1 IS NULL THEN 0 WHEN u.w2 IS NULL THEN off ELSE 2 * off END END AS s
+k AS (SELECT count(*) AS total, CAST(round(1e6 * ln(0.4)) AS BIGINT) AS off FROM u),
+n AS (
+  SELECT u.doc_id, u.own, i, w1, w2, c1.n - o1 AS n1, c2.n - o2 AS n2, c3.n - o3 AS n3, p1.n - lag(o1) OVER x AS h1, p2.n - lag(o2) OVER x AS h2
   FROM u JOIN c1 ON c1.a = u.w0 LEFT JOIN c2 ON c2.a = u.w1 AND c2.b = u.w0 LEFT JOIN c3 ON c3.a = u.w2 AND c3.b = u.w1 AND c3.c = u.w0
-    LEFT JOIN c1 p1 ON p1.a = u.w1 LEFT JOIN c2 p2 ON p2.a = u.w2 AND p2.b = u.w1 CROSS JOIN k)
+    LEFT JOIN c1 p1 ON p1.a = u.w1 LEFT JOIN c2 p2 ON p2.a = u.w2 AND p2.b = u.w1
+  WINDOW x AS (PARTITION BY u.doc_id ORDER BY i)),
+s AS (
+  SELECT doc_id, CASE WHEN n3 >= 1 THEN 3 WHEN n2 >= 1 THEN 2 ELSE 1 END AS level,
+    CASE WHEN n3 >= 1 THEN CAST(round(1e6 * ln(n3)) AS BIGINT) - CAST(round(1e6 * ln(h2)) AS BIGINT)
+      WHEN n2 >= 1 THEN CAST(round(1e6 * ln(n2)) AS BIGINT) - CAST(round(1e6 * ln(h1)) AS BIGINT) + CASE WHEN w2 IS NULL THEN 0 ELSE off END
+      ELSE CAST(round(1e6 * ln(greatest(n1, 1))) AS BIGINT) - CAST(round(1e6 * ln(greatest(total - own, 1))) AS BIGINT) + CASE WHEN w1 IS NULL THEN 0 WHEN w2 IS NULL THEN off ELSE 2 * off END END AS s
+  FROM n CROSS JOIN k)
 SELECT d.doc_id, CAST(len(any_value(w)) AS BIGINT) AS n_words, count(*) FILTER (level = 1) AS n_1, count(*) FILTER (level = 2) AS n_2, count(*) FILTER (level = 3) AS n_3, CAST(coalesce(sum(s), 0) AS BIGINT) AS score_micro
 FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
 """
@@ -134,7 +142,10 @@ e AS (
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length('<|turn|>' || erole || '<|text|>' || etext || '<|end|>')) AS BIGINT) AS formatted_chars
+  CAST(sum(length('<|turn|>' || erole || '<|text|>' || etext || '<|end|>')) AS BIGINT) AS formatted_chars,
+  list_reduce(list_prepend('start', list(role ORDER BY turn NULLS FIRST, role, text)), lambda s, r: CASE
+    WHEN s = 'start' AND r = 'system' THEN 'told' WHEN s IN ('start', 'told', 'answered') AND r = 'user' THEN 'asked'
+    WHEN s = 'asked' AND r = 'assistant' THEN 'answered' ELSE 'invalid' END) AS end_state, end_state = 'answered' AS valid
 FROM e GROUP BY conv_id
 """
 

@@ -312,6 +312,8 @@ SHORT = 64
 #: Rows that one side of a task takes of a common shingle, or of a group that is compared in full.
 SIDE = 4096
 FULL = 1024
+#: Ids of texts in candidate pairs that are broadcast; with more, texts are shuffled once to meet them.
+BROADCAST_IDS = 1 << 20
 #: Edges of a hub that one copy of its text serves.
 HUB = 64
 _SALTS = mixed(np.arange(1, WORDS + 1, dtype=np.uint64))
@@ -454,8 +456,7 @@ def _verified(edges: DataFrame, texts: DataFrame, width: int, similarity: float,
     turned = checkpointed(turned.select("hub", "leaf", F.pmod(F.xxhash64("leaf"), F.ceil(F.col("n") / HUB)).alias("salt")))
     hubs = turned.select("hub", "salt").distinct().select("hub", "salt", F.lit(None).cast("long").alias("leaf"), F.col("hub").alias("id"))
     leaves = turned.select("hub", "salt", "leaf", F.col("leaf").alias("id"))
-    some = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.min("t").alias("t"))
-    sent = hubs.unionByName(leaves).join(some, "id").select("hub", "salt", "leaf", "t")
+    sent = hubs.unionByName(leaves).join(texts, "id").select("hub", "salt", "leaf", "t")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, p = None, None
@@ -534,7 +535,7 @@ def _completed(clusters: DataFrame, parts: DataFrame, texts: DataFrame, width: i
             made = [shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "shingles"])
 
-    some = texts.join(open_.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("t").alias("t"))
+    some = texts.join(open_.select("id").distinct(), "id", "left_semi")
     dealt = open_.join(some.mapInArrow(kernel, "id long, shingles binary"), "id").withColumn("k", F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("r")).otherwise(F.col("m"))).cast("int"))
     upto, k, r, m = (lambda n: F.filter(F.sequence(F.lit(0), n), lambda x: x < n)), F.col("k"), F.col("r"), F.col("m")
     cell = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
@@ -545,7 +546,7 @@ def _completed(clusters: DataFrame, parts: DataFrame, texts: DataFrame, width: i
 
 
 def _groups(edges: DataFrame, texts: DataFrame, width: int, similarity: float, partitions: int, rounds: int = 2) -> DataFrame:
-    """(node, component) by links of this similarity alone, for candidate edges (a, b, d) that connect every such pair.
+    """(node, component) by links of this similarity alone, for candidate edges (a, b, d) that connect every such pair; texts (id, t) are those of their ends.
 
     Each round verifies every text's closest edge out of its part. What verified
     links then leave apart within a cluster of candidates is compared in full.
@@ -610,7 +611,10 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = checkpointed(sketches.where("id is not null").groupBy("sketch").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")))
     found = _long_links(reps.where(F.col("n") >= SHORT).select("rep", "sketch"), similarity, budget)
     edges = checkpointed(found.union(_short_links(reps, similarity)).where("a <> b").groupBy("a", "b").agg(F.min("d").alias("d")))
-    groups = _groups(edges, texts, width, similarity, bucket_count(texts, "t"))
+    ends = checkpointed(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    small = ends.count() <= BROADCAST_IDS
+    some = checkpointed(texts.join(F.broadcast(ends) if small else ends, "id", "left_semi").groupBy("id").agg(F.min("t").alias("t")))
+    groups = _groups(edges, some, width, similarity, bucket_count(some, "t"))
     whole = reps.join(groups, reps.rep == groups.node, "left").select("sketch", F.coalesce("component", "rep").alias("component"))
     out = sketches.join(whole, "sketch", "left")
     return out.select("id", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))

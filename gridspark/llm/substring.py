@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import BUCKET_BYTES, PACKED, Rolling, bucket_count, deltas, id_array, packed, part_of, runs, shipped, unpacked, unshipped, word_hashes
+from .common import BUCKET_BYTES, PACKED, Rolling, bucket_count, deltas, id_array, integer_id, numbered, packed, part_of, runs, shipped, unpacked, unshipped, without_columns, word_hashes
 
 #: Two independent odd multipliers: the first hash tells windows apart, the second deals them to buckets.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -177,8 +177,8 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Words are runs of characters other than ASCII white space; a window is
     ``width`` consecutive words of one text. A word is removed if a window that
     covers it has the same words as a window of a smaller id, or of the same id
-    at an earlier start. Added columns (replacing any of the same names):
-    n_words, n_removed, removed (array of {start, end}, maximal intervals of
+    at an earlier start. Ids must be integers. Added columns (replacing any of
+    the same names, in capitals or not): n_words, n_removed, removed (array of {start, end}, maximal intervals of
     word positions), kept_sha256 (SHA-256 of the kept words joined by one
     space). With keep_text, text_col becomes the text without the removed words:
     unchanged where nothing is removed, else the kept stretches as written.
@@ -193,23 +193,30 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are settled there and sent once, so a passage that a third of all documents
     share reaches its bucket once per flush. Payloads are counted in the bucket
     by sorting. A second shuffle brings the documents, compressed, to their marks.
-    A bucket holds the windows of about ``bucket_bytes`` of text.
+    A bucket holds the windows of about ``bucket_bytes`` of text and has a task of
+    its own. A payload holds what one flush sends to one bucket; there are at most
+    as many as windows.
     """
     made = {"n_words": "bigint", "n_removed": "bigint", "removed": "array<struct<start:int,end:int>>", "kept_sha256": "string"}
-    base = df.select(*(c for c in df.columns if c not in made))
-    buckets = bucket_count(base, text_col, bucket_bytes)
-    place = base.select(F.col(id_col).cast("long").alias("id"), F.crc32(F.col(text_col).cast("binary")).alias("tag"), F.col(text_col).alias("text"))
-    marks = place.mapInArrow(_windows(width, buckets, buckets), "bucket int, kind int, payload binary").groupBy("bucket").applyInArrow(_counted(buckets), PACKED)
-    docs = shipped(base.withColumn("_tag", F.crc32(F.col(text_col).cast("binary"))), id_col, buckets)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), *(f"{k} {v}" for k, v in made.items())])
-    names, arrow = base.columns, to_arrow_schema(base.schema)
+    base = without_columns(df, made)
+    at_id, at_text = (f"c{base.columns.index(c)}" for c in (id_col, text_col))
+    integer_id(base, id_col)
+    rows = numbered(base)
+    buckets = bucket_count(rows, at_text, bucket_bytes)
+    tag = F.crc32(F.col(at_text).cast("binary"))
+    place = rows.select(F.col(at_id).cast("long").alias("id"), tag.alias("tag"), F.col(at_text).alias("text"))
+    windows = place.mapInArrow(_windows(width, buckets, buckets), "bucket int, kind int, payload binary").repartitionById(buckets, F.col("bucket"))
+    marks = windows.groupBy("bucket").applyInArrow(_counted(buckets), PACKED).repartitionById(buckets, F.col("part"))
+    docs = shipped(rows.withColumn("tag", tag), at_id, buckets)
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), *(f"{k} {v}" for k, v in made.items())])
+    names, arrow = rows.columns, to_arrow_schema(rows.schema)
 
     def kernel(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         found = marks_by_document(right.column("payload").to_pylist())
-        tables = [_removed(table, found, names, id_col, text_col, width, keep_text) for table in unshipped(left.column("payload"))]
-        return pa.concat_tables(tables) if tables else _removed(None, {}, names, id_col, text_col, width, keep_text, base_schema=arrow)
+        tables = [_removed(table, found, names, at_id, at_text, width, keep_text) for table in unshipped(left.column("payload"))]
+        return pa.concat_tables(tables) if tables else _removed(None, {}, names, at_id, at_text, width, keep_text, base_schema=arrow)
 
-    return docs.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(kernel, schema)
+    return docs.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(kernel, schema).toDF(*base.columns, *made)
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -217,9 +224,9 @@ SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 def _removed(table: pa.Table | None, found: dict, names: list[str], id_col: str, text_col: str, width: int, keep_text: bool, base_schema: pa.Schema | None = None) -> pa.Table:
     if table is None:
-        table = base_schema.append(pa.field("_tag", pa.int64())).empty_table()
+        table = base_schema.append(pa.field("tag", pa.int64())).empty_table()
     n_words, n_removed, spans, digests, texts = [], [], [], [], []
-    for doc, tag, text in zip(id_array(table.column(id_col)).tolist(), table.column("_tag").to_pylist(), table.column(text_col).to_pylist(), strict=True):
+    for doc, tag, text in zip(id_array(table.column(id_col)).tolist(), table.column("tag").to_pylist(), table.column(text_col).to_pylist(), strict=True):
         raw = (text or "").encode()
         words = raw.split()
         starts = found.get((doc, tag if tag is not None else 0))
@@ -249,3 +256,10 @@ def _cut(raw: bytes, cut: list[int]) -> str:
         out.append(raw[at : begins[a]])
         at = begins[b]
     return b"".join([*out, raw[at:]]).decode()
+
+
+def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20) -> DataFrame:
+    """df's own columns, whatever their names, with text_col less the words of repeated windows; a text that loses all its words goes."""
+    at = lambda c: f"c{df.columns.index(c)}"
+    out = repeated_windows(numbered(df), at(id_col), at(text_col), width).where("n_removed = 0 or n_removed < n_words")
+    return out.select(*numbered(df).columns).toDF(*df.columns)

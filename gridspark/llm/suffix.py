@@ -15,12 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from xxhash import xxh3_64_intdigest
 
-from .common import BUCKET_BYTES, PACKED, Rolling, bucket_count, deltas, id_array, mixed, packed, part_of, runs, shipped, squeezed, unpacked, unshipped, unsqueezed
+from .common import BUCKET_BYTES, PACKED, Rolling, bucket_count, checkpointed, deltas, id_array, integer_id, mixed, numbered, packed, part_of, powers, runs, shipped, squeezed, unpacked, unshipped, unsqueezed, without_columns
 
 BASE = 0x9E3779B97F4A7C15
 #: Bytes whose anchors one flush of a map task looks for; a longer text is taken in overlapping blocks.
@@ -28,6 +28,10 @@ FLUSH_BYTES = 1 << 21
 #: Low bits of a sliding-minimum key hold the position in a flush, the others the gram's hash.
 PLACE_BITS = 24
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
+#: Segments around one gram that a task takes; of a gram with more, each two chunks of them are a task of their own.
+HOT = 1 << 16
+#: Such grams that are broadcast at most, 8 bytes each; with very many anchors HOT rises instead.
+MOST_HOT = 1 << 20
 
 
 def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
@@ -132,7 +136,11 @@ def _anchors(width: int, gram: int, buckets: int):
                 x = at[a:b]
                 out.append((int(bucket[x[0]]), 0, _place_blob(h[x], doc[x], ids, tags, start[x], count[x], offset[x])))
             at = settled[np.argsort(bucket[settled], kind="stable")]
-            out += [(int(bucket[at[a]]), 2, packed(h[at[a:b]])) for a, b in zip(*runs(bucket[at]), strict=True)]
+            times = np.diff(np.append(np.flatnonzero(np.concatenate([[True], ~same])), len(h))).astype(np.uint32) if len(h) else np.zeros(0, np.uint32)
+            times = dict(zip(h[order[np.concatenate([[True], ~same])]].tolist(), times.tolist(), strict=True)) if len(at) else {}
+            for a, b in zip(*runs(bucket[at]), strict=True):
+                some = h[at[a:b]]
+                out.append((int(bucket[at[a]]), 2, packed(some, np.array([times[x] for x in some.tolist()], np.uint32))))
             yield from _rows(iter(out)).to_batches()
 
         for batch in batches:
@@ -153,19 +161,26 @@ def _anchors(width: int, gram: int, buckets: int):
     return kernel
 
 
-def _repeated(parts: int):
-    """Gram hashes of a bucket -> segments whose gram occurs more than once, by partition of their texts."""
+def _repeated(parts: int, hot: int):
+    """Gram hashes of a bucket -> segments whose gram occurs more than once, by partition of their texts; part -1: grams of more than ``hot`` segments, with how many."""
 
     def kernel(key: tuple, table: pa.Table) -> pa.Table:
-        out, blobs, settled = [], [], []
+        out, blobs, settled, counts = [], [], [], []
         for kind, raw in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True):
             if kind == 1:
                 ids = unpacked(raw, np.uint64, np.int64)[1]
                 out.append((int(part_of(ids[:1], parts)[0]), raw))
             elif kind == 2:
-                settled.append(unpacked(raw, np.uint64)[0])
+                for x, y in zip(unpacked(raw, np.uint64, np.uint32), (settled, counts), strict=True):
+                    y.append(x)
             else:
                 blobs.append(_place_unblob(raw))
+        alone = [b[0] for b in blobs]
+        every = np.concatenate([np.zeros(0, np.uint64), *alone, *settled])
+        value, at = np.unique(every, return_inverse=True)
+        times = np.bincount(at, np.concatenate([np.zeros(0, np.uint32), *(np.ones(len(x), np.uint32) for x in alone), *counts]), len(value))
+        if (times > hot).any():
+            out.append((-1, packed(value[times > hot], times[times > hot].astype(np.int64))))
         if blobs:
             h, ids, tags, start, count, offset = (np.concatenate(x) for x in zip(*blobs, strict=True))
             del blobs
@@ -179,35 +194,53 @@ def _repeated(parts: int):
     return kernel
 
 
-def _segments(width: int, gram: int, buckets: int, id_col: str, text_col: str, collapse: bool):
+def gram_hashes(grams: np.ndarray) -> np.ndarray:
+    """The hash that anchor_runs gives to each row of bytes."""
+    up = powers(BASE, grams.shape[1])
+    return mixed(np.concatenate([np.zeros(0, np.uint64), *((_BYTE[grams[at : at + 4096]] * up).sum(axis=1, dtype=np.uint64) for at in range(0, len(grams), 4096))]))
+
+
+def _segments(width: int, gram: int, buckets: int, text_col: str, id_col: str, reach: int | None, hot: dict[int, tuple[int, int]]):
     """Texts and their segments of repeated grams -> segment bytes by bucket of their gram.
 
-    With collapse, segments that are equal within the partition are covered
-    whole (kind 1), and one of them goes on for comparison, without places.
+    Segments that are equal within the partition are covered whole (kind 1), and
+    one of them goes on for comparison, without places. With reach, all go on, with
+    so many bytes more on either side.
+    hot: chunks and first bucket of each gram that is cut into chunks by the
+    segments' bytes; a segment goes to each pair of chunks that has its own.
     """
 
     def kernel(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        wanted = defaultdict(list)
+        wanted = defaultdict(set)  # places that identical rows double count once
         for raw in right.column("payload").to_pylist():
             _, ids, tags, start, count, offset = _place_unblob(raw)
             for row in zip(ids.tolist(), tags.tolist(), start.tolist(), count.tolist(), offset.tolist(), strict=True):
-                wanted[row[:2]].append(row[2:])
+                wanted[row[:2]].add(row[2:])
         found: dict[tuple[int, bytes], list[tuple[int, int, int]]] = defaultdict(list)
         for table in unshipped(left.column("payload")):
-            for doc, tag, text in zip(id_array(table.column(id_col)).tolist(), table.column("_tag").to_pylist(), table.column(text_col).to_pylist(), strict=True):
+            for doc, tag, text in zip(id_array(table.column(id_col)).tolist(), table.column("tag").to_pylist(), table.column(text_col).to_pylist(), strict=True):
                 places = wanted.pop((doc, tag), None)  # identical rows count once
                 if places:
                     raw = text.encode()
                     for start, count, offset in places:
-                        found[offset, raw[start : start + count + width - 1]].append((doc, tag, start))
+                        before = min(start, reach or 0)
+                        # With reach the place of the segment's windows goes in the tag's stead.
+                        found[offset + before, raw[start - before : start + count + width - 1 + (reach or 0)]].append((doc, tag if reach is None else before << 16 | count, start - before))
         whole, by_bucket = [], defaultdict(list)
-        for (offset, raw), places in found.items():
-            bucket = (xxh3_64_intdigest(raw[offset : offset + gram]) >> 20) % buckets
-            if collapse and len(places) > 1:
-                whole += [(doc, tag, start, start + len(raw)) for doc, tag, start in places]
-                by_bucket[bucket].append((0, 0, -1, offset, raw))
+        hashes = gram_hashes(np.frombuffer(b"".join([raw[o : o + gram] for o, raw in found]), np.uint8).reshape(-1, gram))
+        for h, ((offset, raw), places) in zip(hashes.tolist(), found.items(), strict=True):
+            if h in hot:
+                chunks, base = hot[h]
+                k = xxh3_64_intdigest(raw) % chunks
+                at = [base + max(k, j) * (max(k, j) + 1) // 2 + min(k, j) for j in range(chunks)]
             else:
-                by_bucket[bucket] += [(*place, offset, raw) for place in places]
+                at = [(h >> 20) % buckets]
+            rows = [(*place, offset, raw) for place in places]
+            if reach is None and len(places) > 1:
+                whole += [(doc, tag, start, start + len(raw)) for doc, tag, start in places]
+                rows = [(0, 0, -1, offset, raw)]
+            for bucket in at:
+                by_bucket[bucket] += rows
         out = [(bucket, 0, _segment_blob(rows)) for bucket, rows in by_bucket.items()]
         out += [(part % buckets, 1, blob) for part, blob in span_rows(whole, buckets)]
         return _rows(iter(out))
@@ -217,12 +250,12 @@ def _segments(width: int, gram: int, buckets: int, id_col: str, text_col: str, c
 
 def _segment_blob(rows: list[tuple[int, int, int, int, bytes]]) -> bytes:
     doc, tag, start, offset, raw = zip(*rows, strict=True)
-    head = packed(np.array(doc, np.int64), np.array(tag, np.uint32), np.array(start, np.int32), np.array(offset, np.uint16), np.array([len(x) for x in raw], np.uint16), np.frombuffer(b"".join(raw), np.uint8))
+    head = packed(np.array(doc, np.int64), np.array(tag, np.uint32), np.array(start, np.int32), np.array(offset, np.int32), np.array([len(x) for x in raw], np.int32), np.frombuffer(b"".join(raw), np.uint8))
     return squeezed(head)
 
 
 def _segment_unblob(raw: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
-    doc, tag, start, offset, length, text = unpacked(unsqueezed(raw), np.int64, np.uint32, np.int32, np.uint16, np.uint16, np.uint8)
+    doc, tag, start, offset, length, text = unpacked(unsqueezed(raw), np.int64, np.uint32, np.int32, np.int32, np.int32, np.uint8)
     text, end = text.tobytes(), np.cumsum(length.astype(np.int64))
     for d, t, s, o, a, b in zip(doc.tolist(), tag.tolist(), start.tolist(), offset.tolist(), (end - length).tolist(), end.tolist(), strict=True):
         yield d, t, s, o, text[a:b]
@@ -310,22 +343,17 @@ def _covered(width: int, gram: int, parts: int):
             spans.extend((doc, tag, start + a, start + b) for doc, tag, start in places if start >= 0)
 
         for group in groups.values():
-            whole = set()
-            for (offset, text), places in group.items():
-                if len(places) > 1:  # equal segments, each a repeat from end to end
-                    add(places, 0, len(text))
-                    whole.add((offset, text))
-            if len(group) < 2 or len(whole) == len(group):
+            # Equal segments are two suffixes, however many they are; those that a partition has settled are one.
+            keys = [k for k, places in group.items() for _ in range(min(2, len(places)))]
+            if len(keys) < 2:
                 continue
-            keys = list(group)
-            best: dict[tuple[int, int, int], None] = {}
+            best: dict[tuple[int, bytes, int, int], None] = {}
             for depth, members, extents in repeats_at([o for o, _ in keys], [t for _, t in keys], width):
                 for m, left in zip(members, extents, strict=True):
                     if left + depth >= width:
-                        best[m, left, depth] = None
-            for m, left, depth in best:
-                if keys[m] not in whole:
-                    add(group[keys[m]], keys[m][0] - left, keys[m][0] + depth)
+                        best[*keys[m], left, depth] = None
+            for offset, text, left, depth in best:
+                add(group[offset, text], offset - left, offset + depth)
         out += span_rows(spans, parts)
         return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), "payload": pa.array([r for _, r in out], pa.binary())})
 
@@ -343,7 +371,7 @@ def _merged(width: int, id_col: str, text_col: str, names: list[str], schema: pa
             for a, b in zip(*runs(doc), strict=True):
                 found[int(ids[a]), int(tags[a])].append(np.stack([start[a:b], start[a:b] + size[a:b]]))
         tables = [_kept(t, found, id_col, text_col, names, keep) for t in unshipped(left.column("payload"))]
-        return pa.concat_tables(tables or [_kept(schema.append(pa.field("_tag", pa.int64())).empty_table(), found, id_col, text_col, names, keep)])
+        return pa.concat_tables(tables or [_kept(schema.append(pa.field("tag", pa.int64())).empty_table(), found, id_col, text_col, names, keep)])
 
     return kernel
 
@@ -353,7 +381,7 @@ SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 def _kept(table: pa.Table, found: dict, id_col: str, text_col: str, names: list[str], keep: bool) -> pa.Table:
     rows = []
-    for doc, tag, text in zip(id_array(table.column(id_col)).tolist(), table.column("_tag").to_pylist(), table.column(text_col).to_pylist(), strict=True):
+    for doc, tag, text in zip(id_array(table.column(id_col)).tolist(), table.column("tag").to_pylist(), table.column(text_col).to_pylist(), strict=True):
         raw = (text or "").encode()
         spans = found.get((doc, tag))
         cut: list[int] = []
@@ -376,53 +404,75 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A byte of a text's UTF-8 form is removed if a string of ``width`` bytes that
     covers it also starts anywhere else, in the same text or another; overlaps
     count, and strings never cross texts. removed holds the maximal intervals.
-    Columns of df with these names are replaced, all others pass through. Null
+    Columns of df with these names, in capitals or not, are replaced, all others pass through. Null
     and empty texts have no bytes. Identical rows (same id and text) count as
     one text and each carry its result; rows that share an id but not a text
     are texts of their own, told apart by CRC-32. An empty df gives no rows.
+    Ids must be integers.
 
     Three shuffles carry, in turn: the hashes of all anchors, about one in 70
     bytes; the bytes around anchors that occur more than once; the intervals.
     Texts cross compressed. What repeats within a task is settled there, so the
     anchors and segments of a passage that a third of all texts share reach
     their bucket once per task. A partition holds about ``bucket_bytes`` of text.
+    A gram around which more than HOT segments lie is cut into chunks of them, and
+    each two chunks are compared in a task of their own.
     """
     made = {"n_bytes": "bigint", "n_removed": "bigint", "removed": "array<struct<start:int,end:int>>", "kept_sha256": "string", "kept": "binary"}
-    base = df.select(*(c for c in df.columns if c not in made))
-    parts = bucket_count(base, text_col, bucket_bytes)
-    docs, segments = _segment_frames(base, id_col, text_col, width, gram, parts, True)
-    spans = segments.groupBy("bucket").applyInArrow(_covered(width, gram, parts), PACKED)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), *(f"{k} {v}" for k, v in made.items())])
-    out = docs.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_merged(width, id_col, text_col, base.columns, to_arrow_schema(base.schema), keep), schema)
+    base = without_columns(df, made)
+    at_id, at_text = (f"c{base.columns.index(c)}" for c in (id_col, text_col))
+    integer_id(base, id_col)
+    rows = numbered(base)
+    parts = bucket_count(rows, at_text, bucket_bytes)
+    docs, segments = _segment_frames(rows, at_id, at_text, width, gram, parts, bucket_bytes)
+    spans = segments.groupBy("bucket").applyInArrow(_covered(width, gram, parts), PACKED).repartitionById(parts, F.col("part"))
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), *(f"{k} {v}" for k, v in made.items())])
+    out = docs.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_merged(width, at_id, at_text, rows.columns, to_arrow_schema(rows.schema), keep), schema)
+    out = out.toDF(*base.columns, *made)
     return out if keep else out.drop("kept")
 
 
-def _segment_frames(base: DataFrame, id_col: str, text_col: str, width: int, gram: int, parts: int, collapse: bool) -> tuple[DataFrame, DataFrame]:
+def _segment_frames(rows: DataFrame, id_col: str, text_col: str, width: int, gram: int, parts: int, bucket_bytes: int, reach: int | None = None) -> tuple[DataFrame, DataFrame]:
     tag = F.crc32(F.col(text_col).cast("binary"))
-    place = base.select(F.col(id_col).cast("long").alias("id"), tag.alias("tag"), F.col(text_col).alias("text"))
-    rows = "bucket int, kind int, payload binary"
-    repeated = place.mapInArrow(_anchors(width, gram, parts), rows).groupBy("bucket").applyInArrow(_repeated(parts), PACKED)
-    docs = shipped(base.withColumn("_tag", tag), id_col, parts)
-    segments = docs.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(_segments(width, gram, parts, id_col, text_col, collapse), rows)
-    return docs, segments
-
-
-def maximal_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 64, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(length int, occurrences array of {id, start}) for each maximal repeat through each anchor, ``width`` bytes or more.
-
-    All occurrences of a group are listed, not only neighbours. Extents are
-    judged within the segments around one anchor, so a repeat longer than a
-    segment appears as overlapping groups. Options and null handling are those
-    of repeated_bytes.
+    place = rows.select(F.col(id_col).cast("long").alias("id"), tag.alias("tag"), F.col(text_col).alias("text"))
+    kinds = "bucket int, kind int, payload binary"
+    # An anchor takes a byte at least. Groups whose members are to be listed can't be cut.
+    limit = max(HOT, parts * bucket_bytes // MOST_HOT) if reach is None else 1 << 62
+    anchors = place.mapInArrow(_anchors(width, gram, parts), kinds).repartitionById(parts, F.col("bucket"))
+    repeated = checkpointed(anchors.groupBy("bucket").applyInArrow(_repeated(parts, limit), PACKED))
+    hot, base = {}, parts
+    for (raw,) in repeated.where("part < 0").select("payload").collect():  # MOST_HOT grams at most
+        for h, n in sorted(zip(*(x.tolist() for x in unpacked(raw, np.uint64, np.int64)), strict=True)):
+            chunks = -(-2 * n // limit)
+            hot[h] = chunks, base
+            base += chunks * (chunks + 1) // 2
+    docs = shipped(rows.withColumn("tag", tag), id_col, parts)
+    of = repeated.where("part >= 0").repartitionById(parts, F.col("part"))
+    segments = docs.groupBy("part").cogroup(of.groupBy("part")).applyInArrow(_segments(width, gram, parts, text_col, id_col, reach, hot), kinds)
+    return docs, segments.repartitionById(base, F.col("bucket"))
+
+
+def maximal_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 64, reach: int = 4096, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(length int, occurrences array of {id, start}): maximal repeats of ``width`` bytes or more, each once, with all occurrences.
+
+    A repeat's occurrences have equal bytes, and neither a byte before nor a byte
+    after is equal in all of them. Each anchor's interval tree looks ``reach`` bytes
+    beyond its segment. A longer repeat comes out of several trees in pieces, and
+    pieces with the same occurrences are joined where they overlap; it stays in
+    pieces only where more than 2 * reach bytes of it recur in further places.
+    ``reach`` is under 65,536. Null and empty texts have no repeats; ids must be integers; rows that are equal
+    in id and text count once; an empty df gives no rows. All occurrences of a
+    repeat are in one row and are listed by one task.
     """
     parts = bucket_count(df, text_col, bucket_bytes)
-    _, segments = _segment_frames(df.select(id_col, text_col), id_col, text_col, width, gram, parts, False)
+    rows = df.select(integer_id(df, id_col).alias("id"), F.col(text_col).alias("text"))
+    _, segments = _segment_frames(rows, "id", "text", width, gram, parts, bucket_bytes, reach)
 
     def kernel(key: tuple, table: pa.Table) -> pa.Table:
         groups = defaultdict(list)
         for raw in table.column("payload").to_pylist():
             for doc, tag, start, offset, text in _segment_unblob(raw):
-                groups[text[offset : offset + gram]].append((doc, start, offset, text))
+                groups[text[offset : offset + gram]].append((doc, start, offset, text, tag >> 16, tag & 0xFFFF))
         out = []
         for group in groups.values():
             if len(group) < 2:
@@ -431,7 +481,18 @@ def maximal_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             back = [t[:o][::-1] for o, t in zip(offsets, texts, strict=True)]
             for depth, members, _ in repeats_at(offsets, texts, width):
                 for left, right, some in repeat_groups(depth, members, back, width):
+                    # Every occurrence has this anchor if a window inside the repeat has it; else another anchor tells of the repeat.
+                    if not any(max(first, offsets[m] - left) <= min(first + count - 1, offsets[m] + right - width) for m in some for first, count in [group[m][4:]]):
+                        continue
                     out.append((left + right, sorted(({"id": group[m][0], "start": group[m][1] + offsets[m] - left} for m in some), key=lambda x: (x["id"], x["start"]))))
         return pa.table({"length": pa.array([x[0] for x in out], pa.int32()), "occurrences": pa.array([x[1] for x in out], pa.list_(pa.struct([("id", pa.int64()), ("start", pa.int64())])))})
 
-    return segments.where("kind = 0").groupBy("bucket").applyInArrow(kernel, "length int, occurrences array<struct<id:bigint,start:bigint>>")
+    found = segments.where("kind = 0").groupBy("bucket").applyInArrow(kernel, "length int, occurrences array<struct<id:bigint,start:bigint>>")
+    begin = F.get("occurrences", 0)["start"]
+    steps = F.transform("occurrences", lambda x: F.struct(x["id"], (x["start"] - begin).alias("step")))
+    pieces = found.select("length", "occurrences", begin.alias("begin"), (begin + F.col("length")).alias("end"), F.get("occurrences", 0)["id"].alias("first"), steps.alias("steps"))
+    w = Window.partitionBy("first", "steps").orderBy("begin", "end")
+    ahead = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    pieces = pieces.withColumn("island", F.sum(F.when(F.col("begin") <= F.coalesce(ahead, F.lit(-1)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = pieces.groupBy("first", "steps", "island").agg(F.min_by("occurrences", "begin").alias("occurrences"), (F.max("end") - F.min("begin")).cast("int").alias("length"))
+    return whole.select("length", "occurrences")

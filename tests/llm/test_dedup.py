@@ -80,12 +80,15 @@ def exact_groups(docs: list[tuple[int, str]], least: float = 0.8) -> dict[int, i
     return {k: docs[x][0] for (k, _), x in zip(docs, label)}
 
 
-@pytest.mark.parametrize("seed", [3, *range(11, 20)])
-def test_similar_documents(spark, seed):
-    docs = near_copies(seed, 90)
+def test_similar_documents(spark):
+    docs, want = [], {}
+    for seed in (3, *range(11, 20)):
+        own = [(1000 * seed + k, f"seed{seed} {t}" if len(t) < 20 else t) for k, t in near_copies(seed, 90)]
+        docs += own
+        want |= similar_groups(dict(own))
     out = simhash.similar_documents(spark.createDataFrame(docs, SCHEMA)).collect()
     assert len(out) == len(docs)
-    assert {r.id: r.component for r in out} == similar_groups(dict(docs))
+    assert {r.id: r.component for r in out} == want
 
 
 @pytest.mark.parametrize("budget,cell_rows", [(1, 50), (2, 50), (3, 1 << 19)])
@@ -223,20 +226,71 @@ def test_byte_blocks_of_a_long_text(spark, monkeypatch):
     rng = random.Random(2)
     text = "".join(rng.choice("abcdefgh") for _ in range(5000))
     rows = pa.Table.from_batches(list(suffix._anchors(200, 64, 1)(iter([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([5, 6]), pa.array([text, text])], ["id", "tag", "text"])]))))
-    out = suffix._repeated(1)((pa.scalar(0),), rows)
+    out = suffix._repeated(1, 1 << 30)((pa.scalar(0),), rows)
     places = {(int(d), int(s) + w) for raw in out.column("payload").to_pylist() for d, _, s, n, _ in zip(*suffix._place_unblob(raw)[1:]) for w in range(int(n))}
     assert places == {(d, s) for d in (1, 2) for s in range(5000 - 199)}
 
 
-def test_interval_tree_lists_all_occurrences(spark):
+def maximal_by_brute_force(raws: dict[int, bytes], width: int) -> set[tuple[int, tuple[tuple[int, int], ...]]]:
+    """Every maximal repeat: for each two occurrences of a window, the longest equal stretch, and all places of it."""
+    places, found = {}, set()
+    for k, raw in raws.items():
+        for i in range(len(raw) - width + 1):
+            places.setdefault(raw[i : i + width], []).append((k, i))
+    strings = set()
+    for at in places.values():
+        for x in range(len(at)):
+            for y in range(x):
+                (p, i), (q, j) = at[x], at[y]
+                a, b = raws[p], raws[q]
+                if i and j and a[i - 1] == b[j - 1]:
+                    continue
+                n = width
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                strings.add(a[i : i + n])
+    for s in strings:
+        where = tuple(sorted((k, i) for k, raw in raws.items() for i in range(len(raw) - len(s) + 1) if raw.startswith(s, i)))
+        left = {raws[k][i - 1] if i else (k, i) for k, i in where}
+        right = {raws[k][i + len(s)] if i + len(s) < len(raws[k]) else (k, i) for k, i in where}
+        if len(left) > 1 and len(right) > 1:
+            found.add((len(s), where))
+    return found
+
+
+@pytest.mark.parametrize("reach", [4096, 100])
+def test_maximal_repeats_with_all_occurrences(spark, reach):
     rng = random.Random(5)
-    shared = "".join(rng.choice("abcdefghij") for _ in range(260))
-    docs = [(k, "".join(rng.choice("klmnop") for _ in range(80)) + chr(65 + k) + shared + chr(80 + k) + "".join(rng.choice("klmnop") for _ in range(80))) for k in range(5)]
-    groups = suffix.maximal_repeats(spark.createDataFrame(docs, SCHEMA)).collect()
-    assert groups and all(sorted(o.id for o in g.occurrences) == [0, 1, 2, 3, 4] and g.length >= 200 for g in groups)
-    for g in groups:
-        texts = {dict(docs)[o.id][o.start : o.start + g.length] for o in g.occurrences}
-        assert len(texts) == 1
+    draw = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    short, long, wide = draw(230), draw(700), draw(1500)
+    docs = [(k, draw(80) + chr(65 + k) + short + chr(80 + k) + draw(80)) for k in range(4)]
+    docs += [(10, draw(50) + "A" + long + "B" + draw(50)), (11, draw(60) + "C" + long + "D"), (12, wide + "E" + draw(90)), (13, draw(9) + "F" + wide), (14, "G" + long[150:500] + "H" + draw(30)), (15, None), (16, "")]
+    groups = suffix.maximal_repeats(spark.createDataFrame(docs, SCHEMA), reach=reach).collect()
+    got = [(g.length, tuple((o.id, o.start) for o in g.occurrences)) for g in groups]
+    want = maximal_by_brute_force({k: (t or "").encode() for k, t in docs}, 200)
+    assert len(got) == len(set(got))
+    if reach > 1000:
+        assert set(got) == want and {len(w) for _, w in want} == {2, 3, 4}
+    else:  # the wide one has no further places, so it is whole
+        assert {(1500, ((12, 0), (13, 10)))} <= set(got) and all(g in want or g[0] < 700 for g in got)
+
+
+@pytest.mark.parametrize("hot", [12])
+def test_grams_of_many_segments_are_cut_into_chunks(spark, monkeypatch, docs, hot):
+    monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "FLUSH_BYTES", 3000)
+    rng = random.Random(8)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(250))
+    more = [(1000 + k, "".join(rng.choice("klmnop") for _ in range(k)) + line[k % 40 :] + "".join(rng.choice("qrst") for _ in range(30))) for k in range(60)]
+    out = suffix.repeated_bytes(spark.createDataFrame(docs + more, SCHEMA), bucket_bytes=2000).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.removed), r.kept_sha256) for r in out} == repeated_bytes(docs + more)
+
+
+def test_a_doubled_row_is_one_text(spark):
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    out = suffix.repeated_bytes(spark.createDataFrame([(1, text), (1, text), (2, "x" * 300)], SCHEMA)).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in out) == [(1, 0), (1, 0), (2, 300)]
 
 
 def test_prefix_intervals_by_brute_force():
@@ -257,15 +311,42 @@ def test_prefix_intervals_by_brute_force():
 def test_null_ids_repeated_rows_and_clashing_columns(spark, operator):
     text = " ".join(f"word{i}" for i in range(80))
     rows = [(None, text, 1, "p"), (4, text, 2, "p"), (4, text, 2, "p"), (9, text, 3, "p"), (9, "short", 4, "q"), (11, None, None, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, n_removed long, part string")
-    out = operator(df).collect()
-    assert len(out) == len(rows) and {r.part for r in out} == {"p", "q", None}
+    own = ["part", "tag", "_tag", "bucket", "payload", "c0", "c1", "kind"]
+    df = spark.createDataFrame([(*r[:3], *[r[3]] * len(own)) for r in rows], ", ".join(["doc_id long, text string, N_removed long", *(f"{c} string" for c in own)]))
+    result = operator(df)
+    out = result.collect()
+    assert len({c.lower() for c in result.columns}) == len(result.columns)
+    assert len(out) == len(rows) and all(sorted((r[c] or "" for r in out)) == ["", "p", "p", "p", "p", "q"] for c in own)
     by = sorted((r.doc_id is not None, r.doc_id or 0, r.n_removed) for r in out)
     whole = 80 if operator is substring.repeated_windows else len(text)
     first = 0 if operator is substring.repeated_windows else whole  # the earliest window stays, bytes go everywhere
     assert by == [(False, 0, first), (True, 4, whole), (True, 4, whole), (True, 9, 0), (True, 9, whole), (True, 11, 0)]
 
 
+def test_cleaned_keeps_own_columns(spark):
+    text = " ".join(f"word{i}" for i in range(30))
+    df = spark.createDataFrame([(1, text, 99, "k"), (2, "x y " + text, 98, "m"), (3, text, 97, "n"), (4, None, 96, None)], "doc_id long, text string, n_words long, kept_sha256 string")
+    assert sorted(map(tuple, substring.cleaned(df).collect())) == [(1, text, 99, "k"), (2, "x y ", 98, "m"), (4, None, 96, None)]
+
+
+@pytest.mark.parametrize("operator", [substring.repeated_windows, suffix.repeated_bytes])
+def test_ids_must_be_integers(spark, operator):
+    with pytest.raises(TypeError):
+        operator(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_payloads_grow_no_faster_than_windows(spark):
+    def payloads(n: int) -> tuple[int, int]:
+        rng = random.Random(n)
+        df = spark.createDataFrame([(k, k, " ".join(words(rng, 60))) for k in range(n)], "id long, tag long, text string").repartition(4)
+        buckets = n // 10  # as a bucket holds a fixed size of text
+        return df.mapInArrow(substring._windows(20, buckets, buckets), "bucket int, kind int, payload binary").count(), n * 41
+
+    for n in (100, 400):
+        found, most = payloads(n)
+        assert found <= min(most, 4 * (n // 10))
+
+
 @pytest.mark.parametrize("operator", [substring.repeated_windows, suffix.repeated_bytes, simhash.near_duplicates, simhash.deduplicated])
 def test_empty_tables(spark, operator):
     assert operator(spark.createDataFrame([], "doc_id long, text string, other string")).count() == 0

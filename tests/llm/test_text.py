@@ -196,6 +196,11 @@ def test_chat_runs_no_python(spark):
     assert not any(k in plan for k in ("Python", "Pandas", "Arrow"))
 
 
+def test_chat_query_runs_the_machine(spark):
+    plan = queries.op9_chat(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert all(k in plan for k in ("invalid", "answered", "told"))
+
+
 def test_sql_of_the_other_queries(spark, duck):
     for name in ("op3_decontaminate", "op10_substring"):
         same_rows(queries.QUERIES[name](spark, DATA), duck.sql(queries.ORACLE_SQL[name]))
