@@ -11,29 +11,38 @@ from gridspark.llm.queries import tokenizer_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line CRF predicts to be good; it is fitted on labels outside the held-out fifth."""
+    """Documents that the line CRF predicts to be good; it is fitted on labels outside the held-out fifth.
+
+    A null or empty text is scored as one empty line; repeated rows are scored alike.
+    """
     model = quality.trained(table_of(spark, sf_dir, "documents"), table_of(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality.kept(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of texts whose five-word shingles are 0.8 alike or more."""
+    """The document with the smallest id of each group of texts whose five-word shingles are 0.8 alike or more.
+
+    Texts without words are one group; rows with a null id stay, as do all rows that share a kept id.
+    """
     return simhash.without_similar(docs)
 
 
 def drop_repeated_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of windows that start earlier elsewhere; a document without words left goes."""
-    out = substring.repeated_windows(docs).where("n_removed = 0 or n_removed < n_words")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Texts without the words of windows that start earlier elsewhere; a document that loses all its words goes.
+
+    A text that had none, null or empty, stays. A column n_chars is counted anew.
+    """
+    out = substring.cleaned(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark doesn't contaminate."""
+    """Documents that the benchmark doesn't contaminate; a text without words is clean."""
     return decontaminate.decontaminated(docs, table_of(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, their digest, and the digest of the text decoded from them."""
+    """Token ids, their digest, and the digest of the text decoded from them; a null text has no tokens."""
     return bpe.encoded(docs, tokenizer_path()).drop("text")
 
 
@@ -50,7 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written to the shared checkpoint folder and read again."""
+    """All stages over documents; each stage's result is written to the shared checkpoint folder and read again.
+
+    Columns beyond those of documents pass through all stages with their values,
+    except that the last replaces those of its results' names. Null, empty and
+    very long texts, ties and repeated rows are taken as each stage says; an empty
+    table gives no rows.
+    """
     docs = table_of(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
