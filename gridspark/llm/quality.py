@@ -139,62 +139,72 @@ class Model:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * self.mean(bins, lengths) + self.offset))))
 
 
-def _log_add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.logaddexp(a, b)
-
-
-def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 150, rate: float = 0.2, decay: float = 1e-3) -> Model:
-    """Maximum conditional likelihood of the lines' labels (each its document's), by Adam over all chains at once.
-
-    docs: (bins, lengths, label). Without documents of both labels the model is
-    neutral and scores the share of label 1, or 0.5 without any.
-    """
-    labels = np.array([y for *_, y in docs], float)
-    model = Model(np.zeros(WEIGHTS), np.zeros((2, 2)))
-    if not len(docs) or labels.min() == labels.max():
-        share = min(0.99, max(0.01, labels.mean())) if len(docs) else 0.5
-        model.slope, model.offset = 0.0, math.log(share / (1 - share))
-        return model
-    chains = [(slots(bins)[at : at + CHAIN], y) for bins, _, y in docs for at in range(0, len(bins), CHAIN)]
-    chains.sort(key=lambda c: -len(c[0]))
-    n = np.array([len(s) for s, _ in chains])
-    top = int(n[0])
-    y = np.array([y for _, y in chains])
-    seen_by = np.concatenate([s for s, _ in chains])  # lines x features
-    live = [int((n > t).sum()) for t in range(top)]  # chains are sorted, so those with a line t come first
-    # Each label counts the same in total, however rare.
-    weight = np.where(y == 1, 0.5 / n[y == 1].sum(), 0.5 / n[y == 0].sum())
-    theta = np.zeros(WEIGHTS + 4)
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
-    mask = np.arange(top) < n[:, None]
-    for step in range(1, rounds + 1):
+class Chains:
+    """Chains of up to CHAIN lines, all of a chain with its document's label; longer documents are several chains."""
+
+    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray, int]]) -> None:
+        chains = [(slots(bins)[at : at + CHAIN], y) for bins, _, y in docs for at in range(0, len(bins), CHAIN)]
+        chains.sort(key=lambda c: -len(c[0]))
+        self.n = n = np.array([len(s) for s, _ in chains])
+        self.top = int(n[0])
+        self.y = y = np.array([y for _, y in chains])
+        self.seen_by = np.concatenate([s for s, _ in chains])  # lines x features
+        self.live = [int((n > t).sum()) for t in range(self.top)]  # chains are sorted, so those with a line t come first
+        # Each label counts the same in total, however rare.
+        self.weight = np.where(y == 1, 0.5 / max(1, n[y == 1].sum()), 0.5 / max(1, n[y == 0].sum()))
+        self.mask = np.arange(self.top) < n[:, None]
+
+    def likelihood(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """The weighted sum of the chains' log conditional likelihoods, and its gradient, by forward and backward recursions."""
+        n, y, top, live, weight = self.n, self.y, self.top, self.live, self.weight
         w, trans = theta[:WEIGHTS], theta[WEIGHTS:].reshape(2, 2)
-        e = np.zeros((len(chains), top))
-        e[mask] = w[seen_by].sum(axis=1)
-        f = np.zeros((len(chains), top, 2))
+        e = np.zeros((len(n), top))
+        e[self.mask] = w[self.seen_by].sum(axis=1)
+        f = np.zeros((len(n), top, 2))
         f[:, 0, 1] = e[:, 0]
         for t in range(1, top):
             m = live[t]
-            f[:m, t, 0] = _log_add(f[:m, t - 1, 0] + trans[0, 0], f[:m, t - 1, 1] + trans[1, 0])
-            f[:m, t, 1] = _log_add(f[:m, t - 1, 0] + trans[0, 1], f[:m, t - 1, 1] + trans[1, 1]) + e[:m, t]
+            f[:m, t, 0] = np.logaddexp(f[:m, t - 1, 0] + trans[0, 0], f[:m, t - 1, 1] + trans[1, 0])
+            f[:m, t, 1] = np.logaddexp(f[:m, t - 1, 0] + trans[0, 1], f[:m, t - 1, 1] + trans[1, 1]) + e[:m, t]
         b = np.zeros_like(f)
         pair = np.zeros((2, 2))
-        z = _log_add(f[np.arange(len(n)), n - 1, 0], f[np.arange(len(n)), n - 1, 1])
+        z = np.logaddexp(f[np.arange(len(n)), n - 1, 0], f[np.arange(len(n)), n - 1, 1])
         for t in range(top - 1, 0, -1):
             m = live[t]
             good = e[:m, t] + b[:m, t, 1]
             for i in (0, 1):
-                b[:m, t - 1, i] = _log_add(trans[i, 0] + b[:m, t, 0], trans[i, 1] + good)
+                b[:m, t - 1, i] = np.logaddexp(trans[i, 0] + b[:m, t, 0], trans[i, 1] + good)
                 pair[i, 0] += (weight[:m] * np.exp(f[:m, t - 1, i] + trans[i, 0] + b[:m, t, 0] - z[:m])).sum()
                 pair[i, 1] += (weight[:m] * np.exp(f[:m, t - 1, i] + trans[i, 1] + good - z[:m])).sum()
         p = np.exp(np.minimum(0, f[:, :, 1] + b[:, :, 1] - z[:, None]))
-        miss = ((y[:, None] - p) * weight[:, None])[mask]
+        miss = ((y[:, None] - p) * weight[:, None])[self.mask]
         grad = np.zeros_like(theta)
-        grad[:WEIGHTS] = np.bincount(seen_by.reshape(-1), np.repeat(miss, seen_by.shape[1]), WEIGHTS)
+        grad[:WEIGHTS] = np.bincount(self.seen_by.reshape(-1), np.repeat(miss, self.seen_by.shape[1]), WEIGHTS)
         seen = np.zeros((2, 2))
         seen[0, 0], seen[1, 1] = (weight * (n - 1) * (y == 0)).sum(), (weight * (n - 1) * (y == 1)).sum()
         grad[WEIGHTS:] = (seen - pair).reshape(-1)
-        grad -= decay * theta
+        own = np.where(y == 1, e.sum(axis=1) + trans[1, 1] * (n - 1), trans[0, 0] * (n - 1))
+        return float((weight * (own - z)).sum()), grad
+
+
+def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 150, rate: float = 0.2, decay: float = 1e-3) -> Model:
+    """Maximum conditional likelihood of the lines' labels (each its document's), by Adam over all chains at once.
+
+    docs: (bins, lengths, label), of any number of lines; a document of no text is
+    one empty line. Without documents of both labels the model is
+    neutral and scores the share of label 1, or 0.5 without any.
+    """
+    labels = np.array([y for *_, y in docs], float)
+    model = Model(np.zeros(WEIGHTS), np.zeros((2, 2)))
+    if not len(docs) or labels.min() == labels.max():
+        share = min(0.99, max(0.01, labels.mean())) if len(docs) else 0.5
+        model.slope, model.offset = 0.0, math.log(share / (1 - share))
+        return model
+    chains = Chains(docs)
+    theta = np.zeros(WEIGHTS + 4)
+    first, second = np.zeros_like(theta), np.zeros_like(theta)
+    for step in range(1, rounds + 1):
+        grad = chains.likelihood(theta)[1] - decay * theta
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         theta = theta + rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8) / math.sqrt(step)
     model.weights, model.steps = theta[:WEIGHTS].copy(), np.clip(theta[WEIGHTS:].reshape(2, 2), -8, 8)

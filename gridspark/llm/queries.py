@@ -50,7 +50,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector played as a tune; every hundredth is a query against all."""
     tunes = media.played(table_of(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return media.aligned(tunes, "id", "audio", F.col("id") % 100 == 0).withColumnRenamed("id", "vec_id")
+    found = media.aligned(tunes, "id", "audio", F.col("id") % 100 == 0)
+    nearest = (F.col(f"nearest.{c}").alias(f"nearest_{c}") for c in ("class_id", "offset", "bit_errors", "overlap"))
+    return found.select(F.col("id").alias("vec_id"), "class_id", "n_ints", "is_query", "n_links", *nearest)
 
 
 def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

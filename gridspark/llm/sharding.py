@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import without_columns
+
 #: Slots of the table; a prime, and its size bound.
 SLOTS = 65_537
 MOST_SLOTS = 1_000_003
@@ -53,7 +55,7 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 
 def sharded(df: DataFrame, key_col: str, shards: list[str], slots: int = SLOTS, weights: dict[str, int] | None = None) -> DataFrame:
-    """df with columns slot (int) and shard (string); columns of these names are replaced.
+    """df with columns slot (int) and shard (string); columns of these names, in capitals or not, are replaced.
 
     A row's slot is a 64-bit hash of its key modulo ``slots``. The table, at
     most MOST_SLOTS rows however large df is, is broadcast and probed by slot,
@@ -63,9 +65,22 @@ def sharded(df: DataFrame, key_col: str, shards: list[str], slots: int = SLOTS,
     """
     owner = lookup_table(shards, slots, weights)
     table = df.sparkSession.createDataFrame(pd.DataFrame({"slot": range(slots), "shard": [shards[k] for k in owner]}), "slot int, shard string")
-    return df.drop("shard").withColumn("slot", slot_of(F.col(key_col), slots)).join(F.broadcast(table), "slot").select(*(c for c in df.columns if c not in ("slot", "shard")), "slot", "shard")
+    own = without_columns(df, ["slot", "shard"]).columns
+    rows = df.select(*(F.col(f"`{c}`") for c in own), slot_of(F.col(key_col), slots).alias("slot"))
+    return rows.join(F.broadcast(table), "slot").select(*(F.col(f"`{c}`") for c in own), "slot", "shard")
+
 
+def write_shards(df: DataFrame, path: str, key_col: str, shards: list[str], rows_per_file: int = 1_000_000, **options) -> None:
+    """Parquet folders shard=<name>, in files of about rows_per_file rows; a shard of many rows, or a key of many, is written by many tasks.
 
-def write_shards(df: DataFrame, path: str, key_col: str, shards: list[str], **options) -> None:
-    """Parquet folders shard=<name>; a shard is written by up to 64 tasks, dealt by slot, so a hot shard is no single task."""
-    sharded(df, key_col, shards, **options).repartition(F.col("shard"), F.pmod("slot", F.lit(64))).write.partitionBy("shard").parquet(path)
+    Rows of a shard are dealt to its files by their number, so repeated keys and
+    rows share a shard but not a task. Placement, null keys and clashing columns
+    are as in ``sharded``; of an empty df nothing but the folder is written.
+    """
+    placed = sharded(df, key_col, shards, **options)
+    # At most a row per shard.
+    files = placed.groupBy("shard").agg(F.ceil(F.count("*") / rows_per_file).cast("int").alias("files"))
+    total = files.agg(F.sum("files")).first()[0] or 1
+    salt = next(n for n in map("_file{}".format, range(len(df.columns) + 1)) if n.lower() not in {c.lower() for c in placed.columns})
+    dealt = placed.join(F.broadcast(files.withColumnRenamed("files", salt)), "shard").withColumn(salt, F.pmod(F.monotonically_increasing_id(), salt))
+    dealt.repartition(int(total), F.col("shard"), F.col(salt)).drop(salt).write.partitionBy("shard").parquet(path)

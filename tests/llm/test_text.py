@@ -1,7 +1,9 @@
 """BPE, decontamination, quality, LM scores and chat formatting."""
 
+import math
 import random
 
+import numpy as np
 import pytest
 
 
@@ -117,6 +119,71 @@ def test_contamination_edge_cases(spark):
     assert decontaminate.contamination(docs.limit(0), none).count() == 0
 
 
+def test_gradient_of_the_fit():
+    rng = np.random.default_rng(6)
+    docs = [(rng.integers(0, 3, (k, quality.WIDTH)).astype(np.uint8), np.ones(k), k % 2) for k in (1, 2, 3, 5, 70)]
+    chains = quality.Chains(docs)
+    theta = rng.normal(0, 0.3, quality.WEIGHTS + 4)
+    value, grad = chains.likelihood(theta)
+    for k in [*rng.choice(np.flatnonzero(grad[: quality.WEIGHTS]), 12), *range(quality.WEIGHTS, quality.WEIGHTS + 4)]:
+        step = np.zeros_like(theta)
+        step[k] = 1e-5
+        slope = (chains.likelihood(theta + step)[0] - chains.likelihood(theta - step)[0]) / 2e-5
+        assert abs(slope - grad[k]) < 1e-6
+    # One chain of two lines against all four labellings.
+    bins, y = docs[1][0], docs[1][2]
+    e, t = theta[quality.slots(bins)].sum(axis=1), theta[quality.WEIGHTS :].reshape(2, 2)
+    score = {(a, b): a * e[0] + b * e[1] + t[a, b] for a in (0, 1) for b in (0, 1)}
+    alone = quality.Chains([docs[1]])
+    assert np.isclose(alone.likelihood(theta)[0] / alone.weight[0], score[y, y] - np.log(sum(map(np.exp, score.values()))))
+
+
+def test_quality_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "Some good line.", 5.5, "p", "i"), (2, None, 6.5, "q", None)], "doc_id long, text string, Score double, _y string, id string")
+    labels = spark.createDataFrame([(1, 1, "z"), (2, 0, "z")], "doc_id long, quality int, text string")
+    model = quality.trained(df, labels)
+    assert quality.scored(df, model).columns == ["doc_id", "text", "_y", "id", "score", "predicted"]
+    model.slope, model.offset = 0.0, 9.0
+    assert sorted(map(tuple, quality.kept(df, model).collect())) == sorted(map(tuple, df.collect()))
+    with pytest.raises(TypeError):
+        quality.trained(spark.createDataFrame([("a", "b")], "doc_id string, text string"), labels)
+
+
+def test_decontaminated_keeps_own_columns(spark):
+    item = " ".join(f"w{k}" for k in range(13))
+    rows = [(1, "clean words", 99, "a", "h"), (2, item, 98, "b", "i"), (3, None, 97, None, "j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, N_words long, _items string, _hit string")
+    bench = spark.createDataFrame([("x", item), ("y", None), (None, "")], "item_id string, text string")
+    for size in (1 << 20, 0):
+        assert sorted(map(tuple, decontaminate.decontaminated(df, bench, block_bytes=size).collect())) == [rows[0], rows[2]]
+        got = decontaminate.contamination(df, bench, block_bytes=size).orderBy("doc_id").collect()
+        assert [(r.n_words, r.n_hit, r.n_items, r._items) for r in got] == [(2, 0, 0, "a"), (13, 13, 1, "b"), (0, 0, 0, None)]
+        assert decontaminate.contamination(df, bench.limit(0), block_bytes=size).where("n_hit > 0").count() == 0
+        assert decontaminate.contamination(df.limit(0), bench, block_bytes=size).count() == 0
+
+
+def test_backoff_by_brute_force(spark):
+    rng = random.Random(5)
+    docs = [(k, " ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 12)))) for k in range(12)] + [(20, "x y z x y z"), (21, "x y z x y z"), (-(2**63), "a b")]
+    words_ = {k: t.split() for k, t in docs}
+    log = lambda x: round(1e6 * math.log(x))
+    got = {r.id: r for r in lm.backoff_scores(spark.createDataFrame(docs, SCHEMA)).collect()}
+    for k, w in words_.items():
+        others = [v for j, v in words_.items() if j != k]
+        count = lambda g: sum(v[i : i + len(g)] == g for v in others for i in range(len(v) - len(g) + 1))
+        score, levels = 0, [0, 0, 0]
+        for i in range(len(w)):
+            off = 0
+            for n in range(min(3, i + 1), 0, -1):
+                seen = count(w[i - n + 1 : i + 1])
+                if n == 1 or seen:
+                    score += log(max(seen, 1)) - log(count(w[i - n + 1 : i]) if n > 1 else max(1, sum(map(len, others)))) + off
+                    levels[n - 1] += 1
+                    break
+                off += log(0.4)
+        assert (got[k].score_micro, [got[k].n_1, got[k].n_2, got[k].n_3]) == (score, levels)
+
+
 def test_quality_on_held_out_labels(spark):
     big = DATA.replace("sf0.001", "sf0.1")
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
