@@ -117,3 +117,52 @@ def quant_table(spark) -> DataFrame:
 
 
 EDGE_COUNTS = {"row": (ROW.start, 7), "column": (COLUMN.start, 7)}
+
+
+# -- the DC coefficient from the neighbours' pixels -------------------------------
+
+#: Pixels are eight times their value here, so 128, the middle, is 1024.
+MIDDLE = 1024
+
+
+def pixels_without_dc(coef: Column) -> Column:
+    """64 pixels in raster order, eight times their value, as if DC were 0."""
+    without = F.transform(coef, lambda v, i: F.when(i == DC, 0).otherwise(v))
+    return F.transform(pixels(without), lambda p: bits.int_div(p, 8192 * 8192))
+
+
+def half(v: Column) -> Column:
+    """Half of v, cut towards zero."""
+    return bits.int_div(v, 2)
+
+
+def edge_pixels(p: Column, dc: Column) -> Column:
+    """{right, below}: the pixels expected just beyond a block, its last ones carried on by half their last step; dc is dequantised."""
+
+    def beyond(at, before) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: dc + F.get(p, at(i)) + MIDDLE + half(F.get(p, at(i)) - F.get(p, before(i))))
+
+    return F.struct(beyond(lambda i: 8 * i + 7, lambda i: 8 * i + 6).alias("right"), beyond(lambda i: 56 + i, lambda i: 48 + i).alias("below"))
+
+
+def dc_from_pixels(p: Column, left: Column, above: Column, quantiser: int) -> Column:
+    """{predicted, spread, offset} of the quantised DC from the eight pixels beyond the left and upper blocks; a null side is absent.
+
+    Each pixel on a shared edge gives an estimate. Their mean is the prediction;
+    an eighth of their range, and of the smaller distance of a side's sum from the
+    mean of both sums, tell how sure it is. Without neighbours all are 0.
+    """
+
+    def estimates(side: Column, at, after) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.get(side, i) - half(F.get(p, at(i)) - F.get(p, after(i))) - F.get(p, at(i)) - MIDDLE)
+
+    none = F.array().cast("array<bigint>")
+    by_left = F.when(left.isNotNull(), estimates(left, lambda i: 8 * i, lambda i: 8 * i + 1)).otherwise(none)
+    by_above = F.when(above.isNotNull(), estimates(above, lambda i: i, lambda i: i + 8)).otherwise(none)
+    add = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    every = F.concat(by_left, by_above)
+    one, other = add(F.when(left.isNotNull(), by_left).otherwise(by_above)), add(F.when(above.isNotNull(), by_above).otherwise(by_left))
+    mean = F.shiftright(one + other, 1)
+    far = F.when(F.abs(one - mean) < F.abs(other - mean), one - mean).otherwise(other - mean)
+    spread = F.coalesce(F.shiftright(F.array_max(every) - F.array_min(every), 3), F.lit(0).cast("long"))
+    return F.struct(F.shiftright(bits.int_div(mean, quantiser) + 4, 3).alias("predicted"), spread.alias("spread"), F.shiftright(far, 3).alias("offset"))

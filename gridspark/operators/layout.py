@@ -138,3 +138,46 @@ def non_interleaved(g: DataFrame) -> DataFrame:
 def truncated_rows(rows: Column, coded: Column, multiple: Column) -> Column:
     """Block rows that hold the first ``coded`` parts in a hundred of an image, raised to whole units."""
     return F.least(rows, bits.ceil_div(bits.ceil_div(rows * coded, 100), multiple) * multiple)
+
+
+# -- packets as bytes ------------------------------------------------------------
+
+# Sizes that a packet's header of one byte tells, by their class, and the end of a file.
+SIZE_CLASSES = {4096: 1, 16384: 2, 65536: 3}
+END_OF_FILE = "FFFEFF"
+
+
+def packet_bytes(stream: Column, payload: Column) -> Column:
+    """A header and the payload: the stream in the low four bits, the size class above; other sizes, less one, in two more bytes."""
+    n = F.length(payload)
+    kind = F.lit(0)
+    for size, k in SIZE_CLASSES.items():
+        kind = F.when(n == size, k).otherwise(kind)
+    first = bits.little_endian(stream + 16 * kind, 1)
+    return F.concat(F.when(kind > 0, first).otherwise(F.concat(first, bits.little_endian(n - 1, 2))), payload)
+
+
+PACKET = "struct<stream:int,start:int,len:int>"
+
+
+def parsed_packets(raw: Column) -> Column:
+    """The packets of a file up to its end mark, as an array of {stream, start, len}; start counts from 0.
+
+    The fold goes on as long as a packet can begin: one in four bytes at most.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("done"), F.array().cast(f"array<{PACKET}>").alias("found"))
+    byte = lambda at: bits.from_big_endian(raw, at + 1, F.lit(1)).cast("int")
+
+    def step(state: Column, _: Column) -> Column:
+        at = state["at"]
+        head = byte(at)
+        kind = bits.int_div(head, 16) % 4
+        size = F.when(kind == 0, byte(at + 1) + 256 * byte(at + 2) + 1).otherwise(F.pow(F.lit(4), kind).cast("int") * 1024).cast("int")
+        begin = at + F.when(kind == 0, 3).otherwise(1)
+        over = (at >= F.length(raw)) | (F.hex(F.substring(raw, at + 1, F.lit(3))) == END_OF_FILE)
+        item = F.struct((head % 16).alias("stream"), begin.alias("start"), size.alias("len")).cast(PACKET)
+        ended = F.struct(at.alias("at"), F.lit(True).alias("done"), state["found"].alias("found"))
+        grown = F.struct((begin + size).alias("at"), F.lit(False).alias("done"), F.concat(state["found"], F.array(item)).alias("found"))
+        return F.when(state["done"], state).when(over, ended).otherwise(grown)
+
+    return F.aggregate(F.sequence(F.lit(1), bits.int_div(F.length(raw), 4) + 1), start, step)["found"]
