@@ -72,6 +72,25 @@ def frame_fields(found: Column) -> dict[str, Column]:
     }
 
 
+def components(found: Column) -> Column:
+    """The frame's components as an array of {jid, sh, sv, quant, first_quant}; first_quant is the first value of its quantiser table, null where the header lacks it.
+
+    Tables of 8-bit values are read, several in a segment or one.
+    """
+    frame = F.get(F.filter(found, lambda s: s["kind"].isin(FRAME, 0xC1, 0xC2)), 0)["payload"]
+    at = lambda raw, i: bits.from_big_endian(raw, i, F.lit(1))
+    cut = lambda s: F.transform(F.sequence(F.lit(0).cast("long"), bits.int_div(s["len"] - 2, 65) - 1), lambda k: F.substring(s["payload"], (65 * k + 1).cast("int"), F.lit(65)))
+    tables = F.flatten(F.transform(F.filter(found, lambda s: (s["kind"] == QUANT_TABLE) & (s["len"] >= 67)), cut))
+
+    def component(k: Column) -> Column:
+        i = 3 * k + 7
+        factors, quant = at(frame, i + 1), at(frame, i + 2)
+        own = F.get(F.filter(tables, lambda t: at(t, F.lit(1)) == quant), 0)
+        return F.struct(at(frame, i).alias("jid"), bits.int_div(factors, 16).alias("sh"), (factors % 16).alias("sv"), quant.alias("quant"), at(own, F.lit(2)).alias("first_quant"))
+
+    return F.transform(F.sequence(F.lit(0), (at(frame, F.lit(6)) - 1).cast("int")), component)
+
+
 def handoff(start: Column, size: Column, overhang: Column, overhang_bits: Column, last: list[Column]) -> Column:
     """16 bytes: first row, segment size, overhang byte and its bits, and four last values."""
     values = [*last, *[F.lit(0)] * (4 - len(last))]
