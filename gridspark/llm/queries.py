@@ -109,6 +109,19 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+c AS (SELECT doc_id, n, b, substr(h, 2 * b + 1, 2 * 1223) AS h FROM (SELECT *, unnest(range(0, greatest(n - 199, 0), 1024)) AS b FROM d)),
+g AS (SELECT doc_id, b + j AS i, md5_number(substr(h, 2 * j + 1, 400)) AS k FROM (SELECT *, unnest(range(least(1024, n - 199 - b))) AS j FROM c)),
+r AS (SELECT doc_id, i FROM g WHERE k IN (SELECT k FROM g GROUP BY k HAVING count(*) > 1)),
+m AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM r)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS e FROM m GROUP BY doc_id, span),
+k AS (SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+t AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(e) AS last, sum(e - a) AS gone, count(*) AS n_spans FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(from_hex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 t AS (SELECT doc_id, len(w) AS own, w[i] AS w0, w[i - 1] AS w1, CASE WHEN i > 2 THEN w[i - 2] END AS w2, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
@@ -177,4 +190,4 @@ QUERIES = {
     "op10_substring": op10_substring,
 }
 
-ORACLE_SQL = {"op3_decontaminate": OP3_SQL, "op8_lm": OP8_SQL, "op9_chat": OP9_SQL, "op10_substring": OP10_SQL}
+ORACLE_SQL = {"op3_decontaminate": OP3_SQL, "op7_suffix": OP7_SQL, "op8_lm": OP8_SQL, "op9_chat": OP9_SQL, "op10_substring": OP10_SQL}
