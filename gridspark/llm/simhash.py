@@ -182,17 +182,19 @@ def rotations(width: int, budget: int) -> tuple[int, list[int]]:
     return top, [r * top for r in range(budget + 1)]
 
 
-def cells_of(cells: DataFrame, cell_rows: int, most_rows: int) -> tuple[DataFrame, int]:
-    """cells (cell, rep, ...) with bucket, right and pair (each a task's work), and the number of buckets.
+def cells_of(cells: DataFrame, cell_rows: int, n: int, each: int) -> tuple[DataFrame, int]:
+    """cells (cell, rep, ...) with bucket (a task's work) and right, and the number of buckets.
+
+    There are ``each`` rows for each of n reps, no two of a rep in one cell.
 
     Cells are dealt to buckets of about ``cell_rows`` rows. A cell of more rows
     than that, such as a large group of copies has, is cut into chunks by a hash
     of rep, and each two chunks are a bucket of their own. Only such cells reach
-    the driver, with their counts: at most ``most_rows / cell_rows`` of them.
+    the driver, with their counts: at most ``each * n / cell_rows`` of them.
     """
     shuffle = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(shuffle, -(-most_rows // cell_rows))
-    hot = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).collect() if most_rows > cell_rows else []
+    parts = max(shuffle, -(-each * n // cell_rows))
+    hot = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).collect() if n > cell_rows else []
     plain = F.pmod(F.xxhash64("cell"), F.lit(parts)).cast("int")
     if not hot:
         return cells.withColumns({"bucket": plain, "right": F.lit(False)}), parts
@@ -269,7 +271,7 @@ def trie_links(reps: DataFrame, budget: int = 2, cell_rows: int = CELL_ROWS) ->
     turned = F.array(*(F.shiftleft("fp", t).bitwiseOR(F.shiftrightunsigned("fp", 64 - t)) if t else F.col("fp") for t in turns))
     cell = lambda x, k: F.struct((F.shiftrightunsigned(x, 64 - top) * len(turns) + k).alias("cell"), x.alias("key"))
     rows = reps.select("rep", F.explode(F.transform(turned, cell)).alias("x")).select("x.cell", "x.key", "rep")
-    dealt, buckets = cells_of(rows, cell_rows, len(turns) * reps.count())
+    dealt, buckets = cells_of(rows, cell_rows, reps.count(), len(turns))
     return dealt.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(_met(top, 64, budget), "a long, b long, d long").select("a", "b")
 
 
@@ -395,7 +397,7 @@ def _long_links(reps: DataFrame, similarity: float, budget: int | None = None, c
     width = 8 * budget + 12
     top, turns = rotations(width, budget)
     rows = reps.select("rep", "sketch").mapInArrow(_keys(width, budget), "cell long, key long, rep long, check binary")
-    dealt, buckets = cells_of(rows, cell_rows, n * KEYS * len(turns))
+    dealt, buckets = cells_of(rows, cell_rows, n, KEYS * len(turns))
     most = differing(similarity, 3.5, 64 * (WORDS - KEY_WORDS))
     return dealt.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(_met(top, width, budget, most), "a long, b long, d long")
 

@@ -103,7 +103,7 @@ def test_rows_sent_for_a_text_do_not_depend_on_the_number_of_texts(spark):
     def sent(n: int, cell_rows: int) -> float:
         reps = spark.createDataFrame([(k, simhash.sketch(np.random.default_rng(k).integers(0, 2**63, 80).astype(np.uint64))) for k in range(n)], "rep long, sketch binary")
         rows = reps.mapInArrow(simhash._keys(20, 1), "cell long, key long, rep long, check binary")
-        return simhash.cells_of(rows, cell_rows, n * simhash.KEYS * 2)[0].count() / n
+        return simhash.cells_of(rows, cell_rows, n, simhash.KEYS * 2)[0].count() / n
 
     assert sent(60, 1 << 19) == sent(240, 1 << 19) == sent(240, 64) == 2 * simhash.KEYS
 
