@@ -520,13 +520,12 @@ def _compared(similarity: float):
     return kernel
 
 
-def _completed(clusters: DataFrame, parts: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links (a, b) between the parts of clusters that verified links leave in several, by whole shingle sets.
+def _completed(nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) between the parts of clusters of nodes (id, part, cluster) in several parts, by whole shingle sets.
 
     The texts outside a cluster's largest part are compared with each other and
     with those in it; both are dealt into chunks, and two chunks are a task.
     """
-    nodes = clusters.join(parts.withColumnRenamed("component", "part"), "node", "left").select(F.col("node").alias("id"), F.col("component").alias("cluster"), F.coalesce("part", "node").alias("part"))
     sizes = nodes.groupBy("cluster", "part").agg(F.count("*").alias("n"))
     whole = sizes.groupBy("cluster").agg(F.sum("n").alias("total"), F.max(F.struct("n", "part")).alias("most"))
     torn = whole.where("total > most.n").select("cluster", F.col("most.part").alias("main"), F.ceil(F.col("most.n") / FULL).cast("int").alias("m"), F.ceil((F.col("total") - F.col("most.n")) / FULL).cast("int").alias("r"))
@@ -547,26 +546,39 @@ def _completed(clusters: DataFrame, parts: DataFrame, texts: DataFrame, width: i
     return sent.groupBy("cluster", "i", "j").applyInArrow(_compared(similarity), "a long, b long")
 
 
+def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """parts (node, component) after links (a, b) between nodes or components; only what crosses parts is walked."""
+    groups = connected_components(_crossing(parts, links, "of_a", "of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+    moved = groups.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return checkpointed(parts.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+
+
+def _crossing(parts: DataFrame, edges: DataFrame, *columns: str) -> DataFrame:
+    """The edges whose ends are in different parts, with of_a and of_b, the parts."""
+    of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    return edges.join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b").select(*columns)
+
+
 def _groups(edges: DataFrame, texts: DataFrame, width: int, similarity: float, partitions: int, rounds: int = 2) -> DataFrame:
     """(node, component) by links of this similarity alone, for candidate edges (a, b, d) that connect every such pair; texts (id, t) are those of their ends.
 
     Each round verifies every text's closest edge out of its part. What verified
     links then leave apart within a cluster of candidates is compared in full.
     """
-    clusters = checkpointed(connected_components(edges))
-    links = parts = None
-    left = edges
+    parts, left = texts.select(F.col("id").alias("node"), F.col("id").alias("component")), edges
     for _ in range(rounds):
         both = left.select(F.col("a").alias("v"), F.col("b").alias("w"), "d").union(left.select(F.col("b").alias("v"), F.col("a").alias("w"), "d"))
         picks = checkpointed(both.groupBy("v").agg(F.min(F.struct("d", "w")).alias("m")).select(F.least("v", "m.w").alias("a"), F.greatest("v", "m.w").alias("b")).distinct())
-        found = _verified(picks, texts, width, similarity, partitions)
-        links = checkpointed(found if links is None else links.union(found))
-        parts = checkpointed(connected_components(links))
-        of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
-        rest = left.join(picks, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-        left = checkpointed(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "d"))
-    more = checkpointed(_completed(clusters, parts, texts, width, similarity))
-    return connected_components(links.union(more)) if more.take(1) else parts
+        parts = _joined(parts, _verified(picks, texts, width, similarity, partitions))
+        left = checkpointed(_crossing(parts, left.join(picks, ["a", "b"], "left_anti"), "a", "b", "d"))
+        if not left.take(1):
+            break
+    torn = checkpointed(_crossing(parts, edges, F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct())
+    if not torn.take(1):
+        return parts
+    clusters = connected_components(torn).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    nodes = parts.join(clusters, "component").select(F.col("node").alias("id"), F.col("component").alias("part"), "cluster")
+    return _joined(parts, _completed(nodes, texts, width, similarity))
 
 
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, budget: int | None = None) -> DataFrame:
