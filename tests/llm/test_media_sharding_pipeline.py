@@ -242,3 +242,18 @@ def test_last_stage(stages):
 
 def test_run_is_the_stages(spark, stages):
     assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, DATA).collect()} == {r.doc_id: r.ids_sha256 for r in stages[-1].collect()}
+
+
+def test_stages_keep_clashing_columns_and_odd_rows(spark):
+    good = "This is a plain sentence about rivers and towns. " * 12
+    texts = [good, good, None, "", "buy!!! now!!! $$$ ||| ||| click", good + "And one more line here.\nWith another one.", "x" * 3000]
+    own = ["score", "predicted", "N_WORDS", "n_removed", "removed", "kept_sha256", "contaminated", "_kept", "id", "tag", "bucket", "c1"]
+    df = spark.createDataFrame([(k if k != 5 else None, t, *[f"{c}{k}" for c in own]) for k, t in enumerate(texts)], ", ".join(["doc_id long, text string", *(f"{c} string" for c in own)])).cache()
+    before = {r.tag: r for r in df.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, DATA)
+        rows = out.collect()
+        assert out.columns == df.columns and rows
+        assert all(r[c] == before[r.tag][c] for r in rows for c in own) and all(r.doc_id == before[r.tag].doc_id for r in rows)
+        assert stage(spark, df.limit(0), DATA).count() == 0
+    assert corpus_pipeline.encode(spark, df, DATA).count() == len(texts)
