@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,10 +66,7 @@ def report(bill: DataFrame) -> DataFrame:
     return rows.withColumn("ratio", bits.percent(F.col("compressed"), F.col("original")))
 
 
-STATE = "struct<f:int,t:int,p:int>"
-
-
-def observed(f: Column, t: Column, bit: Column, saturating: bool = True) -> Column:
+def observed(f: int, t: int, bit: int, saturating: bool = True) -> tuple[int, int, int]:
     """The counts and probability of false after one more bit.
 
     A count at 255 either stays, where the other bit was never seen (probability
@@ -74,21 +74,46 @@ def observed(f: Column, t: Column, bit: Column, saturating: bool = True) -> Colu
     probability is 256 * f / (f + t), fraction dropped. Without saturation the
     counts always halve and the probability is made odd.
     """
-    seen, other = F.when(bit == 1, t).otherwise(f), F.when(bit == 1, f).otherwise(t)
-    full = seen == 255
-    stay = full & (other == 1) & F.lit(saturating)
-    new_seen = F.when(stay, 255).when(full, 129).otherwise(seen + 1)
-    new_other = F.when(full & ~stay, bits.int_div(other + 1, 2)).otherwise(other)
-    nf, nt = F.when(bit == 1, new_other).otherwise(new_seen).cast("int"), F.when(bit == 1, new_seen).otherwise(new_other).cast("int")
-    p = bits.int_div(nf * 256, nf + nt).cast("int")
-    p = F.when(stay, F.when(bit == 1, 0).otherwise(255)).otherwise(p) if saturating else p.bitwiseOR(F.lit(1))
-    return F.struct(nf.alias("f"), nt.alias("t"), p.cast("int").alias("p")).cast(STATE)
-
-
-def adapted(bits_in_order: Column, saturating: bool = True) -> Column:
-    """The state after an array of bits, from one of each."""
-    start = F.struct(F.lit(1).alias("f"), F.lit(1).alias("t"), F.lit(128).alias("p")).cast(STATE)
-    return F.aggregate(bits_in_order, start, lambda s, b: observed(s["f"], s["t"], b, saturating))
+    seen, other = (t, f) if bit else (f, t)
+    if saturating and seen == 255 and other == 1:
+        return f, t, 0 if bit else 255
+    seen, other = (129, (other + 1) // 2) if seen == 255 else (seen + 1, other)
+    f, t = (other, seen) if bit else (seen, other)
+    p = 256 * f // (f + t)
+    return f, t, p if saturating else p | 1
+
+
+def adapted(df: DataFrame, key: str, order: list[str], bit_col: str, saturating: bool = True) -> DataFrame:
+    """(key, n, f, t, p): each key's state after its bits in order, from one of each.
+
+    A key's rows are in one partition, sorted; they pass through the state one by
+    one, so a key of any number of rows takes no more memory than another.
+    """
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, out = None, None, []
+
+        def told() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, pa.int32()) for c in columns[1:])], [key, "n", "f", "t", "p"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for k, bit in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if state is None or k != at:
+                    if state is not None:
+                        out.append((at, *state))
+                    at, state = k, (0, 1, 1, 128)
+                state = (state[0] + 1, *observed(state[1], state[2], bit, saturating))
+            yield told()
+            out = []
+        if state is not None:
+            out.append((at, *state))
+            yield told()
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.repartition(key).sortWithinPartitions(key, *order).select(key, bit_col)
+    return rows.mapInArrow(kernel, f"`{key}` {kind}, n int, f int, t int, p int")
 
 
 def implied(false: Column, true: Column) -> Column:

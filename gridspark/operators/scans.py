@@ -103,27 +103,30 @@ def ranked_lengths(counts: DataFrame) -> DataFrame:
     return counts.withColumn("_r", rank).withColumn("len", (2 * bits.floor_log2(F.col("_r")) + 1).cast("int")).drop("_r")
 
 
-def balanced_splits(sizes: Column, most: int = 8) -> Column:
-    """Last row of each split of a sorted array of cumulative sizes, near equal shares of the size.
+def balanced_splits(df: DataFrame, key: str, order: list[str], size: str, most: int = 8) -> DataFrame:
+    """(key, split_id, first_row, last_row, size): each key's rows, in order by a rising size, in near equal shares of the size.
 
     One split under 125,000 bytes, two under 250,000, four under 500,000, else
     ``most``, and no more than half the rows. A cut is the last row that is
     smaller than its share of the size; where two cuts coincide, rows are dealt
-    evenly instead.
+    evenly instead. Rows smaller than a share are counted by partial aggregates, so
+    no key's rows meet but in the order's window.
     """
-    n = F.size(sizes)
-    base, total = F.get(sizes, 0), F.element_at(sizes, -1) - F.get(sizes, 0)
-    by_rows = F.greatest(F.lit(1), F.least(F.lit(most), bits.int_div(n, 2))).cast("int")
-    tier = F.when(total < 125_000, 1).when(total < 250_000, 2).when(total < 500_000, 4).otherwise(most)
-    count = F.least(by_rows, tier)
-    inner = F.when(count > 1, F.sequence(F.lit(1), count - 1)).otherwise(F.array().cast("array<int>"))
-
-    def cut(i: Column) -> Column:
-        goal = base + bits.int_div(total * i, count)
-        below = F.size(F.filter(F.slice(sizes, 2, F.greatest(n - 1, F.lit(0))), lambda s: s < goal))
-        return F.greatest(below, F.lit(1))
-
-    fair = F.transform(inner, cut)
-    even = F.transform(inner, lambda i: bits.int_div(n * i, count).cast("int"))
-    chosen = F.when(F.size(F.array_distinct(fair)) < F.size(fair), even).otherwise(fair)
-    return F.concat(chosen, F.array((n - 1).cast("int")))
+    w = Window.partitionBy(key).orderBy(*order)
+    rows = df.select(key, (F.row_number().over(w) - 1).alias("rn"), F.col(size).alias("size"))
+    plan = rows.groupBy(key).agg(F.count("*").alias("n"), F.min_by("size", "rn").alias("base"), F.max_by("size", "rn").alias("top")).withColumn("total", F.col("top") - F.col("base"))
+    by_rows = F.greatest(F.lit(1), F.least(F.lit(most), bits.int_div(F.col("n"), 2)))
+    tier = F.when(F.col("total") < 125_000, 1).when(F.col("total") < 250_000, 2).when(F.col("total") < 500_000, 4).otherwise(most)
+    plan = plan.withColumn("count", F.least(by_rows, tier))
+    goal = lambda i: F.col("base") + bits.int_div(F.col("total") * i, F.col("count"))
+    below = [F.sum(((F.col("rn") > 0) & (F.col("size") < goal(i)) & (F.col("count") > i)).cast("int")).alias(f"b{i}") for i in range(1, most)]
+    told = rows.join(plan, key).groupBy(key, "n", "base", "count").agg(*below)
+    inner = lambda a: F.slice(a, 1, (F.col("count") - 1).cast("int"))
+    fair = inner(F.array(*(F.greatest(F.col(f"b{i}"), F.lit(1)) for i in range(1, most))))
+    even = inner(F.array(*(bits.int_div(F.col("n") * i, F.col("count")) for i in range(1, most))))
+    cuts = F.concat(F.when(F.size(F.array_distinct(fair)) < F.size(fair), even).otherwise(fair), F.array(F.col("n") - 1))
+    splits = told.select(key, "base", F.posexplode(F.transform(cuts, lambda x: x.cast("int"))).alias("split_id", "last_row"))
+    ends = splits.join(rows.select(key, F.col("rn").alias("last_row"), F.col("size").alias("end")), [key, "last_row"])
+    before = Window.partitionBy(key).orderBy("split_id")
+    first = F.coalesce(F.lag("last_row").over(before), F.lit(0))
+    return ends.select(key, "split_id", first.alias("first_row"), "last_row", (F.col("end") - F.coalesce(F.lag("end").over(before), F.col("base"))).alias("size"))

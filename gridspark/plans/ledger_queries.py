@@ -66,8 +66,7 @@ SELECT user_id, CAST(rn AS INT) AS n, f, t, p FROM s QUALIFY row_number() OVER (
 
 
 def _states(spark: SparkSession, sf_dir: str, saturating: bool) -> DataFrame:
-    runs = events(spark, sf_dir).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "bit"))), lambda x: x["bit"]).alias("bits"))
-    return runs.select("user_id", F.size("bits").alias("n"), L.adapted(F.col("bits"), saturating).alias("s")).select("user_id", "n", "s.*")
+    return L.adapted(events(spark, sf_dir).select("user_id", "ts", "event_id", "bit"), "user_id", ["ts", "event_id"], "bit", saturating)
 
 
 @query(_recursive(True))

@@ -110,10 +110,7 @@ def balanced_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
     sized = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.sum(F.floor("o_totalprice").cast("long")).over(w).alias("size"))
-    rows = sized.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "size"))), lambda x: x["size"]).alias("s"))
-    cuts = rows.withColumn("cuts", S.balanced_splits(F.col("s"))).select("o_custkey", "s", "cuts", F.posexplode("cuts").alias("split_id", "last_row"))
-    cuts = cuts.withColumn("first_row", F.when(F.col("split_id") == 0, 0).otherwise(F.get("cuts", F.col("split_id") - 1)))
-    return cuts.select("o_custkey", "split_id", "first_row", "last_row", (F.get("s", F.col("last_row")) - F.get("s", F.col("first_row"))).alias("size"))
+    return S.balanced_splits(sized, "o_custkey", ["o_orderkey"], "size")
 
 
 @query("SELECT event_id, value, row_number() OVER (ORDER BY value, event_id) AS rank, CAST(row_number() OVER (ORDER BY value, event_id) AS DOUBLE) / count(*) OVER () AS proportion FROM events")

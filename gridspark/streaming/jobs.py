@@ -55,21 +55,11 @@ def billed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(spark, folder, "category string, is_compressed boolean, bits long, batch int", ["category", "is_compressed"], "batch").drop("batch")
 
 
-def next_state(f: int, t: int, p: int, bit: int) -> tuple[int, int, int]:
-    """One observation of ledger.observed, for the state of a stream."""
-    seen, other = (t, f) if bit else (f, t)
-    if seen == 255 and other == 1:
-        return f, t, 0 if bit else 255
-    seen, other = (129, (other + 1) // 2) if seen == 255 else (seen + 1, other)
-    f, t = (other, seen) if bit else (seen, other)
-    return f, t, 256 * f // (f + t)
-
-
 def _adapt(key: tuple[int], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     n, f, t, p = state.get if state.exists else (0, 1, 1, 128)
     rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
     for bit in rows["bit"].tolist():
-        f, t, p = next_state(f, t, p, bit)
+        f, t, p = L.observed(f, t, bit)
     n += len(rows)
     state.update((n, f, t, p))
     yield pd.DataFrame({"user_id": [key[0]], "n": [n], "f": [f], "t": [t], "p": [p]})

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from gridspark.functions import bits, layouts
 from gridspark.operators import bytestreams, ledger
-from gridspark.streaming.jobs import next_state
 
 
 def column(df, expr):
@@ -79,10 +78,12 @@ def test_adler32(spark):
 
 def test_adaptive_state_saturates(spark):
     bits_ = [0] * 300 + [1] + [0] * 300
-    df = spark.createDataFrame([(bits_,)], "b array<int>")
-    state = df.select(ledger.adapted(F.col("b")).alias("s")).first().s
-    assert tuple(state) == (255, 1, 255)
-    f, t, p = 1, 1, 128
-    for b in bits_:
-        f, t, p = next_state(f, t, p, b)
-    assert (f, t, p) == tuple(state)
+    rows = [(k, i, b) for k in (1, 2, 3) for i, b in enumerate(bits_[: 200 * k + 1])]
+    got = {r.k: (r.n, r.f, r.t, r.p) for r in ledger.adapted(spark.createDataFrame(rows, "k int, i int, b int"), "k", ["i"], "b").collect()}
+    assert got[3] == (601, 255, 1, 255)
+    for k in got:
+        f, t, p = 1, 1, 128
+        for b in bits_[: 200 * k + 1]:
+            f, t, p = ledger.observed(f, t, b)
+        assert got[k] == (200 * k + 1, f, t, p)
+    assert ledger.adapted(spark.createDataFrame([], "k int, i int, b int"), "k", ["i"], "b").count() == 0

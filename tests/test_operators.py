@@ -73,9 +73,14 @@ def test_splits_cover_all_rows(spark):
         for _ in range(n):
             total += rng.randint(0, 9000)
             sizes.append(total)
-        lists.append((sizes,))
-    for r in spark.createDataFrame(lists, "s array<long>").select("s", scans.balanced_splits(F.col("s")).alias("c")).collect():
-        assert r.c[-1] == len(r.s) - 1 and all(a < b for a, b in zip(r.c, r.c[1:]))
+        lists += [(n, i, s) for i, s in enumerate(sizes)]
+    found = {}
+    for r in scans.balanced_splits(spark.createDataFrame(lists, "k int, i int, s long"), "k", ["i"], "s").orderBy("k", "split_id").collect():
+        found.setdefault(r.k, []).append((r.first_row, r.last_row, r.size))
+    for k, splits in found.items():
+        sizes = [s for n, _, s in lists if n == k]
+        assert splits[0][0] == 0 and splits[-1][1] == k - 1 and all(a[1] == b[0] for a, b in zip(splits, splits[1:]))
+        assert all(size == sizes[last] - sizes[first] for first, last, size in splits) and all(a < b for a, b, _ in splits[:-1])
 
 
 def test_packets_cover_the_stream(spark):
