@@ -46,7 +46,7 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchor_runs(raw: np.ndarray, lengths: np.ndarray, width: int, gram: int, rolling: Rolling) -> tuple[np.ndarray, ...]:
+def anchor_runs(raw: np.ndarray, lengths: np.ndarray, width: int, gram: int, rolling: Rolling, settle: bool = True) -> tuple[np.ndarray, ...]:
     """Segments of texts laid end to end: (gram hash, text number, first window, windows, anchor's offset in the segment)."""
     n = len(raw)
     if n < width:
@@ -63,8 +63,45 @@ def anchor_runs(raw: np.ndarray, lengths: np.ndarray, width: int, gram: int, rol
     cut = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]) if len(anchor) else np.zeros(0, bool)
     at = np.flatnonzero(cut)
     count = np.diff(np.append(at, len(anchor)))
-    start = inside[at] - first[text[at]]
-    return h[anchor[at]], text[at], start, count, anchor[at] - inside[at]
+    found = h[anchor[at]], text[at], inside[at], count, anchor[at] - inside[at]
+    h, text, start, count, offset = _settled(raw, *found, width, gram) if settle else found
+    return h, text, start - first[text], count, offset
+
+
+#: Stands as a segment's offset where its windows all repeat within the text itself; at most so many windows a segment.
+WHOLE, MOST_WINDOWS = 0xFFFF, 50_000
+
+
+def _settled(raw: np.ndarray, h: np.ndarray, text: np.ndarray, start: np.ndarray, count: np.ndarray, offset: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Segments with those of a short period's stretch put together.
+
+    Anchors of one gram at a steady distance d under ``gram`` bytes show that the
+    bytes from the first to the end of the last have period d. If that stretch has
+    2 * d windows or more, each of them recurs in it. Its first segments, of d windows
+    and more, stand for it elsewhere; the others become one, marked WHOLE.
+    """
+    anchor = start + offset
+    d = np.diff(anchor)
+    steady = (h[1:] == h[:-1]) & (text[1:] == text[:-1]) & (d < gram)
+    lo, hi = runs(np.where(steady, d, -1))
+    keep, more = np.ones(len(h), bool), []
+    for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
+        if not steady[a] or b - a < 4:
+            continue
+        step, begin, end = int(d[a]), int(anchor[a]), int(anchor[b]) + gram
+        if end - begin - width + 1 < 2 * step or not np.array_equal(raw[begin : end - step], raw[begin + step : end]):
+            continue
+        whole = np.flatnonzero((start[a : b + 1] >= begin) & (start[a : b + 1] + count[a : b + 1] + width - 1 <= end)) + a
+        rest = whole[np.cumsum(count[whole]) - count[whole] >= step]  # those after the first step windows
+        if len(rest) > 1:
+            keep[rest] = False
+            first, last = int(start[rest[0]]), int(start[rest[-1]] + count[rest[-1]])
+            more += [(h[a], text[a], s, min(MOST_WINDOWS, last - s), WHOLE) for s in range(first, last, MOST_WINDOWS)]
+    if not more:
+        return h, text, start, count, offset
+    columns = [np.concatenate([x[keep], np.array(y, x.dtype)]) for x, y in zip((h, text, start, count, offset), zip(*more, strict=True), strict=True)]
+    order = np.lexsort((columns[2], columns[1]))
+    return tuple(c[order] for c in columns)
 
 
 def _place_blob(tag: np.ndarray, doc: np.ndarray, ids: np.ndarray, tags: np.ndarray, start: np.ndarray, count: np.ndarray, offset: np.ndarray) -> bytes:
@@ -106,7 +143,7 @@ def _rows(rows: Iterator[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "payload": pa.array([r[2] for r in rows], pa.binary())})
 
 
-def _anchors(width: int, gram: int, buckets: int):
+def _anchors(width: int, gram: int, buckets: int, settle: bool = True):
     """documents -> gram hashes by bucket (kind 0), and segments that this flush shows to repeat (kind 1)."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,11 +155,11 @@ def _anchors(width: int, gram: int, buckets: int):
             held.sort(key=lambda x: x[:3])
             ids, tags, shift = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.uint32), np.array([x[2] for x in held], np.int64)
             raw = np.frombuffer(b"".join([x[3] for x in held]), np.uint8)
-            h, doc, start, count, offset = anchor_runs(raw, np.array([len(x[3]) for x in held], np.int64), width, gram, rolling)
+            h, doc, start, count, offset = anchor_runs(raw, np.array([len(x[3]) for x in held], np.int64), width, gram, rolling, settle)
             start = start + shift[doc]
             order = np.argsort(h, kind="stable")
             same = h[order][1:] == h[order][:-1]
-            again = np.zeros(len(h), bool)
+            again = offset == WHOLE
             again[order[1:][same]] = again[order[:-1][same]] = True
             yield from _rows((part % buckets, 1, blob) for part, blob in _by_part(ids[doc[again]], tags[doc[again]], start[again], count[again], offset[again], buckets)).to_batches()
             # One of each repeated hash still tells its bucket that the hash exists: kind 2, already settled here.
@@ -217,16 +254,20 @@ def _segments(width: int, gram: int, buckets: int, text_col: str, id_col: str, r
             for row in zip(ids.tolist(), tags.tolist(), start.tolist(), count.tolist(), offset.tolist(), strict=True):
                 wanted[row[:2]].add(row[2:])
         found: dict[tuple[int, bytes], list[tuple[int, int, int]]] = defaultdict(list)
+        whole: list[tuple[int, int, int, int]] = []
         for table in unshipped(left.column("payload")):
             for doc, tag, text in zip(id_array(table.column(id_col)).tolist(), table.column("tag").to_pylist(), table.column(text_col).to_pylist(), strict=True):
                 places = wanted.pop((doc, tag), None)  # identical rows count once
                 if places:
                     raw = text.encode()
                     for start, count, offset in places:
+                        if offset == WHOLE:
+                            whole.append((doc, tag, start, start + count + width - 1))
+                            continue
                         before = min(start, reach or 0)
                         # With reach the place of the segment's windows goes in the tag's stead.
                         found[offset + before, raw[start - before : start + count + width - 1 + (reach or 0)]].append((doc, tag if reach is None else before << 16 | count, start - before))
-        whole, by_bucket = [], defaultdict(list)
+        by_bucket = defaultdict(list)
         hashes = gram_hashes(np.frombuffer(b"".join([raw[o : o + gram] for o, raw in found]), np.uint8).reshape(-1, gram))
         for h, ((offset, raw), places) in zip(hashes.tolist(), found.items(), strict=True):
             if h in hot:
@@ -438,7 +479,7 @@ def _segment_frames(rows: DataFrame, id_col: str, text_col: str, width: int, gra
     kinds = "bucket int, kind int, payload binary"
     # An anchor takes a byte at least. Groups whose members are to be listed can't be cut.
     limit = max(HOT, parts * bucket_bytes // MOST_HOT) if reach is None else 1 << 62
-    anchors = place.mapInArrow(_anchors(width, gram, parts), kinds).repartitionById(parts, F.col("bucket"))
+    anchors = place.mapInArrow(_anchors(width, gram, parts, reach is None), kinds).repartitionById(parts, F.col("bucket"))
     repeated = checkpointed(anchors.groupBy("bucket").applyInArrow(_repeated(parts, limit), PACKED))
     hot, base = {}, parts
     for (raw,) in repeated.where("part < 0").select("payload").collect():  # MOST_HOT grams at most
