@@ -89,7 +89,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     base = without_columns(df, made)
     at_text = base.columns.index(text_col)
     rows = numbered(base)
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").alias("text"))
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").alias("text")).where("octet_length(text) > 0")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     schema = ", ".join([own, *(f"{k} {v}" for k, v in made.items())])

@@ -435,12 +435,14 @@ def _short_links(reps: DataFrame, similarity: float) -> DataFrame:
     rows = reps.where("prefix is not null").select("rep", "n", "parity", F.explode("prefix").alias("token"))
     shared = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token", F.ceil(F.col("c") / SIDE).cast("int").alias("chunks"))
     rows = rows.join(shared, "token").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    parts = 8 * int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shuffle = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(8 * shuffle, (reps.agg(F.sum(F.size("prefix"))).first()[0] or 0) // (16 * SIDE))
     cell = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("token"), F.lit(parts))).otherwise(F.col("token")).alias("cell")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
     left = rows.select(cell, F.col("chunk").alias("i"), F.explode(F.filter(every, lambda j: j >= F.col("chunk"))).alias("j"), "token", "rep", "n", "parity", F.lit(True).alias("left"))
     right = rows.where("chunk > 0").select(cell, F.explode(F.filter(every, lambda i: i < F.col("chunk"))).alias("i"), F.col("chunk").alias("j"), "token", "rep", "n", "parity", F.lit(False).alias("left"))
-    return left.union(right).groupBy("cell", "i", "j").applyInArrow(_close(similarity), "a long, b long, d long")
+    dealt = left.union(right).repartition(max(shuffle, parts // 8), "cell", "i", "j")
+    return dealt.groupBy("cell", "i", "j").applyInArrow(_close(similarity), "a long, b long, d long")
 
 
 def _verified(edges: DataFrame, texts: DataFrame, width: int, similarity: float, partitions: int) -> DataFrame:
@@ -528,7 +530,7 @@ def _completed(nodes: DataFrame, texts: DataFrame, width: int, similarity: float
     """
     sizes = nodes.groupBy("cluster", "part").agg(F.count("*").alias("n"))
     whole = sizes.groupBy("cluster").agg(F.sum("n").alias("total"), F.max(F.struct("n", "part")).alias("most"))
-    torn = whole.where("total > most.n").select("cluster", F.col("most.part").alias("main"), F.ceil(F.col("most.n") / FULL).cast("int").alias("m"), F.ceil((F.col("total") - F.col("most.n")) / FULL).cast("int").alias("r"))
+    torn = checkpointed(whole.where("total > most.n").select("cluster", F.col("most.part").alias("main"), F.ceil(F.col("most.n") / FULL).cast("int").alias("m"), F.ceil((F.col("total") - F.col("most.n")) / FULL).cast("int").alias("r")))
     open_ = checkpointed(nodes.join(torn, "cluster").withColumn("rest", F.col("part") != F.col("main")))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -543,7 +545,9 @@ def _completed(nodes: DataFrame, texts: DataFrame, width: int, similarity: float
     among = F.transform(upto(r), lambda x: cell(F.least(x, k), F.greatest(x, k)))
     cells = F.when(F.col("rest"), F.concat(among, F.transform(upto(m), lambda x: cell(r + x, k)))).otherwise(F.transform(upto(r), lambda x: cell(r + k, x)))
     sent = dealt.select("cluster", "id", "part", "shingles", F.explode(cells).alias("c")).select("cluster", "c.i", "c.j", "id", "part", "shingles")
-    return sent.groupBy("cluster", "i", "j").applyInArrow(_compared(similarity), "a long, b long")
+    pairs = torn.agg(F.sum(F.col("r") * (F.col("r") + 1) / 2 + F.col("r") * F.col("m"))).first()[0] or 0
+    shuffle = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(max(shuffle, int(pairs) // 16), "cluster", "i", "j").groupBy("cluster", "i", "j").applyInArrow(_compared(similarity), "a long, b long")
 
 
 def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
