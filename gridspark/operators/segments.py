@@ -142,22 +142,28 @@ def coefficient_tokens(v: Column, suffix: Column) -> Column:
     return F.concat(unary, sign, rest)
 
 
-def tokens(blk: DataFrame) -> DataFrame:
-    """(category, zeros, ones) over the interior and edge coefficients of all blocks.
+#: Regions of a block in the order of coding: name, first coefficient, how many, and bits of the count.
+REGIONS = [("7x7", 0, 49, 6), ("EDGE", ROW.start, 7, 3), ("EDGE", COLUMN.start, 7, 3)]
+
+
+def token_list(coef: Column) -> Column:
+    """A block's tokens in order as an array of {category, bit}.
 
     A region's coefficients are told up to its last nonzero one, after their
     count: six bits for the interior, three for each edge.
     """
-    regions = [("7x7", 0, 49, 6), ("EDGE", ROW.start, 7, 3), ("EDGE", COLUMN.start, 7, 3)]
-
 
     def told(suffix: str, first: int, n: int, width: int) -> list[Column]:
-        some = F.slice("coef", first + 1, n)
+        some = F.slice(coef, first + 1, n)
         count = F.size(F.filter(some, lambda x: x != 0))
         last = F.array_max(F.transform(some, lambda x, i: F.when(x != 0, i + 1).otherwise(0)))
         counted = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.struct(F.lit(f"NZ_{suffix}").alias("category"), (F.call_function("shiftright", count, i) % 2).cast("int").alias("bit")))
         return [counted, F.flatten(F.transform(F.slice(some, 1, last), lambda v: coefficient_tokens(v, F.lit(suffix))))]
 
-    parts = [c for r in regions for c in told(*r)]
-    rows = blk.select(F.explode(F.concat(*parts)).alias("t")).select("t.*")
+    return F.concat(*(c for r in REGIONS for c in told(*r)))
+
+
+def tokens(blk: DataFrame) -> DataFrame:
+    """(category, zeros, ones) over the interior and edge coefficients of all blocks."""
+    rows = blk.select(F.explode(token_list(F.col("coef"))).alias("t")).select("t.*")
     return rows.groupBy("category").agg(F.sum((F.col("bit") == 0).cast("long")).alias("zeros"), F.sum((F.col("bit") == 1).cast("long")).alias("ones"))

@@ -208,11 +208,11 @@ def zero_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_symbols(spark, sf_dir)
 
 
-def run_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each nonzero AC coefficient in scan order with the zeros before it and its size class."""
+def run_symbols(spark: SparkSession, sf_dir: str, value: bool = False) -> DataFrame:
+    """Each nonzero AC coefficient in scan order with the zeros before it and its size class, and on request its value v."""
     scan = blocks(spark, sf_dir).select("vec_id", F.posexplode(B.permuted(F.col("coef"), ZIGZAG_TO_ALIGNED)).alias("pos", "v")).where("v <> 0 and pos > 0")
     run = F.col("pos") - F.lag("pos", 1, 0).over(Window.partitionBy("vec_id").orderBy("pos")) - 1
-    return scan.withColumn("r", run).select("vec_id", "pos", bits.int_div(F.col("r"), 16).cast("int").alias("long_runs"), (F.col("r") % 16).alias("run"), bits.bit_length(F.col("v")).alias("size"))
+    return scan.withColumn("r", run).select("vec_id", "pos", bits.int_div(F.col("r"), 16).cast("int").alias("long_runs"), (F.col("r") % 16).alias("run"), bits.bit_length(F.col("v")).alias("size"), *(["v"] if value else []))
 
 
 @query(f"""WITH {BLK}

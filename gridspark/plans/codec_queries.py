@@ -101,3 +101,22 @@ SELECT category, count(*) FILTER (bit = 0) AS zeros, count(*) FILTER (bit = 1) A
 def block_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all blocks by category."""
     return G.tokens(blocks(spark, sf_dir))
+
+
+def _tokens_sql(name: str, first: int, n: int, width: int) -> str:
+    size = "CASE WHEN v = 0 THEN 0 ELSE length(bin(abs(v))) END"
+    some = f"coef[{first + 1}:{first + n}]"
+    last = f"coalesce(list_max(list_transform(range(1, {n} + 1), lambda i: CASE WHEN ({some})[i] <> 0 THEN i ELSE 0 END)), 0)"
+    unary = f"list_transform(range(least({size}, 10) + 1), lambda i: (['BITMAP', 'EXP1', 'EXP2', 'EXP3', 'EXPN'])[least(i, 4) + 1] || '_{name}:' || CASE WHEN {size} <> i THEN '1' ELSE '0' END)"
+    sign = f"CASE WHEN v <> 0 THEN ['SIGN_{name}:' || CASE WHEN v >= 0 THEN '1' ELSE '0' END] ELSE [] END"
+    rest = f"list_transform(range(greatest({size} - 1, 0)), lambda i: 'RES_{name}:' || CAST((abs(v) >> i) & 1 AS VARCHAR))"
+    counted = f"list_transform(range({width}), lambda i: 'NZ_{name}:' || CAST((CAST(len(list_filter({some}, lambda x: x <> 0)) AS BIGINT) >> i) & 1 AS VARCHAR))"
+    return f"list_concat({counted}, flatten(list_transform(({some})[1:{last}], lambda v: list_concat(list_concat({unary}, {sign}), {rest}))))"
+
+
+@query(f"""WITH {BLK}, t AS (SELECT vec_id, list_concat(list_concat({_tokens_sql(*_REGIONS[0])}, {_tokens_sql(*_REGIONS[1])}), {_tokens_sql(*_REGIONS[2])}) AS t FROM blk)
+SELECT vec_id, CAST(len(t) AS INT) AS n_tokens, md5(array_to_string(t, ',')) AS md5 FROM t""")
+def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each block's tokens in the order of coding, by their digest."""
+    told = F.transform("t", lambda x: F.concat(x["category"], F.lit(":"), x["bit"]))
+    return blocks(spark, sf_dir).select("vec_id", G.token_list(F.col("coef")).alias("t")).select("vec_id", F.size("t").alias("n_tokens"), F.md5(F.array_join(told, ",")).alias("md5"))

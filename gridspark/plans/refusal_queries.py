@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
@@ -14,6 +14,7 @@ from ..operators import refusals as R
 from ..operators import segments as G
 from ..sources.views import blocks, events, table
 from ..streaming.jobs import shared_folder
+from .block_queries import BIN_SQL, NEAR
 from .layout_queries import IMAGES, PACKETS, images
 from .ledger_queries import totals
 from .registry import BITLEN, BLK, query, sql_list
@@ -191,3 +192,35 @@ def pixel_dc(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = B.with_neighbours(p, e=B.edge_pixels(F.col("p"), (F.col("dc") * Q0).cast("long")))
     guess = B.dc_from_pixels(F.col("p"), F.col("left_e.right"), F.col("above_e.below"), Q0)
     return near.select("vec_id", "dc", guess.alias("g")).select("vec_id", "g.*", (F.col("dc") - F.col("g.predicted")).alias("error"))
+
+
+CONTEXT_SQL = """CASE WHEN l IS NOT NULL AND a IS NOT NULL THEN (len(list_filter(l[1:49], lambda v: v <> 0)) + len(list_filter(a[1:49], lambda v: v <> 0)) + 2) // 4
+  WHEN l IS NOT NULL THEN (len(list_filter(l[1:49], lambda v: v <> 0)) + 1) // 2 WHEN a IS NOT NULL THEN (len(list_filter(a[1:49], lambda v: v <> 0)) + 1) // 2 ELSE 0 END"""
+
+
+@query(f"""WITH {NEAR},
+x AS (SELECT CAST({CONTEXT_SQL} AS INT) AS ctx, CAST(len(list_filter(coef[1:49], lambda v: v <> 0)) AS BIGINT) AS k FROM n),
+b AS (SELECT CAST({BIN_SQL} AS INT) AS bin, k, unnest(range(6)) AS place FROM x)
+SELECT bin, CAST(place AS INT) AS place, CAST(k >> (place + 1) AS BIGINT) AS higher, count(*) FILTER ((k >> place) & 1 = 0) AS f, count(*) FILTER ((k >> place) & 1 = 1) AS t FROM b GROUP BY ALL""")
+def count_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six bits of each interior count by the slot that codes them: the neighbours' expected count, the bit's place, and the bits above it."""
+    near = B.with_neighbours(blocks(spark, sf_dir), n=B.nonzeros(F.col("coef"), 0, 49)).select("n", B.count_bin(B.count_context(F.col("left_n"), F.col("above_n"))).alias("bin"))
+    shift = lambda by: F.call_function("shiftright", F.col("n"), by)
+    rows = near.select("bin", "n", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("place"))
+    rows = rows.select("bin", "place", shift(F.col("place") + 1).cast("long").alias("higher"), (shift(F.col("place")) % 2).alias("bit"))
+    count = lambda bit: F.sum((F.col("bit") == bit).cast("long"))
+    return rows.groupBy("bin", "place", "higher").agg(count(0).alias("f"), count(1).alias("t"))
+
+
+@query(f"""WITH {BLK},
+k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY "by", bx) - 1 AS place, count(*) OVER (PARTITION BY image_id) * (1 + image_id % 4) // 5 AS bound FROM blk),
+z AS (SELECT image_id, vec_id, place < bound AS kept, bound, CASE WHEN place < bound THEN coef ELSE list_transform(coef, lambda v: 0) END AS c FROM k)
+SELECT image_id, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS made, CAST(any_value(bound) AS BIGINT) AS bound, CAST(sum(list_sum(c)) AS BIGINT) AS total, CAST(max(CASE WHEN kept THEN vec_id END) AS BIGINT) AS last FROM z GROUP BY image_id""")
+def truncated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images that end early: the bound on their blocks is kept, and the blocks beyond it are made up of zeros."""
+    image = Window.partitionBy("image_id")
+    rows = blocks(spark, sf_dir).withColumn("place", F.row_number().over(image.orderBy("by", "bx")) - 1).withColumn("bound", bits.int_div(F.count("*").over(image) * (1 + F.col("image_id") % 4), 5))
+    rows = rows.withColumn("kept", F.col("place") < F.col("bound"))
+    rows = rows.withColumn("c", F.when(F.col("kept"), F.col("coef")).otherwise(F.transform("coef", lambda v: F.lit(0))))
+    count = lambda c: F.sum(c.cast("long"))
+    return rows.groupBy("image_id").agg(count(F.col("kept")).alias("kept"), count(~F.col("kept")).alias("made"), F.first("bound").alias("bound"), F.sum(F.aggregate("c", F.lit(0).cast("long"), lambda s, v: s + v)).alias("total"), F.max(F.when(F.col("kept"), F.col("vec_id"))).alias("last"))

@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
+from ..functions.layouts import ZIGZAG_TO_ALIGNED
 from ..operators import scans as S
 from ..operators.ranking import ranked
-from ..sources.views import events, lines, table
+from ..sources.views import blocks, events, lines, table
 from .block_queries import Z2A, run_symbols
 from .registry import BLK, query
 
+# The symbols of sixteen zeros and of a block's end.
+LONG_RUN, END = 0xF0, 0x00
+
 LINES = """l AS (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS rn, CAST(l_quantity AS BIGINT) AS qty FROM lineitem)"""
 DELTAS = f"""{LINES},
@@ -67,6 +71,34 @@ def symbol_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.canonical_codes(S.ranked_lengths(counts)).withColumn("total_bits", F.col("cnt") * (F.col("len") + F.col("symbol") % 16))
 
 
+@query(f"""WITH {BLK},
+z AS (SELECT vec_id, unnest(list_transform({Z2A}, lambda i: coef[i])) AS v, CAST(unnest(range(64)) AS INT) AS pos FROM blk),
+r AS (SELECT vec_id, pos, v, pos - lag(pos, 1, 0) OVER (PARTITION BY vec_id ORDER BY pos) - 1 AS run FROM z WHERE v <> 0 AND pos > 0),
+s AS (SELECT *, length(bin(abs(v))) AS size, CAST((run % 16) * 16 + length(bin(abs(v))) AS INT) AS symbol FROM r),
+ended AS (SELECT vec_id FROM z WHERE pos = 63 AND v = 0),
+counts AS (SELECT symbol, count(*) AS cnt FROM s GROUP BY symbol UNION ALL SELECT 240, CAST(sum(run // 16) AS BIGINT) FROM s HAVING sum(run // 16) > 0 UNION ALL SELECT 0, count(*) FROM ended HAVING count(*) > 0), {CODES},
+b AS (SELECT symbol, lpad(bin(code), len, '0') AS bits FROM codes),
+c AS (
+  SELECT vec_id, string_agg(repeat(coalesce((SELECT bits FROM b WHERE symbol = 240), ''), CAST(run // 16 AS BIGINT)) || bits || lpad(bin(CASE WHEN v > 0 THEN v ELSE v - 1 + (1 << size) END), CAST(size AS INT), '0'), '' ORDER BY pos) AS bits
+  FROM s JOIN b USING (symbol) GROUP BY vec_id),
+w AS (SELECT blk.vec_id, coalesce(c.bits, '') || CASE WHEN e.vec_id IS NOT NULL THEN (SELECT bits FROM b WHERE symbol = 0) ELSE '' END AS bits FROM blk LEFT JOIN c ON c.vec_id = blk.vec_id LEFT JOIN ended e ON e.vec_id = blk.vec_id)
+SELECT vec_id, CAST(length(bits) AS INT) AS n_bits, md5(bits) AS md5 FROM w""")
+def scan_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coded bits of each block's scan: codes of its symbols, long runs and end, with the values' own bits between."""
+    symbols = run_symbols(spark, sf_dir, value=True).withColumn("symbol", F.col("run") * 16 + F.col("size"))
+    last = blocks(spark, sf_dir).select("vec_id", (F.get("coef", ZIGZAG_TO_ALIGNED[63]) == 0).alias("ended"))
+    counts = symbols.groupBy("symbol").agg(F.count("*").alias("cnt")).union(symbols.select(F.lit(LONG_RUN), F.sum("long_runs"))).union(last.where("ended").select(F.lit(END), F.count("*"))).where("cnt > 0")
+    # A code table has a row per symbol, 256 at most.
+    codes = F.broadcast(S.canonical_codes(S.ranked_lengths(counts)).select("symbol", F.lpad(F.bin("code"), F.col("len"), F.lit("0")).alias("bits")))
+    of = lambda symbol, name: F.broadcast(codes.agg(F.coalesce(F.max(F.when(F.col("symbol") == symbol, F.col("bits"))), F.lit("")).alias(name)))
+    own = F.lpad(F.bin(bits.to_envelope(F.col("v").cast("long"), F.col("size"))), F.col("size"), F.lit("0"))
+    told = symbols.join(codes, "symbol").join(of(LONG_RUN, "zeros")).select("vec_id", F.struct("pos", F.concat(F.repeat("zeros", F.col("long_runs")), "bits", own).alias("b")).alias("x"))
+    scans = told.groupBy("vec_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]), "").alias("bits"))
+    whole = last.join(scans, "vec_id", "left").join(of(END, "end"))
+    line = F.concat(F.coalesce("bits", F.lit("")), F.when(F.col("ended"), F.col("end")).otherwise(""))
+    return whole.select("vec_id", F.length(line).alias("n_bits"), F.md5(line).alias("md5"))
+
+
 @query("""WITH p AS (SELECT * FROM events WHERE event_type = 'purchase'), m AS (SELECT * FROM events WHERE event_type = 'click')
 SELECT p.event_id, m.event_id AS found_event_id, CAST(epoch_us(p.ts) - epoch_us(m.ts) AS BIGINT) AS past_us
 FROM p ASOF LEFT JOIN m ON p.user_id = m.user_id AND p.ts > m.ts""")
