@@ -47,6 +47,24 @@ def segments(raw: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), start, step)["found"]
 
 
+def scan_parts(raw: Column, found: Column) -> Column:
+    """{scan, restarts, trailing} of a whole image: the bytes between its header and its end without fillers and restart marks, how many marks there were, and what follows the end.
+
+    scan is null where the header has no scan segment; an image without an end has no trailing bytes.
+    """
+    last = F.get(F.filter(found, lambda s: s["kind"] == SCAN), 0)
+    body = F.decode(F.substring(raw, last["offset"] + last["len"] + 3, F.length(raw)), "ISO-8859-1")
+    end = F.instr(body, F.lit("\xff\xd9"))
+    data = F.when(end > 0, F.substring(body, F.lit(1), end - 1)).otherwise(body)
+    plain = F.regexp_replace(data, "\xff[\xd0-\xd7]", "")
+    encode = lambda s: F.encode(s, "ISO-8859-1")
+    return F.struct(
+        bits.unstuffed(encode(plain), 0xFF).alias("scan"),
+        F.size(F.regexp_extract_all(data, F.lit("(\xff[\xd0-\xd7])"), F.lit(1))).alias("restarts"),
+        encode(F.when(end > 0, F.substring(body, end + 2, F.length(body))).otherwise("")).alias("trailing"),
+    )
+
+
 def rebuilt(found: Column) -> Column:
     """A header of the needed segments alone, in their order."""
     kept = F.filter(found, lambda s: s["kind"].isin(*KEPT))

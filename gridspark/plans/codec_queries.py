@@ -60,6 +60,18 @@ def header_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headers(spark, sf_dir).select("image_id", F.hex(G.rebuilt(G.segments(F.col("raw")))).alias("header"))
 
 
+@query("""SELECT p_partkey AS image_id, upper(md5(CAST(p_partkey AS VARCHAR)) || md5(CAST(p_size AS VARCHAR)) || 'ff') AS scan, CAST(1 + p_partkey % 2 AS INT) AS restarts, upper(substr(md5(CAST(p_partkey AS VARCHAR)), 1, CAST(2 * (p_partkey % 4) AS BIGINT))) AS trailing FROM part""")
+def scan_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole images: their scan's bytes without fillers and restart marks, the marks counted, and the garbage after their end."""
+    k = F.col("p_partkey")
+    digest = lambda c: F.unhex(F.md5(c.cast("string")))
+    data = F.concat(bits.stuffed(digest(k), 0xFF), F.unhex(F.when(k % 2 == 0, "FFD3").otherwise("FFD0FFD7")), bits.stuffed(F.concat(digest(F.col("p_size")), F.unhex(F.lit("FF"))), 0xFF))
+    raw = F.concat(F.unhex(F.lit("FFD8")), G.segment(0xE0, F.unhex(F.lit("FFD9AA"))), G.segment(G.SCAN, F.unhex(F.lit("010100003F00"))), data, F.unhex(F.lit("FFD9")), F.substring(digest(k), F.lit(1), (k % 4).cast("int")))
+    rows = table(spark, sf_dir, "part").select(k.alias("image_id"), raw.alias("raw"))
+    parts = rows.select("image_id", G.scan_parts(F.col("raw"), G.segments(F.col("raw"))).alias("s"))
+    return parts.select("image_id", F.hex("s.scan").alias("scan"), "s.restarts", F.hex("s.trailing").alias("trailing"))
+
+
 LE = "substr(lpad(hex({0}), 8, '0'), 7, 2) || substr(lpad(hex({0}), 8, '0'), 5, 2)"
 
 
