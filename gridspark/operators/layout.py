@@ -127,6 +127,29 @@ def interleaved(g: DataFrame) -> DataFrame:
     return rows.withColumn("dpos", place).withColumn("padding", (F.col("dpos") % F.col("bch") >= F.col("nch")) | (bits.int_div(F.col("dpos"), F.col("bch")) >= F.col("ncv")))
 
 
+def interleaved_totals(g: DataFrame) -> DataFrame:
+    """(image_id, component, n, last, checksum, padding) of ``interleaved`` in closed form, without a row per block.
+
+    checksum adds up place times number in the scan, from 1. Both are linear in a
+    unit's row and column, so their products' sum over the grid takes only the sums
+    of numbers and of squares; each of a unit's blocks, four by four at most, has a
+    term of its own.
+    """
+    total = lambda m: bits.int_div(m * (m - 1), 2)
+    squares = lambda m: bits.int_div((m - 1) * m * (2 * m - 1), 6)
+    m, r, sh, own = F.col("mcuh"), F.col("mcuv"), F.col("sh").cast("long"), (F.col("sh") * F.col("sv")).cast("long")
+
+    def term(sub: Column) -> Column:
+        place, number = bits.int_div(sub, sh) * F.col("bch") + sub % sh, sub + 1  # of the first unit's block
+        by_row, number_by_row = F.col("sv") * F.col("bch"), m * own
+        product = r * place * number + (place * number_by_row + by_row * number) * total(r) + by_row * number_by_row * squares(r)
+        single = own * (r * place + by_row * total(r)) + sh * (r * number + number_by_row * total(r))
+        return m * product + total(m) * single + r * sh * own * squares(m)
+
+    checksum = F.aggregate(F.transform(F.sequence(F.lit(0).cast("long"), own - 1), term), F.lit(0).cast("long"), lambda a, b: a + b)
+    return g.select("image_id", "component", F.col("bc").alias("n"), (F.col("bc") - 1).alias("last"), checksum.alias("checksum"), (F.col("bc") - F.col("nc")).alias("padding"))
+
+
 def non_interleaved(g: DataFrame) -> DataFrame:
     """(.., step, dpos, countdown, restart): a component's blocks that hold pixels in raster order; a restart comes before each one that ``every`` blocks precede since the last (0: none)."""
     rows = g.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nch") * F.col("ncv") - 1)))

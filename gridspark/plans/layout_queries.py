@@ -158,10 +158,8 @@ SELECT image_id, component, count(*) AS n, max(dpos) AS last, CAST(sum(dpos * (u
 
 @query(SCAN_SQL)
 def scan_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of each whole image in interleaved scan order: places, the last one, and padding blocks."""
-    order = F.col("unit") * F.col("sh") * F.col("sv") + F.col("sub") + 1
-    rows = Y.interleaved(Y.geometry(images(spark, sf_dir)))
-    return rows.groupBy("image_id", "component").agg(F.count("*").alias("n"), F.max("dpos").alias("last"), F.sum(F.col("dpos") * order).alias("checksum"), F.sum(F.col("padding").cast("long")).alias("padding"))
+    """Blocks of each whole image in interleaved scan order: places, the last one, and padding blocks; in closed form."""
+    return Y.interleaved_totals(Y.geometry(images(spark, sf_dir)))
 
 
 @query("""WITH p AS (SELECT p_partkey, CAST(p_size AS BIGINT) AS a, p_partkey % 64 + 1 AS b, CAST(p_size * 8 AS BIGINT) AS n, CAST(1 + p_size % 2 AS BIGINT) AS m FROM part)
@@ -177,8 +175,10 @@ def sampling_multiples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SCAN_SQL)
 def scan_positions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Another name of scan_positions."""
-    return scan_positions(spark, sf_dir)
+    """The same with a row for each block, which is what a scan of the blocks themselves needs."""
+    order = F.col("unit") * F.col("sh") * F.col("sv") + F.col("sub") + 1
+    rows = Y.interleaved(Y.geometry(images(spark, sf_dir)))
+    return rows.groupBy("image_id", "component").agg(F.count("*").alias("n"), F.max("dpos").alias("last"), F.sum(F.col("dpos") * order).alias("checksum"), F.sum(F.col("padding").cast("long")).alias("padding"))
 
 
 @query(f"""WITH {IMAGES},
