@@ -299,8 +299,15 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that share the kept id all stay, as do rows with a null id.
     """
-    kept = near_duplicates(df, id_col, text_col, budget).where("id = component").select(F.col("id").alias("_kept")).distinct()
-    return df.join(kept, df[id_col].cast("long") == kept["_kept"], "left_semi").unionByName(df.where(F.col(id_col).isNull()))
+    return _without(df, id_col, near_duplicates(df, id_col, text_col, budget))
+
+
+def _without(df: DataFrame, id_col: str, found: DataFrame) -> DataFrame:
+    """The rows of df less those with ids that aren't the component of any of their rows in found (id, component); null ids stay."""
+    own = F.max(F.col("id") == F.col("component"))
+    gone = checkpointed(found.where("id is not null").groupBy("id").agg(own.alias("own")).where("not own").select(F.col("id").alias("_gone")))
+    small = gone.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(gone) if small else gone, df[id_col].cast("long") == gone["_gone"], "left_anti")
 
 
 # -- near copies by similarity -------------------------------------------------
@@ -314,7 +321,7 @@ SHORT = 64
 #: Rows that one side of a task takes of a common shingle, or of a group that is compared in full.
 SIDE = 4096
 FULL = 1024
-#: Ids of texts in candidate pairs that are broadcast; with more, texts are shuffled once to meet them.
+#: Ids of texts in candidate pairs, or of those to remove, that are broadcast; with more, texts are shuffled once to meet them.
 BROADCAST_IDS = 1 << 20
 #: Edges of a hub that one copy of its text serves.
 HUB = 64
@@ -640,5 +647,4 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def without_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of df of which each group of similar texts keeps the one with the smallest id; rows with a null id stay."""
-    kept = similar_documents(df, id_col, text_col, width, similarity).where("id = component").select(F.col("id").alias("_kept")).distinct()
-    return df.join(kept, df[id_col].cast("long") == kept["_kept"], "left_semi").unionByName(df.where(F.col(id_col).isNull()))
+    return _without(df, id_col, similar_documents(df, id_col, text_col, width, similarity))
