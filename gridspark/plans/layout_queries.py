@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
+from ..operators import blocks as B
 from ..operators import layout as Y
 from ..sources.views import table
 from .registry import query
@@ -89,11 +90,10 @@ def mux_overhead(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PACKETS} SELECT doc_id, count(*) AS n_packets, any_value(md5(text)) AS md5, TRUE AS equal FROM k GROUP BY doc_id")
 def demux_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets put together again by stream, and whether that gives the text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("raw"))
     # Cut within the row, so only the pieces go on, and joined as characters, one a byte, at once.
-    piece = lambda p: F.struct(p["round"].alias("round"), F.substring(F.col("raw"), p["start"].cast("int") + 1, p["len"].cast("int")).alias("payload"))
-    cut = docs.select("doc_id", F.md5("raw").alias("whole"), F.transform(Y.packet_list(F.length("raw").cast("long")), piece).alias("p"))
-    pieces = cut.select("doc_id", "whole", F.explode("p").alias("p")).select("doc_id", "whole", "p.*")
+    piece = lambda raw, whole: lambda p: F.struct(whole.alias("whole"), p["round"].alias("round"), F.substring(raw, p["start"].cast("int") + 1, p["len"].cast("int")).alias("payload"))
+    cut = B.once(F.encode("text", "UTF-8"), lambda raw: B.once(F.md5(raw), lambda whole: B.once(F.length(raw).cast("long"), lambda n: F.transform(Y.packet_list(n), piece(raw, whole)))))
+    pieces = table(spark, sf_dir, "documents").select("doc_id", F.explode(cut).alias("p")).select("doc_id", "p.*")
     joined = pieces.groupBy("doc_id").agg(F.count("*").alias("n_packets"), F.array_sort(F.collect_list(F.struct("round", "payload"))).alias("p"), F.first("whole").alias("whole"))
     text = F.encode(F.array_join(F.transform("p", lambda x: F.decode(x["payload"], "ISO-8859-1")), ""), "ISO-8859-1")
     return joined.select("doc_id", "n_packets", F.md5(text).alias("md5"), "whole").select("doc_id", "n_packets", "md5", (F.col("md5") == F.col("whole")).alias("equal"))
