@@ -121,12 +121,28 @@ def unit_position(unit: Column, sub: Column, mcuh: Column, sh: Column, sv: Colum
 
 def interleaved(g: DataFrame) -> DataFrame:
     """(image_id, component, unit, sub, dpos): every block of a geometry in interleaved scan order."""
-    rows = g.withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mcuh") * F.col("mcuv") - 1)))
+    rows = g.where("bc > 0").withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mcuh") * F.col("mcuv") - 1)))
     rows = rows.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("sh") * F.col("sv") - 1)))
     place = unit_position(F.col("unit"), F.col("sub"), F.col("mcuh"), F.col("sh"), F.col("sv"))
     return rows.withColumn("dpos", place).withColumn("padding", (F.col("dpos") % F.col("bch") >= F.col("nch")) | (bits.int_div(F.col("dpos"), F.col("bch")) >= F.col("ncv")))
 
 
+def grid_sums(g: DataFrame, made: dict[str, Column]) -> DataFrame:
+    """(image_id, component, n, last, ..) of grids' own totals: rows that share an image and a component are added up; grids without blocks have none."""
+    own = g.where((F.col("bc") > 0) & (F.col("nc") > 0)).select("image_id", "component", *(c.alias(k) for k, c in made.items()))
+    return own.groupBy("image_id", "component").agg(*((F.max if k == "last" else F.sum)(k).alias(k) for k in made))
+
+
+def total(m: Column) -> Column:
+    """0 + 1 + .. + (m - 1)."""
+    return bits.int_div(m * (m - 1), 2)
+
+
+def squares(m: Column) -> Column:
+    """0 + 1 + 4 + .. + (m - 1)**2."""
+    return bits.int_div((m - 1) * m * (2 * m - 1), 6)
+
+
 def interleaved_totals(g: DataFrame) -> DataFrame:
     """(image_id, component, n, last, checksum, padding) of ``interleaved`` in closed form, without a row per block.
 
@@ -135,8 +151,6 @@ def interleaved_totals(g: DataFrame) -> DataFrame:
     of numbers and of squares; each of a unit's blocks, four by four at most, has a
     term of its own.
     """
-    total = lambda m: bits.int_div(m * (m - 1), 2)
-    squares = lambda m: bits.int_div((m - 1) * m * (2 * m - 1), 6)
     m, r, sh, own = F.col("mcuh"), F.col("mcuv"), F.col("sh").cast("long"), (F.col("sh") * F.col("sv")).cast("long")
 
     def term(sub: Column) -> Column:
@@ -147,12 +161,28 @@ def interleaved_totals(g: DataFrame) -> DataFrame:
         return m * product + total(m) * single + r * sh * own * squares(m)
 
     checksum = F.aggregate(F.transform(F.sequence(F.lit(0).cast("long"), own - 1), term), F.lit(0).cast("long"), lambda a, b: a + b)
-    return g.select("image_id", "component", F.col("bc").alias("n"), (F.col("bc") - 1).alias("last"), checksum.alias("checksum"), (F.col("bc") - F.col("nc")).alias("padding"))
+    return grid_sums(g, {"n": F.col("bc"), "last": F.col("bc") - 1, "checksum": checksum, "padding": F.col("bc") - F.col("nc")})
+
+
+def non_interleaved_totals(g: DataFrame) -> DataFrame:
+    """(image_id, component, n, last, checksum, restarts, countdown) of ``non_interleaved`` in closed form, without a row per block.
+
+    checksum adds up place times number in the scan, from 1. The block in row y and
+    column x has place y * bch + x and number y * nch + x + 1. Countdowns run from
+    ``every`` to 1 over and over, and the last run may end early.
+    """
+    m, r, wide, n, every = F.col("nch"), F.col("ncv"), F.col("bch"), F.col("nc"), F.col("every").cast("long")
+    checksum = m * wide * (m * squares(r) + total(r)) + total(m) * ((wide + m) * total(r) + r) + r * squares(m)
+    runs, left = bits.int_div(n, F.greatest(every, F.lit(1).cast("long"))), n % F.greatest(every, F.lit(1).cast("long"))
+    past = runs * total(every) + total(left)  # blocks since the last restart, added up
+    counted = lambda c: F.when(every > 0, c).otherwise(F.lit(0).cast("long"))
+    restarts = bits.int_div(n - 1, F.greatest(every, F.lit(1).cast("long")))
+    return grid_sums(g, {"n": n, "last": (r - 1) * wide + m - 1, "checksum": checksum, "restarts": counted(restarts), "countdown": counted(n * every - past)})
 
 
 def non_interleaved(g: DataFrame) -> DataFrame:
     """(.., step, dpos, countdown, restart): a component's blocks that hold pixels in raster order; a restart comes before each one that ``every`` blocks precede since the last (0: none)."""
-    rows = g.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nch") * F.col("ncv") - 1)))
+    rows = g.where("nc > 0").withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nch") * F.col("ncv") - 1)))
     past = F.col("step") % F.greatest(F.col("every"), F.lit(1).cast("long"))
     rows = rows.withColumn("dpos", bits.int_div(F.col("step"), F.col("nch")) * F.col("bch") + F.col("step") % F.col("nch"))
     return rows.withColumn("countdown", F.when(F.col("every") > 0, F.col("every") - past).otherwise(F.lit(0).cast("long"))).withColumn("restart", (F.col("every") > 0) & (F.col("step") > 0) & (past == 0))

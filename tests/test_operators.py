@@ -175,3 +175,18 @@ def test_scan_orders_of_whole_images_by_walking(spark):
             restart = left == 0
             left = left or 2 * r.image_id + 1
         assert single[r.image_id, r.component] == want
+
+
+def test_scan_totals_in_closed_form(spark):
+    rng = random.Random(6)
+    images = [(k, rng.randint(1, 300), rng.randint(1, 200), c, h if c == 0 else 1, v if c == 0 else 1) for k in range(40) for h, v in [(rng.randint(1, 2), rng.randint(1, 2))] for c in range(3)]
+    images += [(7, 41, 90, c, 1, 1) for c in range(3)]  # shares its id
+    images += [(90, 100, 0, 0, 1, 1), (91, None, 50, 0, 1, 1), (None, 20, 30, 0, 1, 1)]  # no blocks, no width, no id
+    g = layout.geometry(spark.createDataFrame(images, "image_id long, width long, height long, component int, sh int, sv int")).withColumn("every", F.col("image_id") % 9)
+    order = F.col("unit") * F.col("sh") * F.col("sv") + F.col("sub") + 1
+    whole = layout.interleaved(g).groupBy("image_id", "component").agg(F.count("*").alias("n"), F.max("dpos").alias("last"), F.sum(F.col("dpos") * order).alias("checksum"), F.sum(F.col("padding").cast("long")).alias("padding"))
+    single = layout.non_interleaved(g).groupBy("image_id", "component").agg(F.count("*").alias("n"), F.max("dpos").alias("last"), F.sum(F.col("dpos") * (F.col("step") + 1)).alias("checksum"), F.sum(F.col("restart").cast("long")).alias("restarts"), F.sum("countdown").alias("countdown"))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert len(rows(whole)) == 121
+    assert rows(layout.interleaved_totals(g)) == rows(whole)
+    assert rows(layout.non_interleaved_totals(g)) == rows(single)
