@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits
 from ..functions.layouts import COLUMN, ROW
+from .blocks import once
 
 # Marker bytes of header segments.
 START, END, QUANT_TABLE, FRAME, CODE_TABLE, RESTART, SCAN = 0xD8, 0xD9, 0xDB, 0xC0, 0xC4, 0xDD, 0xDA
@@ -30,6 +31,10 @@ def segments(raw: Column) -> Column:
 
     A header has no more segments than bytes 0xFF, which bounds the fold.
     """
+    return once(raw, _segments)
+
+
+def _segments(raw: Column) -> Column:
     latin = F.decode(raw, "ISO-8859-1")
     most = F.length(latin) - F.length(F.replace(latin, F.lit("\xff"), F.lit("")))
     start = F.struct(F.lit(3).alias("at"), F.lit(False).alias("done"), F.array().cast(f"array<{SEGMENT}>").alias("found"))
@@ -38,11 +43,15 @@ def segments(raw: Column) -> Column:
         at = state["at"]
         kind = bits.from_big_endian(raw, at + 1, 1).cast("int")
         size = bits.from_big_endian(raw, at + 2).cast("int")
-        whole = F.coalesce((F.hex(F.substring(raw, at, F.lit(1))) == "FF") & (size >= 2) & (at + 1 + size <= F.length(raw)), F.lit(False))
-        item = F.struct(kind.alias("kind"), (at - 1).alias("offset"), size.alias("len"), F.substring(raw, at + 4, size - 2).alias("payload")).cast(SEGMENT)
-        grown = F.struct((at + 2 + size).alias("at"), (kind == SCAN).alias("done"), F.concat(state["found"], F.array(item)).alias("found"))
-        over = F.struct(at.alias("at"), F.lit(True).alias("done"), state["found"].alias("found"))
-        return F.when(state["done"], state).when(whole, grown).otherwise(over)
+
+        def grown(size: Column) -> Column:
+            whole = F.coalesce((F.hex(F.substring(raw, at, F.lit(1))) == "FF") & (size >= 2) & (at + 1 + size <= F.length(raw)), F.lit(False))
+            item = F.struct(kind.alias("kind"), (at - 1).alias("offset"), size.alias("len"), F.substring(raw, at + 4, size - 2).alias("payload")).cast(SEGMENT)
+            more = once(item, lambda item: F.struct((at + 2 + size).alias("at"), (item["kind"] == SCAN).alias("done"), F.concat(state["found"], F.array(item)).alias("found")))
+            over = F.struct(at.alias("at"), F.lit(True).alias("done"), state["found"].alias("found"))
+            return F.when(whole, more).otherwise(over)
+
+        return F.when(state["done"], state).otherwise(once(size, grown))
 
     return F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), start, step)["found"]
 
@@ -95,18 +104,21 @@ def components(found: Column) -> Column:
 
     Tables of 8-bit values are read, several in a segment or one.
     """
-    frame = F.get(F.filter(found, lambda s: s["kind"].isin(FRAME, 0xC1, 0xC2)), 0)["payload"]
     at = lambda raw, i: bits.from_big_endian(raw, i, F.lit(1))
     cut = lambda s: F.transform(F.sequence(F.lit(0).cast("long"), bits.int_div(s["len"] - 2, 65) - 1), lambda k: F.substring(s["payload"], (65 * k + 1).cast("int"), F.lit(65)))
     tables = F.flatten(F.transform(F.filter(found, lambda s: (s["kind"] == QUANT_TABLE) & (s["len"] >= 67)), cut))
+    firsts = F.transform(tables, lambda t: F.struct(at(t, F.lit(1)).alias("id"), at(t, F.lit(2)).alias("first")))
+
+    def told(frame: Column, firsts: Column) -> Column:
+        def component(k: Column) -> Column:
+            read = F.struct(at(frame, 3 * k + 7).alias("jid"), at(frame, 3 * k + 8).alias("factors"), at(frame, 3 * k + 9).alias("quant"))
+            own = lambda c: F.get(F.filter(firsts, lambda t: t["id"] == c["quant"]), 0)
+            return once(read, lambda c: F.struct(c["jid"].alias("jid"), bits.int_div(c["factors"], 16).alias("sh"), (c["factors"] % 16).alias("sv"), c["quant"].alias("quant"), own(c)["first"].alias("first_quant")))
 
-    def component(k: Column) -> Column:
-        i = 3 * k + 7
-        factors, quant = at(frame, i + 1), at(frame, i + 2)
-        own = F.get(F.filter(tables, lambda t: at(t, F.lit(1)) == quant), 0)
-        return F.struct(at(frame, i).alias("jid"), bits.int_div(factors, 16).alias("sh"), (factors % 16).alias("sv"), quant.alias("quant"), at(own, F.lit(2)).alias("first_quant"))
+        return F.transform(F.sequence(F.lit(0), (at(frame, F.lit(6)) - 1).cast("int")), component)
 
-    return F.transform(F.sequence(F.lit(0), (at(frame, F.lit(6)) - 1).cast("int")), component)
+    frame = F.get(F.filter(found, lambda s: s["kind"].isin(FRAME, 0xC1, 0xC2)), 0)["payload"]
+    return once(frame, lambda frame: once(firsts, lambda firsts: told(frame, firsts)))
 
 
 def handoff(start: Column, size: Column, overhang: Column, overhang_bits: Column, last: list[Column]) -> Column:

@@ -201,3 +201,20 @@ def test_scans_of_large_images(spark, tmp_path):
         df = query(spark, str(tmp_path))
         assert df._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
         assert df.count() == 60_000
+
+
+def test_frames_are_made_once_a_row(spark):
+    """The header's bytes are told from a value that is computed once, not from its expression wherever a fold looks at it."""
+    from gridspark.plans import container_queries
+
+    from .conftest import DATA
+
+    plan = container_queries.frame_components(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("p_size") < 20
+
+
+def test_components_of_broken_headers(spark):
+    frame = "FFC0000B080010002001" + "012203"
+    raws = [bytes.fromhex("FFD8" + x + "FFDA0008010100003F00") for x in (frame, "FFDB0043" + "03" + "09" * 64 + frame, "FFDB0005000107" + frame, "")] + [None]
+    rows = spark.createDataFrame([(k, None if r is None else bytearray(r)) for k, r in enumerate(raws)], "k int, raw binary").select("k", segments.components(segments.segments(F.col("raw"))).alias("c")).collect()
+    assert {r.k: [tuple(c) for c in r.c] if r.c else None for r in rows} == {0: [(1, 2, 2, 3, None)], 1: [(1, 2, 2, 3, 9)], 2: [(1, 2, 2, 3, None)], 3: None, 4: None}
