@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from typing import NamedTuple
 
 import numpy as np
@@ -20,6 +20,9 @@ from .common import gathered, without_columns
 
 #: Encoded words that one generation of a worker's cache holds; two generations are kept.
 CACHE = 1 << 17
+#: Low bits of a merge that hold the symbol made.
+BITS = 32
+MADE = (1 << BITS) - 1
 
 
 class Piece(NamedTuple):
@@ -56,51 +59,70 @@ class Tokenizer:
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.text = {i: t for t, i in [*self.vocab.items(), *self.added.items()]}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.rank = {(a, b): k for k, (a, b) in enumerate(merges)}
-        self.letters = byte_letters()
+        letters = byte_letters()
+        # Symbols as numbers: letters, the same at a word's end, and whatever takes part in a merge or comes of one.
+        self.symbols = list(dict.fromkeys([*letters, *(x + self.suffix for x in letters), *(x for a, b in merges for x in (a, b, a + b))]))
+        number = {s: k for k, s in enumerate(self.symbols)}
+        self.inner, self.last = [number[x] for x in letters], [number[x + self.suffix] for x in letters]
+        #: By first symbol and second one, what they merge to: the symbol made, and the rank above its bits.
+        none: dict[int, int] = {}
+        self.merge = [none] * len(self.symbols)
+        for k, (a, b) in enumerate(merges):
+            if self.merge[number[a]] is none:
+                self.merge[number[a]] = {}
+            self.merge[number[a]][number[b]] = k << BITS | number[a + b]
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")["pattern"]["Regex"]
         self.split = regex.compile(split.replace(r"\s", r"\p{White_Space}"), regex.V0)
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
+        self.cache = CACHE
         self.young: dict[str, Piece] = {}
         self.old: dict[str, Piece] = {}
 
     def merged(self, word: str) -> list[str]:
         """The symbols of one word after all merges.
 
-        Symbols form a doubly linked list over positions. A heap holds the rank
-        and place of every mergeable neighbour pair; an entry is stale when a
-        symbol of its pair has changed since it was pushed, and is skipped.
+        Symbols form a doubly linked list over positions. A heap holds the merge
+        and place of every mergeable neighbour pair, the lowest rank first; an
+        entry is stale when its pair's place has another merge or none, and is skipped.
         """
-        symbols: list[str | None] = [self.letters[b] for b in word.encode()]
-        symbols[-1] += self.suffix
+        raw, inner, merge = word.encode(), self.inner, self.merge
+        symbols = [inner[b] for b in raw]
+        symbols[-1] = self.last[raw[-1]]
         n = len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        rank = self.rank
-        heap = [(rank[pair], i) for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)) if pair in rank]
-        heapq.heapify(heap)
+        # What each symbol and the one after it merge to; 0 where they don't, or there is none.
+        made = [merge[a].get(b, 0) for a, b in zip(symbols, symbols[1:], strict=False)]
+        made.append(0)
+        heap = [(m, i) for i, m in enumerate(made) if m]
+        heapify(heap)
         while heap:
-            r, i = heapq.heappop(heap)
-            a, j = symbols[i], after[i]
-            if a is None or j < 0 or rank.get((a, symbols[j])) != r:
+            m, i = heappop(heap)
+            if made[i] != m:
                 continue
-            symbols[i], symbols[j] = a + symbols[j], None
+            j, symbol = after[i], m & MADE
+            symbols[i], symbols[j], made[j] = symbol, -1, 0
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                if (new := rank.get((symbols[i], symbols[k]))) is not None:
-                    heapq.heappush(heap, (new, i))
+                made[i] = m = merge[symbol].get(symbols[k], 0)
+                if m:
+                    heappush(heap, (m, i))
+            else:
+                made[i] = 0
             h = before[i]
-            if h >= 0 and (new := rank.get((symbols[h], symbols[i]))) is not None:
-                heapq.heappush(heap, (new, h))
-        return [s for s in symbols if s is not None]
+            if h >= 0:
+                made[h] = m = merge[symbols[h]].get(symbol, 0)
+                if m:
+                    heappush(heap, (m, h))
+        return [self.symbols[s] for s in symbols if s >= 0]
 
     def piece(self, word: str) -> Piece:
         found = self.young.get(word) or self.old.get(word)
         if found is None:
             symbols = self.merged(word)
-            ids = tuple(self.vocab[s] for s in symbols)
+            ids = tuple([self.vocab[s] for s in symbols])
             found = Piece(len(ids), ids, " ".join(map(str, ids)), " ".join(symbols))
-        if len(self.young) >= CACHE:
+        if len(self.young) >= self.cache:
             self.old, self.young = self.young, {}
         self.young[word] = found
         return found
@@ -131,7 +153,7 @@ class Tokenizer:
 _LOADED: dict[str, Tokenizer] = {}
 
 
-def encoded(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids: bool = True, decoded: bool = False) -> DataFrame:
+def encoded(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids: bool = True, decoded: bool = False, cache: int | None = None) -> DataFrame:
     """df with n_tokens (long), ids_sha256, decoded_sha256, and on request ids (array<int>) and decoded (string).
 
     Whole texts are encoded; a null text counts as empty: no tokens, and the
@@ -139,7 +161,7 @@ def encoded(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids: boo
     columns and repeated rows pass through, and an empty table stays empty. The
     driver reads the vocabulary file, whose size doesn't grow with the data,
     and broadcasts its content. Every worker keeps a cache of at most
-    2 * CACHE encoded words.
+    2 * ``cache`` encoded words (2 * CACHE where none is given), some 450 bytes each.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         content = df.sparkSession.sparkContext.broadcast(f.read())
@@ -154,6 +176,7 @@ def encoded(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids: boo
         if tokenizer_path not in _LOADED:
             _LOADED[tokenizer_path] = Tokenizer(content.value)
         tokenizer = _LOADED[tokenizer_path]
+        tokenizer.cache = cache or CACHE
         for table in gathered(batches, 4 << 20):
             new: dict[str, list] = {k: [] for k in made if k != "ids"}
             flat, ends = array("i"), [0]

@@ -29,7 +29,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table_of(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encoded(docs, tokenizer_path(), ids=False).drop("text")
+    return bpe.encoded(docs, tokenizer_path(), ids=False, cache=2 * bpe.CACHE).drop("text")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

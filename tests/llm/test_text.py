@@ -1,5 +1,6 @@
 """BPE, decontamination, quality, LM scores and chat formatting."""
 
+import json
 import math
 import random
 
@@ -54,6 +55,34 @@ def test_cache_is_bounded(monkeypatch):
     assert len(t.young) <= 5 and len(t.old) <= 5
 
 
+def test_merges_by_brute_force():
+    """The lowest rank first, of equal ones the first place; on random words, repeats and bytes outside ASCII."""
+    spec = json.loads(open(queries.tokenizer_path(), encoding="utf-8").read())["model"]
+    rank = {tuple(m.split(" ") if isinstance(m, str) else m): k for k, m in enumerate(spec["merges"])}
+    t = bpe.Tokenizer(open(queries.tokenizer_path(), encoding="utf-8").read())
+    rng, letters = random.Random(21), bpe.byte_letters()
+    words = ["".join(rng.choices("etaoinshrd" if k % 2 else "aéßжü!-日", k=rng.randint(1, 30))) for k in range(300)] + ["a" * 50, "anan" * 9]
+    for word in words:
+        want = [letters[b] for b in word.encode()]
+        want[-1] += spec["end_of_word_suffix"]
+        while (best := min((rank.get(p, 1 << 40), i) for i, p in enumerate([*zip(want, want[1:]), ("", "")])))[0] < 1 << 40:
+            want[best[1] : best[1] + 2] = ["".join(want[best[1] : best[1] + 2])]
+        assert t.merged(word) == want
+
+
+def test_cache_size_can_be_given(spark):
+    """What a worker's cache may hold is the caller's, so op2_bpe keeps more words than the pipeline, and merges fewer again."""
+    t = bpe.Tokenizer(open(queries.tokenizer_path(), encoding="utf-8").read())
+    t.cache, made, merged = 8, [], t.merged
+    t.merged = lambda w: made.append(w) or merged(w)
+    for _ in range(3):
+        t.encode("one two three four five six seven eight")
+    assert len(made) == 8 and len(t.young) <= 8
+    df = spark.createDataFrame([(k, "ab cd ef gh " * 3) for k in range(4)], "doc_id long, text string")
+    rows = lambda **options: sorted(map(repr, bpe.encoded(df, queries.tokenizer_path(), **options).collect()))
+    assert rows(cache=2) == rows()
+
+
 def test_encoding_edge_cases(spark):
     df = spark.createDataFrame([(1, None, 7), (1, "", 7), (1, "", 7)], "doc_id long, text string, n_tokens int")
     assert [(r.n_tokens, r.ids, r.ids_sha256) for r in bpe.encoded(df, queries.tokenizer_path()).collect()] == [(0, [], sha(""))] * 3
