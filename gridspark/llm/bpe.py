@@ -161,7 +161,7 @@ def encoded(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids: boo
     columns and repeated rows pass through, and an empty table stays empty. The
     driver reads the vocabulary file, whose size doesn't grow with the data,
     and broadcasts its content. Every worker keeps a cache of at most
-    2 * ``cache`` encoded words (2 * CACHE where none is given), some 450 bytes each.
+    2 * ``cache`` encoded words (2 * CACHE where none is given), some 450 bytes each (reckoned).
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         content = df.sparkSession.sparkContext.broadcast(f.read())
